@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_select
+from . import q_prep, q_select
 
-MODULES = [q_select]
+MODULES = [q_select, q_prep]
 
 
 def all_queries() -> dict:

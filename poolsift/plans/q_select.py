@@ -130,3 +130,249 @@ def q_softmax_scores(spark, d):
     _, _, cands = _slice_candidates(spark, d)
     scores = cands.groupBy("uid").agg((F.lit(1.0) - F.avg("dists")).alias("scores"))
     return S.softmax_column(scores, "scores", "prob").select("uid", r6("prob").alias("prob"))
+
+
+# ------------------------------------------------------------- anchors --
+
+def _sql_sqdist(a: str, b: str) -> str:
+    return f"list_sum(list_transform({a}, lambda x, i: (x - {b}[i]) * (x - {b}[i])))"
+
+
+def sql_kmeanspp(base: str, k: int, seed, by: str | None, vec_cols: list[str], sqdist_sql) -> str:
+    """CTE chain reproducing ``kmeanspp_pick``: one pick CTE and one state CTE per step.
+
+    ``base`` is a CTE with ``uid``, the vector columns and optionally ``by``.
+    Returns CTE text ending in ``kpp_final(uid, pick_step[, by])``.
+    """
+    cols = ", ".join(vec_cols)
+    byc = f"{by}, " if by else ""
+    ctes = [f"kpp_s0 AS (SELECT {byc}uid, {cols}, CAST(NULL AS DOUBLE) AS d2, CAST(NULL AS INTEGER) AS pick_step "
+            f"FROM {base})"]
+    for s in range(k):
+        g = sql_gumbel(f"{seed}:{s}")
+        key = f"CASE WHEN d2 IS NULL THEN {g} WHEN d2 > 0 THEN ln(d2) + {g} ELSE {g} - 1e6 END"
+        grp = f"GROUP BY {by}" if by else ""
+        ctes.append(f"kpp_p{s} AS (SELECT {byc}arg_max(uid, {key}) AS pu FROM kpp_s{s} "
+                    f"WHERE pick_step IS NULL {grp})")
+        pv = ", ".join(f"c.{c} AS pc_{c}" for c in vec_cols)
+        on = f"p.{by} = c.{by} AND " if by else ""
+        ctes.append(f"kpp_c{s} AS (SELECT {'p.' + by + ', ' if by else ''}p.pu, {pv} FROM kpp_p{s} p "
+                    f"JOIN kpp_s{s} c ON {on}c.uid = p.pu)")
+        dn = sqdist_sql({c: f"s.{c}" for c in vec_cols}, {c: f"c.pc_{c}" for c in vec_cols})
+        jon = f"ON s.{by} = c.{by}" if by else "ON TRUE"
+        ctes.append(
+            f"kpp_s{s + 1} AS (SELECT {'s.' + by + ', ' if by else ''}s.uid, "
+            + ", ".join(f"s.{c}" for c in vec_cols)
+            + f", CASE WHEN c.pu IS NULL THEN s.d2 ELSE least(coalesce(s.d2, {dn}), {dn}) END AS d2, "
+            f"CASE WHEN s.pick_step IS NULL AND s.uid = c.pu THEN {s} ELSE s.pick_step END AS pick_step "
+            f"FROM kpp_s{s} s LEFT JOIN kpp_c{s} c {jon})")
+    ctes.append(f"kpp_final AS (SELECT {byc}uid, pick_step FROM kpp_s{k} WHERE pick_step IS NOT NULL)")
+    return ",\n".join(ctes)
+
+
+def _euclid(row, ctr):
+    (c,) = row.keys()
+    return _sql_sqdist(row[c], ctr[c])
+
+
+KPP_SEED = 46
+
+
+@register("anchors_random", f"""WITH {SQL_LABELLED_CTES}
+SELECT uid, label FROM ({sql_top_n("labelled", str(NUM_ANCHORS), ANCHOR_SEED, by="label")})""")
+def q_anchors_random(spark, d):
+    return A.anchors_random(T.labelled(spark, d), NUM_ANCHORS, seed=ANCHOR_SEED).select("uid", "label")
+
+
+@register("anchors_entropy", f"""WITH {SQL_LABELLED_CTES},
+s AS (SELECT uid, label, {sql_logits()} AS logits FROM labelled),
+r AS (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {sql_entropy()} DESC, uid) AS rn FROM s)
+SELECT uid, label FROM r WHERE rn <= {NUM_ANCHORS}""")
+def q_anchors_entropy(spark, d):
+    lab = T.with_logits(T.labelled(spark, d))
+    return A.anchors_entropy(lab, NUM_ANCHORS).select("uid", "label")
+
+
+@register("anchors_kmeanspp", f"""WITH {SQL_LABELLED_CTES},
+kbase AS (SELECT uid, label, embedding FROM labelled),
+{sql_kmeanspp("kbase", NUM_ANCHORS, KPP_SEED, "label", ["embedding"], _euclid)}
+SELECT uid, label FROM kpp_final""")
+def q_anchors_kmeanspp(spark, d):
+    return A.anchors_kmeanspp(T.labelled(spark, d), NUM_ANCHORS, seed=KPP_SEED).select("uid", "label")
+
+
+@register("kmeanspp_pick", f"""WITH {SQL_LABELLED_CTES},
+kbase AS (SELECT uid, embedding FROM labelled),
+{sql_kmeanspp("kbase", 8, KPP_SEED, None, ["embedding"], _euclid)}
+SELECT uid, pick_step FROM kpp_final""")
+def q_kmeanspp_pick(spark, d):
+    base = T.labelled(spark, d).select("uid", F.col("embedding").alias("vec"))
+    return A.kmeanspp_pick(base, 8, seed=KPP_SEED).select("uid", "pick_step")
+
+
+@register("anchors_all", f"""WITH {SQL_LABELLED_CTES}
+SELECT uid, label FROM labelled""")
+def q_anchors_all(spark, d):
+    return A.anchors_all(T.labelled(spark, d)).select("uid", "label")
+
+
+SEL_ANCHORS = 10
+
+
+@register("anchor_select", f"""WITH {SQL_LABELLED_CTES},
+sz AS (SELECT label, count(*) AS n FROM labelled GROUP BY label),
+small AS (SELECT l.uid, l.label FROM labelled l JOIN sz USING (label) WHERE sz.n < {SEL_ANCHORS}),
+big AS (SELECT l.* FROM labelled l JOIN sz USING (label) WHERE sz.n >= {SEL_ANCHORS}),
+minr AS ({sql_top_n("(SELECT * FROM big WHERE label IN (0))", str(SEL_ANCHORS), ANCHOR_SEED, by="label")}),
+s AS (SELECT uid, label, {sql_logits()} AS logits FROM big WHERE label NOT IN (0)),
+maj AS (SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION BY label
+        ORDER BY {sql_entropy()} DESC, uid) AS rn FROM s) WHERE rn <= {SEL_ANCHORS})
+SELECT uid, label FROM small UNION ALL SELECT uid, label FROM minr UNION ALL SELECT uid, label FROM maj""")
+def q_anchor_select(spark, d):
+    """Whole small classes; random anchors for minority class 0, entropy anchors otherwise."""
+    lab = T.with_logits(T.labelled(spark, d))
+    return A.select_anchors(lab, SEL_ANCHORS, "random", "entropy", T.MINORITY, seed=ANCHOR_SEED) \
+        .select("uid", "label")
+
+
+@register("anchors_kmeans")
+def q_anchors_kmeans(spark, d):
+    """k-means anchors per class (MLlib); rows-only: MLlib initialisation has no SQL twin."""
+    return A.anchors_kmeans(T.labelled(spark, d), NUM_ANCHORS, seed=42).select("uid", "label")
+
+
+# ------------------------------------------------------------ strategies --
+
+@register("entropy_query", f"""WITH {SQL_LABELLED_CTES},
+s AS (SELECT uid, {sql_logits()} AS logits FROM pool)
+SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}""")
+def q_entropy_query(spark, d):
+    return ST.entropy_query(T.with_logits(T.pool(spark, d)), BATCH).select("uid", r6("entropy").alias("entropy"))
+
+
+def _sql_badge_factors(src: str) -> str:
+    am = "(list_position(logits, list_max(logits)) - 1)"
+    mx = "list_max(logits)"
+    z = f"list_sum(list_transform(logits, lambda x: exp(x - {mx})))"
+    g = f"list_transform(logits, lambda x, i: exp(x - {mx}) / {z} - CASE WHEN i - 1 = {am} THEN 1.0 ELSE 0.0 END)"
+    return f"SELECT uid, {g} AS g, embedding AS h FROM (SELECT uid, embedding, {sql_logits()} AS logits FROM {src})"
+
+
+def _sql_dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform({a}, lambda x, i: x * {b}[i]))"
+
+
+def _badge_sql_dist(row, ctr):
+    g, h, gc, hc = row["g"], row["h"], ctr["g"], ctr["h"]
+    return (f"greatest({_sql_dot(g, g)} * {_sql_dot(h, h)} + {_sql_dot(gc, gc)} * {_sql_dot(hc, hc)} "
+            f"- 2.0 * {_sql_dot(g, gc)} * {_sql_dot(h, hc)}, 0.0)")
+
+
+@register("badge_gradient", f"""WITH {SQL_LABELLED_CTES},
+f AS ({_sql_badge_factors("pool")})
+SELECT uid, round(sqrt({_sql_dot("g", "g")} * {_sql_dot("h", "h")}), 6) AS grad_norm FROM f""")
+def q_badge_gradient(spark, d):
+    g = ST.badge_gradient_norm(T.with_logits(T.pool(spark, d)))
+    return g.select("uid", r6("grad_norm").alias("grad_norm"))
+
+
+BADGE_Q = 10
+
+
+@register("badge_query", f"""WITH {SQL_SLICE_CTES},
+subrows AS (SELECT * FROM pool WHERE uid IN (SELECT uid FROM sub)),
+f AS ({_sql_badge_factors("subrows")}),
+{sql_kmeanspp("f", BADGE_Q, KPP_SEED, None, ["g", "h"], _badge_sql_dist)}
+SELECT uid FROM kpp_final""")
+def q_badge_query(spark, d):
+    """BADGE on the anchored subpool: k-means++ over gradient embeddings (as factors)."""
+    _, pool, cands = _slice_candidates(spark, d)
+    sub = ST.anchor_subpool(cands, SUBPOOL)
+    scored = T.with_logits(pool.join(sub.select("uid"), "uid", "left_semi"))
+    return ST.badge_query(scored, BADGE_Q, seed=KPP_SEED).select("uid")
+
+
+@register("kmeans_query")
+def q_kmeans_query(spark, d):
+    """Fine-tuned-encoder k-means pick (rows nearest q centres) on the anchored subpool."""
+    _, pool, cands = _slice_candidates(spark, d)
+    sub = pool.join(ST.anchor_subpool(cands, SUBPOOL).select("uid"), "uid", "left_semi")
+    return ST.kmeans_query(sub, BATCH).select("uid")
+
+
+@register("tyrogue_query")
+def q_tyrogue_query(spark, d):
+    _, pool, cands = _slice_candidates(spark, d)
+    sub = T.with_logits(pool.join(ST.anchor_subpool(cands, SUBPOOL).select("uid"), "uid", "left_semi"))
+    return ST.tyrogue_query(sub, BATCH // 5).select("uid", r6("entropy").alias("entropy"))
+
+
+SEALS_K = 5
+SEALS_SIZE = 150
+
+SQL_SEALS_CTES = SQL_LABELLED_CTES + f""",
+spairs AS (SELECT a.uid AS search_query_uid, p.uid AS uid, {sql_cos_dist("a.embedding", "p.embedding")} AS dists
+          FROM labelled a CROSS JOIN pool p),
+scands AS (SELECT search_query_uid, uid FROM (SELECT *, row_number() OVER (
+          PARTITION BY search_query_uid ORDER BY dists, uid) AS rn FROM spairs) WHERE rn <= {SEALS_K}),
+sids AS (SELECT DISTINCT uid FROM scands),
+ssub AS ({sql_top_n("sids", str(SEALS_SIZE), 42)})"""
+
+
+@register("seals_subpool", f"""WITH {SQL_SEALS_CTES}
+SELECT uid FROM ssub""")
+def q_seals_subpool(spark, d):
+    lab = T.labelled(spark, d)
+    return ST.seals_subpool(lab, T.pool(spark, d, lab), SEALS_K, SEALS_SIZE, seed=42).select("uid")
+
+
+@register("seals_entropy", f"""WITH {SQL_SEALS_CTES},
+s AS (SELECT uid, {sql_logits()} AS logits FROM pool WHERE uid IN (SELECT uid FROM ssub))
+SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}""")
+def q_seals_entropy(spark, d):
+    lab = T.labelled(spark, d)
+    pool = T.pool(spark, d, lab)
+    sub = ST.seals_subpool(lab, pool, SEALS_K, SEALS_SIZE, seed=42)
+    scored = T.with_logits(pool.join(sub, "uid", "left_semi"))
+    return ST.entropy_query(scored, BATCH).select("uid", r6("entropy").alias("entropy"))
+
+
+@register("randomsubset_entropy", f"""WITH {SQL_LABELLED_CTES},
+sub AS ({sql_top_n("pool", str(SUBPOOL), "42:0")}),
+s AS (SELECT uid, {sql_logits()} AS logits FROM sub)
+SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}""")
+def q_randomsubset_entropy(spark, d):
+    pool = T.pool(spark, d)
+    sub = S.random_subset(pool, SUBPOOL, seed=42, round_=0)
+    return ST.entropy_query(T.with_logits(sub), BATCH).select("uid", r6("entropy").alias("entropy"))
+
+
+@register("cosine_distance", f"""WITH e AS ({SQL_EMB}),
+x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM e),
+c AS (SELECT label, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(v) AS m FROM x GROUP BY label, pos)
+      GROUP BY label)
+SELECT e.uid, round({sql_cos_dist("e.embedding", "c.centroid")}, 6) AS dist_to_centroid
+FROM e JOIN c USING (label)""")
+def q_cosine_distance(spark, d):
+    """Cosine distance of every embedding to its class centroid (centroids: one partial aggregate)."""
+    e = T.embeddings(spark, d)
+    x = e.select("label", F.posexplode("embedding").alias("pos", "v"))
+    cent = (x.groupBy("label", "pos").agg(F.avg("v").alias("m"))
+             .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("pm"))
+             .select("label", F.transform("pm", lambda s: s["m"]).alias("centroid")))
+    return e.join(cent, "label").select("uid", r6(cosine_distance("embedding", "centroid")).alias("dist_to_centroid"))
+
+
+@register("registry_smoke")
+def q_registry_smoke(spark, d):
+    """Every registered strategy name run once on the stand-in pool: name and batch size."""
+    lab = T.with_logits(T.labelled(spark, d))
+    pool = T.with_logits(T.pool(spark, d, lab))
+    cfg = ST.TwoStageConfig(subpool_size=SUBPOOL, num_neighbours=K, num_anchors=NUM_ANCHORS,
+                            anchor_strategy_minority="random", anchor_strategy_majority="random",
+                            minority_classes=list(T.MINORITY), seed=42)
+    rows = []
+    for name in ST.STRATEGY_NAMES:
+        n = ST.run_strategy(name, pool, lab, 5, cfg, round_=0).count()
+        rows.append((name, int(n)))
+    return spark.createDataFrame(rows, "strategy string, batch_size int")
