@@ -46,9 +46,21 @@ def parent_dir(path, levels: int = 1) -> Column:
     return p
 
 
+def hundredths(x) -> Column:
+    """Value in hundredths, rounded half-up after normalising to 6 places, so
+    float noise below 1e-6 can never flip the second decimal."""
+    return F.round(F.round(_col(x), 6) * F.lit(100.0), 0).cast("long")
+
+
+def two_decimals(x) -> Column:
+    """Non-negative value as text with exactly two decimals (integer formatting)."""
+    h = hundredths(x)
+    return F.concat(F.floor(h / 100).cast("string"), F.lit("."), F.lpad(F.pmod(h, F.lit(100)).cast("string"), 2, "0"))
+
+
 def format_median_iqr(median, iqr) -> Column:
     """``m ± iqr`` with two decimals; empty when the median is NULL."""
-    return F.coalesce(F.format_string("%.2f ± %.2f", _col(median), _col(iqr)), F.lit(""))
+    return F.coalesce(F.concat(two_decimals(median), F.lit(" ± "), two_decimals(iqr)), F.lit(""))
 
 
 def format_thousands(c) -> Column:
