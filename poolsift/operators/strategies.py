@@ -155,6 +155,20 @@ def run_base(name: str, scored: DataFrame, q: int, seed=42, round_: int | None =
     raise ValueError(f"unknown base strategy {name}")
 
 
+def subpool(stage: str, scored_pool: DataFrame, labelled: DataFrame, cfg: TwoStageConfig,
+            round_: int | None = None, label: str = "label", uid: str = "uid") -> DataFrame:
+    """First stage of a two-stage strategy: the subpool ids."""
+    if stage == "randomsubset":
+        return random_subset(scored_pool.select(uid), cfg.subpool_size, seed=cfg.seed, round_=round_, uid=uid)
+    if stage == "seals":
+        return seals_subpool(labelled, scored_pool, cfg.num_neighbours, cfg.subpool_size, seed=cfg.seed,
+                             uid=uid, max_search_size=cfg.max_search_size)
+    if stage in ("anchoral", "anchoralwithsampling"):
+        return anchored_subpool(labelled, scored_pool, cfg, sampling=stage == "anchoralwithsampling",
+                                label=label, uid=uid, round_=round_)
+    raise ValueError(f"unknown stage {stage}")
+
+
 def run_strategy(name: str, scored_pool: DataFrame, labelled: DataFrame, q: int,
                  cfg: TwoStageConfig | None = None, round_: int | None = None,
                  label: str = "label", uid: str = "uid") -> DataFrame:
@@ -163,15 +177,7 @@ def run_strategy(name: str, scored_pool: DataFrame, labelled: DataFrame, q: int,
     if name in BASE_STRATEGIES:
         return run_base(name, scored_pool, q, cfg.seed, round_, uid)
     stage, base = name.split("_", 1)
-    if stage == "randomsubset":
-        sub = random_subset(scored_pool.select(uid), cfg.subpool_size, seed=cfg.seed, round_=round_, uid=uid)
-    elif stage == "seals":
-        sub = seals_subpool(labelled, scored_pool, cfg.num_neighbours, cfg.subpool_size, seed=cfg.seed,
-                            uid=uid, max_search_size=cfg.max_search_size)
-    elif stage in ("anchoral", "anchoralwithsampling"):
-        sub = anchored_subpool(labelled, scored_pool, cfg, sampling=stage == "anchoralwithsampling",
-                               label=label, uid=uid, round_=round_)
-    else:
+    if stage not in STAGES or base not in BASE_STRATEGIES:
         raise ValueError(f"unknown strategy {name}")
-    subpool = scored_pool.join(sub.select(uid), on=uid, how="left_semi")
-    return run_base(base, subpool, q, cfg.seed, round_, uid)
+    sub = subpool(stage, scored_pool, labelled, cfg, round_, label, uid)
+    return run_base(base, scored_pool.join(sub.select(uid), on=uid, how="left_semi"), q, cfg.seed, round_, uid)

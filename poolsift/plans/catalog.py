@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_eval, q_prep, q_runs, q_select
+from . import q_eval, q_io, q_prep, q_runs, q_select
 
-MODULES = [q_select, q_prep, q_eval, q_runs]
+MODULES = [q_select, q_prep, q_eval, q_runs, q_io]
 
 
 def all_queries() -> dict:
