@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,24 +127,30 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = 50, metric: str = "co
     pool_sel = pool.select(F.col(id_col).cast("long").alias("uid"), F.col(vec_col).alias("vec"))
     if max_search_size is not None:
         pool_sel = hash_top_n(pool_sel, int(max_search_size), uid="uid", seed=seed)
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    if n_q == 0:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    n_chunks = max(1, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes))
-    n_parts = pool_sel.rdd.getNumPartitions()
-    results = []
-    for c in range(n_chunks):
-        chunk = queries if n_chunks == 1 else \
-            queries.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_chunks)) == c)
-        qids, Q = _query_block(chunk, id_col, vec_col, metric)
-        if Q.nbytes > 2 * max_broadcast_bytes:
-            raise ValueError("query chunk exceeds the broadcast budget")
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, Q))
-        cands = pool_sel.mapInPandas(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
-        results.append(_global_topk(cands, k, fan_in, n_parts))
+    # the query block is small by contract: materialise it once, size it, then fetch it
+    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+        n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+        if n_q == 0:
+            return spark.createDataFrame([], CANDIDATE_SCHEMA)
+        n_chunks = max(1, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes))
+        # cluster parallelism stands in for the pool's partition count (no extra job)
+        n_parts = spark.sparkContext.defaultParallelism
+        results = []
+        for c in range(n_chunks):
+            chunk = qdf if n_chunks == 1 else \
+                qdf.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)) == c)
+            qids, Q = _query_block(chunk, id_col, vec_col, metric)
+            if Q.nbytes > 2 * max_broadcast_bytes:
+                raise ValueError("query chunk exceeds the broadcast budget")
+            if len(qids) == 0:
+                continue
+            bc = spark.sparkContext.broadcast((qids, Q))
+            cands = pool_sel.mapInPandas(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
+            results.append(_global_topk(cands, k, fan_in, n_parts))
+    finally:
+        qdf.unpersist()
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -202,7 +209,7 @@ def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int =
     wanted = sorted({int(c) for c in near.ravel()})
     pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
     cands = pool_sel.mapInPandas(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
-    return _global_topk(cands, k, 64, pool_sel.rdd.getNumPartitions())
+    return _global_topk(cands, k, 64, spark.sparkContext.defaultParallelism)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_order_key
 from ..functions.vectors import as_doubles
 from ..operators.sampling import initial_budget
+from ..session import cut_lineage
 
 NUM_CLASSES = 10
 MINORITY = [0]
@@ -50,8 +51,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return initial_budget(embeddings(spark, sf_dir), "label", POSITIVE_BUDGET, TOTAL_BUDGET, MINORITY,
-                          seed=BUDGET_SEED)
+    """The initial labelled set; a bounded sample, checkpointed into the shared
+    folder so the many plans that reuse it read it instead of recomputing it."""
+    lab = initial_budget(embeddings(spark, sf_dir), "label", POSITIVE_BUDGET, TOTAL_BUDGET, MINORITY,
+                         seed=BUDGET_SEED)
+    return cut_lineage(lab)
 
 
 def pool(spark: SparkSession, sf_dir: str, lab: DataFrame | None = None) -> DataFrame:

@@ -97,8 +97,8 @@ def read_yaml_configs(spark: SparkSession, root: str, schema: Ty.StructType | st
     Files are read whole (``wholetext``); each task converts its files' YAML
     to JSON text in an Arrow batch and Spark parses it with an explicit schema.
     """
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).text(root)
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .text(root, wholetext=True)
            .select(F.col("value").alias("body"), run_dir(F.col("_metadata.file_path")).alias("filename")))
 
     def to_json(batches):
