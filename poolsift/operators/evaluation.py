@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, logsumexp, max_prob
@@ -98,11 +98,12 @@ def calibration(scored: DataFrame, bins: int = 10, label: str = "label", logits:
                   .withColumn("bin", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1))))
     per_bin = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf"),
                                       F.avg("hit").alias("acc"))
-    n_all = rows.select(F.count(F.lit(1))).scalar()
+    # weights from the (at most ``bins``-row) bin table: one scan of the data
     gap = F.abs(F.col("acc") - F.col("conf"))
-    w = F.col("n") / n_all
-    return per_bin.agg(F.sum(w * gap).alias("ece"), F.max(gap).alias("mce"),
-                       F.sqrt(F.sum(w * gap * gap)).alias("rmsce"))
+    weighted = per_bin.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    w = F.col("w")
+    return weighted.agg(F.sum(w * gap).alias("ece"), F.max(gap).alias("mce"),
+                        F.sqrt(F.sum(w * gap * gap)).alias("rmsce"))
 
 
 def mean_loss(scored: DataFrame, label: str = "label", logits: str = "logits") -> DataFrame:

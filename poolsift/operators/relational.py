@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 
 def select_exclude(df: DataFrame, exclude: Sequence[str], rename: Mapping[str, str] | None = None) -> DataFrame:
@@ -18,18 +19,27 @@ def select_exclude(df: DataFrame, exclude: Sequence[str], rename: Mapping[str, s
 def prune_columns(df: DataFrame, drop_pattern: str | None = None, keep: Sequence[str] = (),
                   drop_constant: bool = True, drop_all_null: bool = True) -> DataFrame:
     """Drop columns by name regex, constant columns (<= 1 distinct non-null value) and
-    all-NULL columns.  One aggregate pass computes every column's distinct count."""
+    all-NULL columns, all decided from one aggregate pass."""
     cols = [c for c in df.columns if c in keep or not (drop_pattern and re.search(drop_pattern, c))]
     if not (drop_constant or drop_all_null):
         return df.select(*cols)
-    stats = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)],
-                   *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    # constant <=> min == max over non-NULL values: plain partial aggregates, no
+    # distinct expansion; types without an order fall back to a distinct count
+    aggs = []
+    for i, c in enumerate(cols):
+        ref = F.col(f"`{c}`")
+        aggs.append(F.count(ref).alias(f"n{i}"))
+        if isinstance(df.schema[c].dataType, Ty.MapType):
+            aggs.append((F.count_distinct(ref) <= 1).alias(f"k{i}"))
+        else:
+            aggs.append(F.coalesce(F.min(ref) == F.max(ref), F.lit(True)).alias(f"k{i}"))
+    stats = df.agg(*aggs).first()
     kept = []
     for i, c in enumerate(cols):
         if c in keep:
             kept.append(c)
             continue
-        if drop_constant and stats[f"d{i}"] <= 1:
+        if drop_constant and stats[f"k{i}"]:
             continue
         if drop_all_null and stats[f"n{i}"] == 0:
             continue

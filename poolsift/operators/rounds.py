@@ -63,3 +63,28 @@ def hash_embed(docs: DataFrame, text: str, dim: int = 64, id_col: str = "uid") -
     tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim).transform(toks)
     nv = Normalizer(inputCol="__tf", outputCol="__nv", p=2.0).transform(tf)
     return nv.select(id_col, vector_to_array("__nv").alias("embedding"))
+
+
+def length_sorted(df: DataFrame, length: str, uid: str = "uid", partitions: int | None = None) -> DataFrame:
+    """Range-partition by length and sort inside partitions, so each inference
+    batch holds texts of similar length (little padding)."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartitionByRange(n, length, uid).sortWithinPartitions(length, uid)
+
+
+def embed_batches(docs: DataFrame, text: str, encode, dim: int, id_col: str = "uid") -> DataFrame:
+    """Pluggable encoder over Arrow batches: ``encode(list[str]) -> ndarray (n, dim)``.
+
+    Rows are length-sorted first; each task encodes its own batches, so the
+    encoder (for example an ONNX session) is loaded once per Python worker.
+    """
+    import numpy as np
+
+    sized = length_sorted(docs.select(id_col, text, F.length(text).alias("__len")), "__len", id_col)
+
+    def run(batches):
+        for pdf in batches:
+            vecs = np.asarray(encode(pdf[text].tolist()), dtype=np.float64).reshape(len(pdf), dim)
+            yield pdf[[id_col]].assign(embedding=list(vecs))
+
+    return sized.select(id_col, text).mapInPandas(run, f"{id_col} long, embedding array<double>")

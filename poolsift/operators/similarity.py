@@ -193,6 +193,24 @@ def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str =
     return cells, centers, meta
 
 
+def write_ivf(cells: DataFrame, centers: np.ndarray, meta: DataFrame, path: str) -> str:
+    """Persist the index: the cell table partitioned by ``cell`` (so a probe reads
+    only its cells' directories), the centres and the metadata row."""
+    spark = cells.sparkSession
+    cells.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/cells")
+    rows = [(int(i), [float(x) for x in c]) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "cell long, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
+    meta.coalesce(1).write.parquet(f"{path}/meta")
+    return path
+
+
+def load_ivf(spark, path: str):
+    """Read an index written by ``write_ivf``: (cells, centers, meta)."""
+    cen = sorted(spark.read.parquet(f"{path}/centers").collect(), key=lambda r: r["cell"])
+    centers = np.array([r["center"] for r in cen], dtype=np.float64)
+    return spark.read.parquet(f"{path}/cells"), centers, spark.read.parquet(f"{path}/meta")
+
+
 def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int = 50, n_probe: int = 4,
             metric: str = "cosine", id_col: str = "uid", vec_col: str = "embedding") -> DataFrame:
     """Approximate kNN: each query scores only rows of its ``n_probe`` nearest cells."""

@@ -9,7 +9,7 @@ from ..operators import report as RP
 from ..operators import strategies as ST
 from ..operators.anchors import anchors_random
 from ..operators.rounds import active_rounds, hash_embed
-from ..operators.similarity import build_ivf, ivf_knn
+from ..operators.similarity import build_ivf, ivf_knn, load_ivf, write_ivf
 from ..session import shared_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -242,7 +242,8 @@ def q_ivf_knn(spark, d):
     """Approximate kNN: anchors probe 3 of 8 k-means cells of the pool."""
     lab = T.labelled(spark, d)
     pool = T.pool(spark, d, lab)
-    cells, centers, _meta = build_ivf(pool, n_cells=8, seed=42)
+    path = write_ivf(*build_ivf(pool, n_cells=8, seed=42), shared_path(spark, "ivf"))
+    cells, centers, _meta = load_ivf(spark, path)
     anchors = anchors_random(lab, 5, seed=43)
     cands = ivf_knn(anchors, cells, centers, k=20, n_probe=3)
     return cands.select("search_query_uid", "uid", r6("dists").alias("dists"))

@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints of dropped DataFrames are removed from the shared folder
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # streaming state (dedupe keys, running counts) on local disk, not the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # keep Arrow batches moderate so a Python worker never holds a huge batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
