@@ -2,7 +2,8 @@
 
 Exact kNN (``knn_join``): the query block (anchors, labelled rows: tens to a
 few thousand rows) is size-checked and broadcast; the pool is never
-shuffled.  Each pool partition runs a numpy matmul per Arrow batch and keeps
+shuffled.  Each pool partition runs a numpy matmul per Arrow batch (``mapInArrow``: vectors go from the
+Arrow buffer to a 2-D array with no per-row Python objects) and keeps
 only its local top-k per query, so the only shuffle carries
 ``partitions x queries x k`` rows.  A final ``row_number() <= k`` per query
 (with a salted intermediate level when there are many partitions) gives the
@@ -19,11 +20,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..functions.vectors import as_doubles
 from .sampling import hash_top_n
 
@@ -57,41 +59,72 @@ def _topk_rows(D: np.ndarray, U: np.ndarray, k: int):
     Dk = np.take_along_axis(D, part, 1)
     Uk = np.take_along_axis(U, part, 1)
     thr = Dk.max(axis=1)
+    # rows whose k-th distance is tied with a row left out (duplicate vectors):
+    # order only the candidates at or below the threshold by (distance, uid)
     for i in np.nonzero((D <= thr[:, None]).sum(axis=1) > k)[0]:
-        order = np.lexsort((U[i], D[i]))[:k]
+        cand = np.nonzero(D[i] <= thr[i])[0]
+        order = cand[np.lexsort((U[i, cand], D[i, cand]))[:k]]
         Dk[i], Uk[i] = D[i, order], U[i, order]
     return Dk, Uk
 
 
+def _matrix(col: pa.Array) -> np.ndarray:
+    """list<double> Arrow column -> (rows, dim) float64 array without Python objects."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    n = len(col)
+    if n == 0:
+        return np.empty((0, 0))
+    offsets = col.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    if col.null_count == 0 and (lengths == lengths[0]).all():
+        values = col.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+        return values.astype(np.float64, copy=False).reshape(n, int(lengths[0]))
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
+
+
 def _local_topk(bc, k: int, metric: str, probe=None):
-    """mapInPandas body: running top-k per query over one pool partition."""
+    """mapInArrow body: running top-k per query over one pool partition.
+
+    With ``probe`` (IVF), each block is split by cell and only the queries
+    that probe a cell are scored against its rows.
+    """
 
     def run(batches):
         qids, Q = bc.value
         probes = probe.value if probe is not None else None
         nq = len(qids)
-        best_d = np.empty((nq, 0))
-        best_u = np.empty((nq, 0), dtype=np.int64)
+        best_d = np.full((nq, k), np.inf)
+        best_u = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
         step = max(1, BLOCK_ELEMENTS // max(nq, 1))
-        for pdf in batches:
-            if len(pdf) == 0:
+
+        def merge(qi, D, u):
+            U = np.broadcast_to(u, D.shape)
+            d, uu = _topk_rows(np.hstack([best_d[qi], D]), np.hstack([best_u[qi], U]), k)
+            best_d[qi], best_u[qi] = d, uu
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                P = np.vstack(part["vec"].to_numpy()).astype(np.float64)
-                u = part["uid"].to_numpy(np.int64)
-                D = _distances(Q, P, metric)
-                if probes is not None:
-                    cells = part["cell"].to_numpy(np.int64)
-                    D = np.where(probes[:, cells], D, np.inf)
-                U = np.broadcast_to(u, D.shape)
-                best_d, best_u = _topk_rows(np.hstack([best_d, D]), np.hstack([best_u, U]), k)
-        if best_d.shape[1] == 0:
+            P_all = _matrix(rb.column("vec"))
+            u_all = rb.column("uid").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            c_all = rb.column("cell").to_numpy(zero_copy_only=False) if probes is not None else None
+            for lo in range(0, rb.num_rows, step):
+                P, u = P_all[lo:lo + step], u_all[lo:lo + step]
+                if probes is None:
+                    merge(slice(None), _distances(Q, P, metric), u)
+                    continue
+                cells = c_all[lo:lo + step]
+                for c in np.unique(cells):
+                    qi = np.nonzero(probes[:, c])[0]
+                    if len(qi):
+                        rows = cells == c
+                        merge(qi, _distances(Q[qi], P[rows], metric), u[rows])
+        keep = np.isfinite(best_d)
+        if not keep.any():
             return
-        kk = best_d.shape[1]
-        out = pd.DataFrame({"search_query_uid": np.repeat(qids, kk),
-                            "uid": best_u.ravel(), "dists": best_d.ravel()})
-        yield out[np.isfinite(out["dists"])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(qids, k)[keep.ravel()], pa.int64()), pa.array(best_u[keep], pa.int64()),
+             pa.array(best_d[keep], pa.float64())], names=["search_query_uid", "uid", "dists"])
 
     return run
 
@@ -147,7 +180,7 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = 50, metric: str = "co
             if len(qids) == 0:
                 continue
             bc = spark.sparkContext.broadcast((qids, Q))
-            cands = pool_sel.mapInPandas(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
+            cands = pool_sel.mapInArrow(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
             results.append(_global_topk(cands, k, fan_in, n_parts))
     finally:
         qdf.unpersist()
@@ -167,9 +200,14 @@ def search_stats(candidates: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- IVF ----
 
 def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str = "uid",
-              vec_col: str = "embedding", metric: str = "cosine", max_iter: int = 20):
+              vec_col: str = "embedding", metric: str = "cosine", max_iter: int = 20,
+              train_per_cell: int = 256):
     """Coarse quantiser (MLlib KMeans on unit vectors) and the cell-assigned pool.
 
+    As usual for IVF, the quantiser is trained on a sample (about
+    ``train_per_cell`` rows per cell, chosen by the md5 hash of the id, so it
+    is deterministic); every pool row is then assigned in one pass.
+
     Returns ``(cells, centers, meta)``: ``cells`` is ``uid, vec, cell``
     (write it partitioned by ``cell`` to reuse it across runs), ``centers``
     a (n_cells x dim) numpy array (the small model), ``meta`` a one-row
@@ -182,8 +220,11 @@ def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str =
         F.aggregate(as_doubles(vec_col), F.lit(0.0), lambda s, y: s + y * y)))
     base = pool.select(F.col(id_col).cast("long").alias("uid"), as_doubles(vec_col).alias("vec"),
                        array_to_vector(unit if metric == "cosine" else as_doubles(vec_col)).alias("features"))
+    n_rows = pool.count()
+    frac = min(1.0, train_per_cell * n_cells / max(n_rows, 1))
+    train = base.filter(uniform(f"{seed}:ivf", "uid") < F.lit(frac)) if frac < 1.0 else base
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(base)
+                   predictionCol="cell").fit(train)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
     cells = model.transform(base).select("uid", "vec", F.col("cell").cast("long").alias("cell"))
     spark = pool.sparkSession
@@ -226,7 +267,7 @@ def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int =
     bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
     wanted = sorted({int(c) for c in near.ravel()})
     pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
-    cands = pool_sel.mapInPandas(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
+    cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
     return _global_topk(cands, k, 64, spark.sparkContext.defaultParallelism)
 
 

@@ -94,3 +94,24 @@ def test_badge_distance_matches_materialised(spark):
 
 def test_registry_names():
     assert len(ST.STRATEGY_NAMES) == 25 and "anchoral_entropy" in ST.STRATEGY_NAMES
+
+
+def test_knn_join_exact_ties_broken_by_uid(spark):
+    # duplicated vectors give exactly equal distances; order must be (dist, uid)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(30, 6))
+    P = np.vstack([base] * 7)
+    uids = rng.permutation(len(P)) + 100
+    rows = [(int(uids[i]), 0, [float(x) for x in P[i]]) for i in range(len(P))]
+    pool = spark.createDataFrame(rows, "uid long, label int, embedding array<double>").repartition(3)
+    q, Q = _vectors(spark, 4, 6, 12, start=50_000)
+    got = knn_join(q, pool, k=12).collect()
+    Pn = P / np.linalg.norm(P, axis=1)[:, None]
+    Qn = Q / np.linalg.norm(Q, axis=1)[:, None]
+    D = 1 - Qn @ Pn.T
+    for i in range(4):
+        order = np.lexsort((uids, np.round(D[i], 12)))[:12]
+        exp = [int(uids[j]) for j in order]
+        mine = [r["uid"] for r in sorted((r for r in got if r["search_query_uid"] == 50_000 + i),
+                                         key=lambda r: (round(r["dists"], 12), r["uid"]))]
+        assert mine == exp
