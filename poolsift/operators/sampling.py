@@ -5,7 +5,7 @@ keep a prefix of that order (per group where there are groups).
 
 Two physical forms of the same answer:
 
-* small N (``n <= SMALL_N``): ``row_number() <= n`` over the group.  Catalyst
+* small N (``n <= SMALL_N``, 200): ``row_number() <= n`` over the group.  Catalyst
   plans a partial ``WindowGroupLimit`` before the shuffle, so each map task
   ships at most ``n`` rows per group.
 * large or per-group N: a histogram of the leading hex digits of the order
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_of, gumbel, order_key
 
-SMALL_N = 1000
+# above this the final window task could see partitions x N rows of one group
+SMALL_N = 200
 
 
 def _by_list(by) -> list[str]:

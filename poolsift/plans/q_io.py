@@ -68,8 +68,9 @@ ROUNDS_SCHEMA = "run long, labelling_round int, subpool_ids array<long>"
 def _write_round_files(spark, d):
     li = T.read(spark, d, "lineitem")
     rnd = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int").alias("labelling_round")
-    obj = li.groupBy(F.col("l_suppkey").alias("run"), rnd).agg(
-        F.sort_array(F.collect_list(F.col("l_orderkey") * 8 + F.col("l_linenumber"))).alias("subpool_ids"))
+    rows = li.select(F.col("l_suppkey").alias("run"), rnd,
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("uid"))
+    obj = SK.id_arrays(rows, ["run", "labelling_round"], "uid", "subpool_ids")
     path = shared_path(spark, "rounds-jsonl")
     obj.write.mode("append").json(path)
     return path

@@ -13,6 +13,7 @@ from ..functions import text as TX
 from ..operators import curves as C
 from ..operators import relational as R
 from ..operators import report as RP
+from ..sources.sinks import id_arrays
 from . import tables as T
 from .tables import SQL_LABEL_LOG, SQL_RUN_PARAMS, SQL_SCALAR_LOG
 
@@ -395,8 +396,9 @@ def q_explode_ids(spark, d):
     """Per-round id arrays (as the round files store them) back to rows."""
     li = T.read(spark, d, "lineitem")
     rnd = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("labelling_round")
-    arr = li.groupBy(F.col("l_suppkey").alias("run"), rnd).agg(
-        F.collect_list(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ids"))
+    rows = li.select(F.col("l_suppkey").alias("run"), rnd,
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("uid"))
+    arr = id_arrays(rows, ["run", "labelling_round"], "uid", "ids")
     return arr.select("run", "labelling_round", F.explode("ids").alias("uid"))
 
 

@@ -27,12 +27,28 @@ def write_dataset(df: DataFrame, path: str, split_col: str = "split") -> str:
     return write_parquet(df, path, mode="errorifexists", partition_by=[split_col])
 
 
+def id_arrays(df: DataFrame, keys: Sequence[str], id_col: str, array_name: str,
+              max_len: int = 1000) -> DataFrame:
+    """Group ids into arrays per key, at most about ``max_len`` ids per array.
+
+    A key's rows are split into ``ceil(count / max_len)`` hash chunks (counts
+    from a partial aggregate), so no task ever collects a whole hot key; the
+    reader explodes the arrays back, so the chunking is invisible to it.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    chunked = df.join(counts, on=list(keys), how="inner").withColumn(
+        "__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.ceil(F.col("__n") / F.lit(max_len))))
+    return (chunked.groupBy(*keys, "__chunk")
+                   .agg(F.sort_array(F.collect_list(F.col(id_col))).alias(array_name))
+                   .drop("__chunk"))
+
+
 def append_round_ids(ids: DataFrame, path: str, round_value: int, id_col: str = "uid",
-                     array_name: str = "subpool_ids", group: Sequence[str] = ()) -> str:
-    """Append one JSON object per round (and group): an id array plus the round."""
-    obj = ids.groupBy(*group).agg(F.sort_array(F.collect_list(F.col(id_col).cast("int"))).alias(array_name)) \
-        .withColumn("labelling_round", F.lit(round_value).cast("int"))
-    obj.coalesce(1).write.mode("append").json(path)
+                     array_name: str = "subpool_ids", group: Sequence[str] = (), max_len: int = 1000) -> str:
+    """Append JSON objects for one round: id arrays (chunked) plus the round."""
+    obj = id_arrays(ids.withColumn("__g", F.lit(0)), [*group, "__g"], id_col, array_name, max_len) \
+        .drop("__g").withColumn("labelling_round", F.lit(round_value).cast("int"))
+    obj.write.mode("append").json(path)
     return path
 
 
