@@ -40,7 +40,7 @@ MINORITY_FLAG = "R"
 VARIABLES = ["f1_majority", "f1_minority", "time"]
 # Fixed display names for strategies; one key is deliberately misspelt
 # ("seals-entropy"), so its rows map to NULL and are dropped.
-DISPLAY = {"anchoral_entropy": "AnchorAL", "seals-entropy": "SEALS",
+DISPLAY = {"anchoral_entropy": "Anchored", "seals-entropy": "SEALS",
            "randomsubset_entropy": "RandomSubset", "noop_entropy": "Entropy", "noop_random": "Random"}
 
 
