@@ -171,7 +171,9 @@ def initial_budget(df: DataFrame, label: str, positive_budget: int | None, total
     minority = list(minority_classes)
     is_min = F.col(label).isin(minority)
     pos = hash_top_n(df.filter(is_min), positive_budget, uid=uid, seed=seed, by=[label])
-    n_rest = F.lit(total_budget) - pos.select(F.count(F.lit(1))).scalar()
+    # at most positive_budget x |minority| rows: count them eagerly so the rest
+    # of the budget is a plain int (cheap window path when it is small)
+    n_rest = max(0, int(total_budget) - pos.count())
     rest = hash_top_n(df.filter(~is_min), n_rest, uid=uid, seed=seed)
     return pos.unionByName(rest)
 
