@@ -161,12 +161,19 @@ def q_join_hparams(spark, d):
 
 
 @register("case_collapse", f"""SELECT run, tag, CASE WHEN variable = 'time' AND step >= {LAST_STEP}
-  THEN {LAST_STEP + 1} ELSE step END AS step, variable FROM {SQL_JOINED}""")
+  THEN {LAST_STEP + 1} ELSE step END AS step, variable
+FROM (SELECT *, max(CASE WHEN variable = 'time' AND step >= {LAST_STEP} THEN step END)
+        OVER (PARTITION BY run, tag) AS last_hi FROM {SQL_JOINED})
+WHERE NOT (variable = 'time' AND step >= {LAST_STEP}) OR step = last_hi""")
 def q_case_collapse(spark, d):
+    """Variable classes by CASE, and the conditional recode of late time steps to one
+    step; only the latest such step per curve is kept, so no key is duplicated."""
     j = _joined(spark, d)
-    step = F.when((F.col("variable") == "time") & (F.col("step") >= LAST_STEP), F.lit(LAST_STEP + 1)) \
-        .otherwise(F.col("step"))
-    return j.select("run", "tag", step.alias("step"), "variable")
+    late = (F.col("variable") == "time") & (F.col("step") >= LAST_STEP)
+    last_hi = F.max(F.when(late, F.col("step"))).over(Window.partitionBy("run", "tag"))
+    kept = j.withColumn("__hi", last_hi).filter(~late | (F.col("step") == F.col("__hi")))
+    step = F.when(late, F.lit(LAST_STEP + 1)).otherwise(F.col("step"))
+    return kept.select("run", "tag", step.alias("step"), "variable")
 
 
 def _sql_display():
