@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import report as RP
 from ..operators import strategies as ST
 from ..operators.anchors import anchors_random
 from ..operators.rounds import active_rounds, hash_embed

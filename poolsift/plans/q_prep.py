@@ -10,7 +10,7 @@ from ..operators import relational as R
 from ..operators import report as RP
 from ..operators import sampling as S
 from . import tables as T
-from .tables import SQL_CORPUS, SQL_EMB, SQL_LABELLED_CTES, sql_top_n
+from .tables import SQL_CORPUS, SQL_LABELLED_CTES, sql_top_n
 
 QUERIES: dict = {}
 ORACLE: dict = {}

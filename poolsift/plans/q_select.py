@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import gumbel, sql_gumbel, sql_order_key
-from ..functions.vectors import as_doubles, cosine_distance, entropy
+from ..functions.hashing import sql_gumbel
+from ..functions.vectors import cosine_distance
 from ..operators import anchors as A
 from ..operators import sampling as S
 from ..operators import strategies as ST
 from ..operators.similarity import knn_join, search_stats
 from . import tables as T
-from .tables import (SQL_CORPUS, SQL_EMB, SQL_LABELLED_CTES, SQL_SCORED, sql_cos_dist, sql_entropy,
-                     sql_logits, sql_top_n)
+from .tables import SQL_EMB, SQL_LABELLED_CTES, sql_cos_dist, sql_entropy, sql_logits, sql_top_n
 
 QUERIES: dict = {}
 ORACLE: dict = {}
