@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_AXIS_VALUES = 10_000
@@ -26,11 +26,27 @@ def class_stats(df: DataFrame, label: str, names: DataFrame | None = None, total
     return out.drop("__g")
 
 
-def group_quartiles(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Exact median and IQR (linear interpolation) per group."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(*keys).agg(q.alias("__q"))
-              .select(*keys, F.col("__q")[1].alias("median"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr")))
+# groups up to this many values use Spark's exact ``percentile`` (its buffer
+# holds a group's distinct values); larger groups use histogram refinement
+PERCENTILE_MAX_GROUP = 1_000_000
+
+
+def group_quartiles(df: DataFrame, keys: Sequence[str], value: str = "value",
+                    max_group: int | None = None) -> DataFrame:
+    """Exact median and IQR (linear interpolation) per group.
+
+    One small aggregate measures the largest group; at or below
+    ``max_group`` values the single-pass ``percentile`` is used, above it
+    ``exact_quantiles`` (no task ever holds a whole group).  Same numbers.
+    """
+    limit = PERCENTILE_MAX_GROUP if max_group is None else max_group
+    biggest = df.groupBy(*keys).agg(F.count(value).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if biggest <= limit:
+        q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return (df.groupBy(*keys).agg(q.alias("__q"))
+                  .select(*keys, F.col("__q")[1].alias("median"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr")))
+    qs = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    return qs.select(*keys, F.col("q_1").alias("median"), (F.col("q_2") - F.col("q_0")).alias("iqr"))
 
 
 def geometric_mean(col: str) -> Column:
@@ -123,3 +139,64 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], lprefix
     if compare:
         out = out.withColumn("differs", ~F.col(f"{lprefix}{compare}").eqNullSafe(F.col(f"{rprefix}{compare}")))
     return out
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
+                    buckets: int = 4096, levels: int = 3) -> DataFrame:
+    """Exact quantiles (linear interpolation, as ``percentile``) without holding a
+    group's values in one task.
+
+    Each wanted order statistic (ranks floor/ceil of q*(n-1)) is located by
+    histogram refinement: per (group, target) the current value range is cut
+    into ``buckets`` equal-width buckets whose counts are partially aggregated;
+    the bucket holding the target rank becomes the next range.  A range whose
+    min equals its max is resolved at once; after ``levels`` rounds only the
+    rows of the remaining narrow ranges are ranked in a window.  Returns
+    ``keys..., q_<i>`` columns (one per q, in order).
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull())
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
+                                    F.max("__v").alias("__hi"))
+    # target ranks (0-based): lo and hi neighbours of every q
+    tgt_cols = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        tgt_cols += [F.struct(F.lit(2 * i).alias("t"), F.floor(pos).cast("long").alias("r")),
+                     F.struct(F.lit(2 * i + 1).alias("t"), F.ceil(pos).cast("long").alias("r"))]
+    targets = (stats.select(*keys, "__n", "__lo", "__hi", F.explode(F.array(*tgt_cols)).alias("__t"))
+                    .select(*keys, "__n", F.col("__t.t").alias("t"), F.col("__t.r").alias("r"),
+                            F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.lit(0).cast("long").alias("off")))
+    resolved = targets.filter(F.col("lo") == F.col("hi")).select(*keys, "t", F.col("lo").alias("val"))
+    open_t = targets.filter(F.col("lo") != F.col("hi"))
+    for _ in range(levels):
+        inr = rows.join(open_t, on=keys, how="inner").filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        b = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
+                    F.lit(buckets - 1)).cast("long")
+        hist = inr.groupBy(*keys, "t", "r", "off", b.alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("__v").alias("bmin"), F.max("__v").alias("bmax"))
+        w = Window.partitionBy(*keys, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = (hist.withColumn("cum", F.sum("c").over(w))
+                   .filter((F.col("off") + F.col("cum") - F.col("c") <= F.col("r")) & (F.col("r") < F.col("off") + F.col("cum")))
+                   .select(*keys, "t", "r", (F.col("off") + F.col("cum") - F.col("c")).alias("off"),
+                           F.col("bmin").alias("lo"), F.col("bmax").alias("hi")))
+        resolved = resolved.unionByName(hit.filter(F.col("lo") == F.col("hi")).select(*keys, "t", F.col("lo").alias("val")))
+        open_t = hit.filter(F.col("lo") != F.col("hi"))
+    # what is still open is a narrow value range: rank its rows exactly
+    inr = rows.join(open_t, on=keys, how="inner").filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+    wr = Window.partitionBy(*keys, "t").orderBy("__v")
+    last = (inr.withColumn("__k", F.col("off") + F.row_number().over(wr) - 1)
+               .filter(F.col("__k") == F.col("r")).select(*keys, "t", F.col("__v").alias("val")))
+    vals = resolved.unionByName(last)
+    # interpolate: lo + frac * (hi - lo)
+    wide = vals.groupBy(*keys).pivot("t", list(range(2 * len(qs)))).agg(F.first("val"))
+    n = stats.select(*keys, "__n")
+    out = wide.join(n, on=keys, how="inner")
+    cols = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        frac = pos - F.floor(pos)
+        lo, hi = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
+        cols.append((lo + frac * (hi - lo)).alias(f"q_{i}"))
+    return out.select(*keys, *cols)

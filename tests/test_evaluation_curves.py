@@ -102,3 +102,19 @@ def test_design_grid_and_missing(spark):
     grid = RP.design_grid(df, ["u", "t", "d"], large_axis="u")
     assert grid.count() == 8
     assert RP.missing_combinations(grid, df, ["u", "t", "d"]).count() == 6
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+    random.seed(3)
+    rows = [(g, float(random.choice([random.random(), 2.0, 2.0, 1e6 if i == 0 else random.lognormvariate(0, 2)])))
+            for g, n in ((0, 1), (1, 2), (2, 9), (3, 3000)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    qs = [0.25, 0.5, 0.75]
+    mine = {r["g"]: (r["q_0"], r["q_1"], r["q_2"]) for r in RP.exact_quantiles(df, ["g"], "v", qs, buckets=8).collect()}
+    ref = {r["g"]: tuple(r["p"]) for r in
+           df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
+    for g in ref:
+        assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine[g], ref[g]))
+    forced = {r["g"]: (r["median"], r["iqr"]) for r in RP.group_quartiles(df, ["g"], "v", max_group=0).collect()}
+    assert abs(forced[3][0] - ref[3][1]) < 1e-9 and abs(forced[3][1] - (ref[3][2] - ref[3][0])) < 1e-9
