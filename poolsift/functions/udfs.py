@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def trapz(values: pd.Series) -> pd.Series:
     def one(v):
         if v is None or len(v) <= 1:
