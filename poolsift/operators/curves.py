@@ -99,3 +99,28 @@ def budget_match(cells: DataFrame, group_keys: Sequence[str], strategy: str = "s
 def common_last_step(df: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
     """Minimum over groups of each group's maximum step (one row)."""
     return df.groupBy(*keys).agg(F.max(step).alias("__m")).agg(F.min("__m").alias("max_step"))
+
+
+def running_auc_blocked(df: DataFrame, keys: Sequence[str], order: str = "step", value: str = "value",
+                        out: str = "auc", block_size: int = 4096) -> DataFrame:
+    """``running_auc`` for curves too long for one task (same numbers).
+
+    A curve is cut into blocks of consecutive steps, ``floor(step / block_size)``.
+    Running sums inside a block are windows over (curve, block); block offsets
+    are prefix sums over the small table of per-block totals, joined back on
+    (curve, block).  A curve with a third of all rows is spread over its blocks.
+    """
+    keys = list(keys)
+    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block_size)))
+    w_in = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                                           Window.currentRow)
+    d = d.withColumn("__cs", F.sum(value).over(w_in))
+    totals = d.groupBy(*keys, "__blk").agg(F.sum(value).alias("__bs"), F.min_by(value, order).alias("__bf"))
+    wb = Window.partitionBy(*keys).orderBy("__blk")
+    offs = (totals.withColumn("__off", F.coalesce(
+                F.sum("__bs").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+                  .withColumn("__first", F.first("__bf").over(wb))
+                  .select(*keys, "__blk", "__off", "__first"))
+    j = d.join(offs, on=[*keys, "__blk"], how="inner")
+    return (j.withColumn(out, F.col("__off") + F.col("__cs") - (F.col("__first") + F.col(value)) / F.lit(2.0))
+             .drop("__blk", "__cs", "__off", "__first"))

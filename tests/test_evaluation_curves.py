@@ -118,3 +118,13 @@ def test_exact_quantiles_match_percentile(spark):
         assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine[g], ref[g]))
     forced = {r["g"]: (r["median"], r["iqr"]) for r in RP.group_quartiles(df, ["g"], "v", max_group=0).collect()}
     assert abs(forced[3][0] - ref[3][1]) < 1e-9 and abs(forced[3][1] - (ref[3][2] - ref[3][0])) < 1e-9
+
+
+def test_running_auc_blocked_equals_window(spark):
+    import random
+    random.seed(5)
+    rows = [(r, "t", s, random.random() * 10) for r, n in (("a", 1), ("b", 3), ("c", 5000)) for s in range(n)]
+    df = spark.createDataFrame(rows, "run string, tag string, step int, value double").repartition(4)
+    a = {(r["run"], r["step"]): r["auc"] for r in C.running_auc(df, ["run", "tag"]).collect()}
+    b = {(r["run"], r["step"]): r["auc"] for r in C.running_auc_blocked(df, ["run", "tag"], block_size=64).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
