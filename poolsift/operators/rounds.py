@@ -9,6 +9,7 @@ the number of rounds and a lost executor only costs the current round.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,10 @@ def active_rounds(base: DataFrame, initial: DataFrame, strategy: str, rounds: in
     for r in range(rounds):
         lab = base.join(log.select(uid), uid, "left_semi")
         pool = base.join(log.select(uid), uid, "left_anti")
-        model = make().fit(_features(lab, vec))
+        # iterative fit: keep the (budget-sized) training rows materialised for its passes
+        train = _features(lab, vec).persist(StorageLevel.MEMORY_AND_DISK)
+        model = make().fit(train)
+        train.unpersist()
         picks = run_strategy(strategy, score_with(model, pool, vec), score_with(model, lab, vec), batch,
                              cfg, round_=r, label=label, uid=uid)
         log = cut_lineage(log.unionByName(picks.select(uid, F.lit(r).alias("labelling_round"))))
