@@ -54,16 +54,24 @@ def geometric_mean(col: str) -> Column:
     return F.when(F.min(col) == 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(F.col(col)))))
 
 
+def _distinct(col: str, approx: bool) -> Column:
+    # approx: HyperLogLog++ sketch, constant memory per group and mergeable
+    return F.approx_count_distinct(col) if approx else F.count_distinct(col)
+
+
 def count_distinct_having(df: DataFrame, keys: Sequence[str], col: str, min_count: int,
-                          exempt: Column | None = None, out: str = "n_runs") -> DataFrame:
-    agg = df.groupBy(*keys).agg(F.count_distinct(col).alias(out))
+                          exempt: Column | None = None, out: str = "n_runs", approx: bool = False) -> DataFrame:
+    """Distinct count per group, kept where it reaches ``min_count`` (or the row is exempt)."""
+    agg = df.groupBy(*keys).agg(_distinct(col, approx).alias(out))
     cond = F.col(out) >= min_count
     return agg.filter(cond | exempt if exempt is not None else cond)
 
 
-def distinct_count_back(df: DataFrame, keys: Sequence[str], col: str, out: str = "n_unique") -> DataFrame:
-    """Group distinct count written back to rows (aggregate, then join on the keys)."""
-    agg = df.groupBy(*keys).agg(F.count_distinct(col).alias(out))
+def distinct_count_back(df: DataFrame, keys: Sequence[str], col: str, out: str = "n_unique",
+                        approx: bool = False) -> DataFrame:
+    """Group distinct count written back to rows (aggregate, then join on the keys;
+    DISTINCT window aggregates are not available)."""
+    agg = df.groupBy(*keys).agg(_distinct(col, approx).alias(out))
     return df.join(agg, on=list(keys), how="inner")
 
 
