@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -74,12 +76,17 @@ def ship_package(spark: SparkSession) -> None:
     this package by module name, so the package is zipped on the driver and
     distributed with ``addPyFile``, the standard way to ship Python code.
     """
-    import zipfile
-
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
-        return
+    with _SHIP_LOCK:
+        if key not in _SHIPPED:
+            _ship(sc)
+            _SHIPPED.add(key)
+
+
+def _ship(sc) -> None:
+    import zipfile
+
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     out = os.path.join(tempfile.mkdtemp(prefix="poolsift-pyfiles-"), "poolsift.zip")
@@ -91,7 +98,6 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(key)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
