@@ -59,6 +59,9 @@ def hash_top_n(df: DataFrame, n, uid: str = "uid", seed=42, by=None,
 
 def _top_n_window(df, n, uid, seed, by, rank_col):
     key = "__k"
+    if not by and not rank_col:
+        # global sample: per-partition top n, then one merge (TakeOrderedAndProject)
+        return (df.withColumn(key, order_key(seed, uid)).orderBy(F.col(key), F.col(uid)).limit(n).drop(key))
     w = Window.partitionBy(*by).orderBy(F.col(key), F.col(uid)) if by else \
         Window.orderBy(F.col(key), F.col(uid))
     rn = rank_col or "__rn"
