@@ -43,21 +43,27 @@ def id_arrays(df: DataFrame, keys: Sequence[str], id_col: str, array_name: str,
                    .drop("__chunk"))
 
 
+def _round_writer(df: DataFrame, round_col: str):
+    """Per-round partitioned write with dynamic partition overwrite: writing a round
+    again (a retried or re-run round) replaces that round only, so it is idempotent."""
+    return (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(round_col))
+
+
 def append_round_ids(ids: DataFrame, path: str, round_value: int, id_col: str = "uid",
                      array_name: str = "subpool_ids", group: Sequence[str] = (), max_len: int = 1000) -> str:
-    """Append JSON objects for one round: id arrays (chunked) plus the round."""
+    """Add one round of JSON objects: id arrays (chunked) under ``labelling_round=<r>``."""
     obj = id_arrays(ids.withColumn("__g", F.lit(0)), [*group, "__g"], id_col, array_name, max_len) \
         .drop("__g").withColumn("labelling_round", F.lit(round_value).cast("int"))
-    obj.write.mode("append").json(path)
+    _round_writer(obj, "labelling_round").json(path)
     return path
 
 
 def append_logits(scored: DataFrame, path: str, round_value: int, logits: str = "logits",
                   num_classes: int = 10, uid: str = "uid") -> str:
-    """Append instance logits as ``logit_i`` columns with uid and round, partitioned by round."""
+    """Add one round of instance logits (``logit_i`` columns, uid) under ``round=<r>``."""
     wide = scored.select(*[F.get(F.col(logits), i).alias(f"logit_{i}") for i in range(num_classes)],
                          F.col(uid).alias("uid"), F.lit(round_value).cast("int").alias("round"))
-    wide.write.mode("append").partitionBy("round").parquet(path)
+    _round_writer(wide, "round").parquet(path)
     return path
 
 

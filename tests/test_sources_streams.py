@@ -74,3 +74,20 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.columns == ["uid", "entropy"] and df.count() == 25
+
+
+def test_round_sinks_idempotent(spark):
+    ids = spark.createDataFrame([(i,) for i in range(2500)], "uid long")
+    path = shared_path(spark, "rounds")
+    for r in (0, 1, 1):                     # round 1 written twice (a retried round)
+        SK.append_round_ids(ids.filter(F.col("uid") % 2 == r), path, r, max_len=1000)
+    back = RD.read_jsonl(spark, path, "subpool_ids array<long>, labelling_round int")
+    rows = back.select("labelling_round", F.explode("subpool_ids").alias("uid"))
+    counts = {r["labelling_round"]: r["count"] for r in rows.groupBy("labelling_round").count().collect()}
+    assert counts == {0: 1250, 1: 1250}
+    assert back.filter(F.size("subpool_ids") > 1000).count() == 0
+    scored = spark.createDataFrame([(i, [0.1 * i, 0.2]) for i in range(5)], "uid long, logits array<double>")
+    lpath = shared_path(spark, "logits")
+    for r in (0, 0, 3):
+        SK.append_logits(scored, lpath, r, num_classes=2)
+    assert spark.read.parquet(lpath).groupBy("round").count().orderBy("round").collect()[0]["count"] == 5
