@@ -94,8 +94,10 @@ def kmeans_rows(df: DataFrame, k: int, seed: int = 42, uid: str = "uid", vec: st
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    base = df.select(F.col(uid).alias("uid"), as_doubles(vec).alias("__v")) \
-        .withColumn("features", array_to_vector("__v"))
+    # iterative fit: materialise the (subpool- or class-sized) input once so the
+    # iterations do not recompute its lineage (kNN, subpool, ...) every pass
+    base = cut_lineage(df.select(F.col(uid).alias("uid"), as_doubles(vec).alias("__v"))
+                       .withColumn("features", array_to_vector("__v")))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="cluster").fit(base)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     centre_col = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])

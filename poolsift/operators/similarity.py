@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..functions.vectors import as_doubles
+from ..session import cut_lineage
 from .sampling import hash_top_n
 
 CANDIDATE_SCHEMA = "search_query_uid long, uid long, dists double"
@@ -223,6 +224,7 @@ def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str =
     n_rows = pool.count()
     frac = min(1.0, train_per_cell * n_cells / max(n_rows, 1))
     train = base.filter(uniform(f"{seed}:ivf", "uid") < F.lit(frac)) if frac < 1.0 else base
+    train = cut_lineage(train)   # the iterations re-read the sample, not the pool scan
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(train)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
