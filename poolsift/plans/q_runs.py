@@ -180,10 +180,13 @@ def _sql_display():
     return "CASE strategy_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY.items()) + " END"
 
 
-@register("map_lookup", f"""SELECT run, display FROM (SELECT run, {_sql_display()} AS display FROM ({SQL_PARAMS}))
+@register("map_lookup", f"""SELECT run, display, model FROM (SELECT run, {_sql_display()} AS display,
+  CASE WHEN model_name = 'GERMANY' THEN 'DEUTSCHLAND' ELSE model_name END AS model FROM ({SQL_PARAMS}))
 WHERE display IS NOT NULL""")
 def q_map_lookup(spark, d):
-    p = _params(spark, d).select("run", F.col("strategy_name").alias("display"))
+    """Dictionary map (unmatched -> NULL, rows dropped) and a one-value replace (rest kept)."""
+    p = _params(spark, d).select("run", F.col("strategy_name").alias("display"), F.col("model_name").alias("model"))
+    p = R.replace_value(p, "model", "GERMANY", "DEUTSCHLAND")
     return R.map_lookup(p, "display", DISPLAY, drop_unmatched=True)
 
 
