@@ -41,7 +41,7 @@ def top_n_by(df: DataFrame, n: int, by: Sequence[str], order: Sequence[Column],
 def kmeanspp_pick(df: DataFrame, k: int, seed=42, by: Sequence[str] = (), uid: str = "uid",
                   vec_cols: Sequence[str] = ("vec",),
                   sqdist: Callable[[Sequence[Column], Sequence[Column]], Column] = squared_euclidean,
-                  checkpoint_every: int = 4) -> DataFrame:
+                  checkpoint_every: int = 4, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """k-means++ seeding picks: returns ``by..., uid, pick_step`` (k rows per group,
     or the whole group when it has at most k rows)."""
     by = list(by)
@@ -67,10 +67,12 @@ def kmeanspp_pick(df: DataFrame, k: int, seed=42, by: Sequence[str] = (), uid: s
         if not picks:
             break
         if by:
-            # one row per group: the step's output, broadcast with a known size
+            # one row per group: the step's output, held on the driver, so its size is known;
+            # broadcast it below the budget, else let the planner shuffle-join it
             pick_df = spark.createDataFrame(picks, schema=state.select(
                 *by, F.col("uid").alias("__pu"), *[F.col(c).alias(f"__c_{c}") for c in vec_cols]).schema)
-            joined = state.join(F.broadcast(pick_df), on=by, how="left")
+            nbytes = sum(8 * len(p[f"__c_{c}"] or []) + 64 for p in picks for c in vec_cols)
+            joined = state.join(F.broadcast(pick_df) if nbytes <= broadcast_bytes else pick_df, on=by, how="left")
         else:
             p = picks[0]
             joined = state.withColumn("__pu", F.lit(p["__pu"]).cast("long"))

@@ -255,22 +255,46 @@ def load_ivf(spark, path: str):
 
 
 def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int = 50, n_probe: int = 4,
-            metric: str = "cosine", id_col: str = "uid", vec_col: str = "embedding") -> DataFrame:
-    """Approximate kNN: each query scores only rows of its ``n_probe`` nearest cells."""
+            metric: str = "cosine", id_col: str = "uid", vec_col: str = "embedding",
+            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Approximate kNN: each query scores only rows of its ``n_probe`` nearest cells.
+
+    The query block is measured and broadcast in hash-split chunks under the
+    byte budget (as in ``knn_join``); the probe table is queries x cells booleans.
+    """
     spark = cells.sparkSession
-    qids, Q = _query_block(queries, id_col, vec_col, metric)
-    if len(qids) == 0:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    cn = centers / np.maximum(np.linalg.norm(centers, axis=1), 1e-300)[:, None]
-    near = np.argsort(1.0 - Q @ cn.T, axis=1)[:, :min(n_probe, len(centers))]
-    probes = np.zeros((len(qids), len(centers)), dtype=bool)
-    np.put_along_axis(probes, near, True, axis=1)
     sc = spark.sparkContext
-    bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
-    wanted = sorted({int(c) for c in near.ravel()})
-    pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
-    cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
-    return _global_topk(cands, k, 64, spark.sparkContext.defaultParallelism)
+    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+        n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+        if n_q == 0:
+            return spark.createDataFrame([], CANDIDATE_SCHEMA)
+        per_query = 8 * max(dim, 1) + len(centers)
+        n_chunks = max(1, math.ceil(n_q * per_query / max_broadcast_bytes))
+        cn = centers / np.maximum(np.linalg.norm(centers, axis=1), 1e-300)[:, None]
+        results = []
+        for c in range(n_chunks):
+            chunk = qdf if n_chunks == 1 else qdf.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)) == c)
+            qids, Q = _query_block(chunk, id_col, vec_col, metric)
+            if len(qids) == 0:
+                continue
+            near = np.argsort(1.0 - Q @ cn.T, axis=1)[:, :min(n_probe, len(centers))]
+            probes = np.zeros((len(qids), len(centers)), dtype=bool)
+            np.put_along_axis(probes, near, True, axis=1)
+            if Q.nbytes + probes.nbytes > 2 * max_broadcast_bytes:
+                raise ValueError("query chunk exceeds the broadcast budget")
+            bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
+            wanted = sorted({int(x) for x in near.ravel()})
+            pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
+            cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
+            results.append(_global_topk(cands, k, 64, sc.defaultParallelism))
+    finally:
+        qdf.unpersist()
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -115,3 +115,15 @@ def test_knn_join_exact_ties_broken_by_uid(spark):
         mine = [r["uid"] for r in sorted((r for r in got if r["search_query_uid"] == 50_000 + i),
                                          key=lambda r: (round(r["dists"], 12), r["uid"]))]
         assert mine == exp
+
+
+def test_ivf_chunked_equals_single(spark):
+    pool, _ = _vectors(spark, 400, 8, 21)
+    q, _ = _vectors(spark, 12, 8, 22, start=7000)
+    cells, centers, _ = build_ivf(pool, n_cells=4, seed=3)
+
+    def rows(df):
+        return sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    one = rows(ivf_knn(q, cells, centers, k=5, n_probe=2))
+    many = rows(ivf_knn(q, cells, centers, k=5, n_probe=2, max_broadcast_bytes=8 * 8 * 3))
+    assert one == many and len(one) == 60
