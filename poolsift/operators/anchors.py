@@ -101,9 +101,12 @@ def kmeans_rows(df: DataFrame, k: int, seed: int = 42, uid: str = "uid", vec: st
     base = cut_lineage(df.select(F.col(uid).alias("uid"), as_doubles(vec).alias("__v"))
                        .withColumn("features", array_to_vector("__v")))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="cluster").fit(base)
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    centre_col = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
-    assigned = model.transform(base).withColumn("__c", F.element_at(centre_col, F.col("cluster") + 1))
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    # k centres (the model, already on the driver): broadcast below the budget
+    cdf = df.sparkSession.createDataFrame(centers, "cluster int, __c array<double>")
+    nbytes = sum(8 * len(c) for _, c in centers)
+    cdf = F.broadcast(cdf) if nbytes <= (64 << 20) else cdf
+    assigned = model.transform(base).join(cdf, on="cluster", how="inner")
     assigned = assigned.withColumn("__dist", squared_euclidean([F.col("__v")], [F.col("__c")]))
     picks = top_n_by(assigned, 1, ["cluster"], [F.col("__dist"), F.col("uid")])
     return picks.select(F.col("uid").alias(uid), "cluster")
