@@ -127,3 +127,16 @@ def test_ivf_chunked_equals_single(spark):
     one = rows(ivf_knn(q, cells, centers, k=5, n_probe=2))
     many = rows(ivf_knn(q, cells, centers, k=5, n_probe=2, max_broadcast_bytes=8 * 8 * 3))
     assert one == many and len(one) == 60
+
+
+def test_knn_max_search_size(spark):
+    from poolsift.operators.sampling import hash_top_n
+    pool, _ = _vectors(spark, 300, 6, 31)
+    q, _ = _vectors(spark, 3, 6, 32, start=9000)
+    capped = knn_join(q, pool, k=4, max_search_size=50, seed=5).collect()
+    allowed = {r["uid"] for r in hash_top_n(pool, 50, seed=5).collect()}
+    assert len(capped) == 12 and {r["uid"] for r in capped} <= allowed
+    # same as searching the sampled pool directly
+    direct = sorted((r[0], r[1]) for r in knn_join(q, pool.join(hash_top_n(pool, 50, seed=5).select("uid"), "uid",
+                                                                      "left_semi"), k=4).collect())
+    assert sorted((r[0], r[1]) for r in capped) == direct
