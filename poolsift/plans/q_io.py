@@ -204,9 +204,9 @@ def q_stream_label_counts(spark, d):
     """Streaming running class counts per run and round; final state equals the batch counts."""
     schema = T.read(spark, d, "lineitem").schema
     sink, ckpt = shared_path(spark, "stream-counts"), shared_path(spark, "stream-counts-ckpt")
-    SM.stream_counts(spark, f"{d}/lineitem*.parquet", schema, ["run", "labelling_round", "labels"], sink, ckpt,
-                     prepare=_label_log_rows)
-    return spark.read.parquet(sink)
+    keys = ["run", "labelling_round", "labels"]
+    SM.stream_counts(spark, f"{d}/lineitem*.parquet", schema, keys, sink, ckpt, prepare=_label_log_rows)
+    return SM.read_counts(spark, sink, keys)
 
 
 WINDOW = "1 day"

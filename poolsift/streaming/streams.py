@@ -30,21 +30,31 @@ def stream_round_ids(spark: SparkSession, src: str, sink: str, checkpoint: str,
 
 def stream_counts(spark: SparkSession, src_glob: str, schema, keys: Sequence[str], sink: str,
                   checkpoint: str, prepare=None) -> None:
-    """Running counts per key from a file stream, kept as a Parquet table that
-    each micro-batch overwrites with the complete (small, aggregated) result."""
+    """Running counts per key from a file stream, in update mode.
+
+    Each micro-batch writes only the keys it changed, under ``epoch=<batch id>``
+    with dynamic partition overwrite (a retried batch rewrites its own epoch
+    only).  ``read_counts`` returns the latest count per key.
+    """
     rows = spark.readStream.schema(schema).parquet(src_glob)
     if prepare is not None:
         rows = prepare(rows)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def write(batch: DataFrame, epoch: int) -> None:
+        (batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(sink))
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+    q = (counts.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_counts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
+    """Current counts from a ``stream_counts`` sink: the latest epoch's value per key."""
+    return spark.read.parquet(sink).groupBy(*keys).agg(F.max_by("n", "epoch").alias("n"))
+
+
 def stream_windowed_sums(spark: SparkSession, src_glob: str, schema, ts: str, value: str, window: str,
                          delay: str, sink: str, checkpoint: str, prepare=None) -> None:
     """Tumbling-window sums with a watermark, append mode: a window is written

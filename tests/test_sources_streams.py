@@ -57,8 +57,14 @@ def test_stream_counts_equal_batch(spark):
     df = spark.createDataFrame(rows, "run long, rnd int, labels string")
     df.write.parquet(src)
     sink, ckpt = shared_path(spark, "sink"), shared_path(spark, "ckpt")
-    SM.stream_counts(spark, src, df.schema, ["run", "rnd", "labels"], sink, ckpt)
-    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    keys = ["run", "rnd", "labels"]
+    SM.stream_counts(spark, src, df.schema, keys, sink, ckpt)
+    # a second file arrives: the stream resumes from its checkpoint and updates the counts
+    more = spark.createDataFrame([(1, 1, "A"), (99, 0, "N")], "run long, rnd int, labels string")
+    more.write.mode("append").parquet(src)
+    SM.stream_counts(spark, src, df.schema, keys, sink, ckpt)
+    df = df.unionByName(more)
+    got = sorted(tuple(r) for r in SM.read_counts(spark, sink, keys).select(*keys, "n").collect())
     exp = sorted(tuple(r) for r in df.groupBy("run", "rnd", "labels").agg(F.count(F.lit(1)).alias("n")).collect())
     assert got == exp
 
