@@ -2,17 +2,18 @@
 
 Exact kNN (``knn_join``): the query block (anchors, labelled rows: tens to a
 few thousand rows) is size-checked and broadcast; the pool is never
-shuffled.  Each pool partition runs a numpy matmul per Arrow batch (``mapInArrow``: vectors go from the
-Arrow buffer to a 2-D array with no per-row Python objects) and keeps
-only its local top-k per query, so the only shuffle carries
-``partitions x queries x k`` rows.  A final ``row_number() <= k`` per query
+shuffled.  Each pool partition runs a numpy matmul per Arrow batch
+(``mapInArrow``: vectors go from the Arrow buffer to a 2-D array with no
+per-row Python objects) and keeps only its local top-k per query, so the
+only shuffle carries ``partitions x queries x k`` rows.  A final ``row_number() <= k`` per query
 (with a salted intermediate level when there are many partitions) gives the
 global answer.  Query sets over the broadcast budget are processed in
 hash-split chunks, each one exact.
 
 Approximate kNN (``build_ivf`` / ``ivf_knn``): MLlib KMeans cells on unit
-vectors; the cell table is written once partitioned by cell and each query
-only scores the pool rows of its ``n_probe`` nearest cells.
+vectors, trained on a hash sample; the cell table is written once
+partitioned by cell (``write_ivf``) and each query only scores the pool rows
+of its ``n_probe`` nearest cells.
 """
 
 from __future__ import annotations
