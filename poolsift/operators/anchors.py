@@ -11,6 +11,7 @@ into the shared folder every few steps so the plan never grows unbounded.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,7 +78,9 @@ def kmeanspp_pick(df: DataFrame, k: int, seed=42, by: Sequence[str] = (), uid: s
             p = picks[0]
             joined = state.withColumn("__pu", F.lit(p["__pu"]).cast("long"))
             for c in vec_cols:
-                joined = joined.withColumn(f"__c_{c}", F.array(*[F.lit(float(x)) for x in p[f"__c_{c}"]]))
+                # one array constant (folded once by the optimiser), not one literal per element
+                vec_json = json.dumps([float(x) for x in p[f"__c_{c}"]])
+                joined = joined.withColumn(f"__c_{c}", F.from_json(F.lit(vec_json), "array<double>"))
         d_new = sqdist([F.col(c) for c in vec_cols], [F.col(f"__c_{c}") for c in vec_cols])
         state = (joined
                  .withColumn("pick_step", F.when(F.col("pick_step").isNull() & (F.col("uid") == F.col("__pu")),
