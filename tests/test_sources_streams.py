@@ -97,3 +97,34 @@ def test_round_sinks_idempotent(spark):
     for r in (0, 0, 3):
         SK.append_logits(scored, lpath, r, num_classes=2)
     assert spark.read.parquet(lpath).groupBy("round").count().orderBy("round").collect()[0]["count"] == 5
+
+
+def test_stream_round_ids_dedupes_across_batches(spark):
+    src = local_path(shared_path(spark, "rounds-src"))
+    os.makedirs(src)
+    with open(f"{src}/a.json", "w") as fh:
+        fh.write('{"run": 1, "labelling_round": 0, "subpool_ids": [1, 2, 2]}\n')
+    sink, ckpt = shared_path(spark, "rounds-sink"), shared_path(spark, "rounds-ckpt")
+    SM.stream_round_ids(spark, src, sink, ckpt)
+    with open(f"{src}/b.json", "w") as fh:   # re-delivered ids plus a new one
+        fh.write('{"run": 1, "labelling_round": 0, "subpool_ids": [2, 3]}\n')
+    SM.stream_round_ids(spark, src, sink, ckpt)
+    got = sorted(r["uid"] for r in spark.read.parquet(sink).collect())
+    assert got == [1, 2, 3]
+
+
+def test_stream_window_watermark_drops_late_rows(spark):
+    import datetime as dt
+    schema = "ts timestamp, value double"
+    src = shared_path(spark, "win-src")
+    day = dt.datetime(2024, 1, 1)
+    first = [(day + dt.timedelta(days=d, hours=h), 1.0) for d in range(3) for h in (1, 5)]
+    spark.createDataFrame(first, schema).write.parquet(src)
+    sink, ckpt = shared_path(spark, "win-sink"), shared_path(spark, "win-ckpt")
+    SM.stream_windowed_sums(spark, src, schema, "ts", "value", "1 day", "1 hour", sink, ckpt)
+    # later: a row for day 0 (behind the watermark: dropped) and rows for day 3 (close day 2)
+    late = [(day + dt.timedelta(hours=2), 100.0), (day + dt.timedelta(days=3, hours=3), 1.0)]
+    spark.createDataFrame(late, schema).write.mode("append").parquet(src)
+    SM.stream_windowed_sums(spark, src, schema, "ts", "value", "1 day", "1 hour", sink, ckpt)
+    rows = sorted((r["window_start"], r["total"], r["n"]) for r in spark.read.parquet(sink).collect())
+    assert [(w.day, t, n) for w, t, n in rows] == [(1, 2.0, 2), (2, 2.0, 2), (3, 2.0, 2)]
