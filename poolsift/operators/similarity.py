@@ -229,7 +229,27 @@ def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str =
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(train)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
-    cells = model.transform(base).select("uid", "vec", F.col("cell").cast("long").alias("cell"))
+    # assign every pool row in one Arrow pass: nearest centre (squared euclidean on the
+    # training features, first index on ties, as KMeansModel.predict) by one matmul per batch
+    bc = pool.sparkSession.sparkContext.broadcast(centers)
+    unit_rows = metric == "cosine"
+
+    def assign(batches):
+        C = bc.value
+        c2 = (C * C).sum(axis=1)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            X = _matrix(rb.column("vec"))
+            if unit_rows:
+                xn = np.linalg.norm(X, axis=1)
+                xn[xn == 0] = 1.0
+                X = X / xn[:, None]
+            cell = np.argmin(c2[None, :] - 2.0 * (X @ C.T), axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([rb.column("uid"), rb.column("vec"), pa.array(cell, pa.int64())],
+                                             names=["uid", "vec", "cell"])
+
+    cells = base.select("uid", "vec").mapInArrow(assign, "uid long, vec array<double>, cell long")
     spark = pool.sparkSession
     meta = spark.createDataFrame(
         [(int(n_cells), int(centers.shape[1]), metric, int(seed), int(max_iter))],
