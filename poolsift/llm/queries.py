@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, sharding, url_rules
+from . import language, line_dedup, quality, sharding, topk, url_rules
 from .common import ready, table
 
 QUERIES: dict = {}
@@ -68,3 +68,43 @@ FROM (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 100 * n_upper > 50 * n_letters THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)""")
 def q_quality_rules(spark, d):
     return quality.apply_policy(quality.ledger(table(spark, d, "documents")))
+
+
+@register("op3_exact_topk", """WITH v AS (
+  SELECT vec_id, min(list_transform_floor) AS x FROM (
+    SELECT vec_id, [floor(256 * c::DOUBLE) FOR c IN embedding] AS list_transform_floor, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0) GROUP BY vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+def q_exact_topk(spark, d):
+    return topk.search(table(spark, d, "embeddings"), F.col("__id") % 50 == 0, k=5)
+
+
+_CUT = " + ".join(f"{line_dedup.MULTIPLIER ** b} * coalesce(h[i{f' - {b}' if b else ''}], 0)" for b in range(line_dedup.WINDOW))
+
+
+@register("op8_line_dedup", f"""WITH t AS (
+  SELECT DISTINCT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+hs AS (SELECT *, [('0x' || substr(md5(x), 1, 8))::BIGINT FOR x IN l] AS h FROM t),
+cuts AS (SELECT doc_id, text, l, [i FOR i IN range(1, len(l)) IF ({_CUT}) % {line_dedup.DIVISOR} = 0] AS c FROM hs),
+ch AS (SELECT doc_id, text, j - 1 AS j, l[coalesce(c[j - 1], 0) + 1 : coalesce(c[j], len(l))] AS ls
+  FROM (SELECT *, unnest(range(1, len(c) + 2)) AS j FROM cuts)),
+ct AS (SELECT *, array_to_string(ls, chr(10)) AS s, row_number() OVER (
+  PARTITION BY array_to_string(ls, chr(10)), len(ls) >= {line_dedup.MIN_LINES} ORDER BY doc_id NULLS LAST, j) AS k FROM ch),
+o AS (SELECT doc_id, text, count(*) AS n_chunks, sum(len(ls))::BIGINT AS n_lines,
+  coalesce(sum(len(ls)) FILTER (gone), 0)::BIGINT AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks,
+  sha256(coalesce(string_agg(s, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS text_sha256
+  FROM (SELECT *, k > 1 AND len(ls) >= {line_dedup.MIN_LINES} AS gone FROM ct) GROUP BY doc_id, text)
+SELECT d.doc_id, n_lines, n_chunks, n_removed_lines, n_removed_chunks, text_sha256
+FROM documents d JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND coalesce(d.text, '') = o.text""")
+def q_line_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "__lines.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@register("op9_language_id")
+def q_language_id(spark, d):
+    return language.identify(table(spark, d, "documents"))
