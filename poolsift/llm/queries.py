@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, quality, sharding, topk, url_rules
+from . import language, line_dedup, minhash, quality, sharding, topk, url_rules
 from .common import ready, table
 
 QUERIES: dict = {}
@@ -108,3 +108,25 @@ def q_line_dedup(spark, d):
 @register("op9_language_id")
 def q_language_id(spark, d):
     return language.identify(table(spark, d, "documents"))
+
+
+_SHINGLES = r"""s AS (SELECT rn, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS g
+  FROM (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents))"""
+
+
+@register("op10_minhash", rf"""WITH RECURSIVE {_SHINGLES},
+c AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+e AS (SELECT id, n, unnest(g) AS x FROM c),
+p AS (SELECT a.id AS u, b.id AS v, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b USING (x)
+  WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT u, v FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+b AS (SELECT u, v FROM l UNION SELECT v, u FROM l UNION SELECT id, id FROM c),
+r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u),
+m AS (SELECT u AS id, min(v) AS component FROM r GROUP BY u)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id,
+  coalesce(m.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.id = c.id""")
+def q_minhash(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents"))
