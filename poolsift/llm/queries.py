@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, minhash, quality, sharding, topk, url_rules
+from . import language, line_dedup, minhash, packing, quality, sharding, topk, url_rules
 from .common import ready, table
 
 QUERIES: dict = {}
@@ -130,3 +130,8 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id)
 FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.id = c.id""")
 def q_minhash(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+@register("op2_packing")
+def q_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
