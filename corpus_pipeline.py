@@ -1,8 +1,85 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus pipeline of the operators in ``poolsift.llm``.
 
-STAGES = []
+Quality rules reject documents, repeated line chunks are cut out, one document
+of each near-duplicate group stays, sources are mixed to target weights, and the
+result is packed into training sequences.  Each stage reads the stored table of
+the one before it.  All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from poolsift.llm import line_dedup, minhash, mixing, packing, quality
+from poolsift.llm.common import ready, table
+from poolsift.session import shared_path
+
+SHINGLE_WORDS = 5
+SIMILARITY_PERCENT = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule of the current policy go; null and empty texts have no words and go too."""
+    ready(spark)
+    return quality.keep_passing(docs)
+
+
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the line chunks that stand in an earlier document; a document that
+    loses its last word that way goes.  ``n_chars`` follows the text."""
+    ready(spark)
+    cut = line_dedup.dedup_lines(docs)
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = cut.filter(~(wordless & (F.col("__lines.n_removed_chunks") > 0))).drop("__lines")
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Of rows that repeat an id one stays.  Null ids are in no group and stay.
+    """
+    ready(spark)
+    found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    ids = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    named = docs.join(ids, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are thinned out or repeated to the target weights of the label domains;
+    no document that the classifier finds clean is lost."""
+    ready(spark)
+    return mixing.repeated(mixing.mix(docs, table(spark, sf_dir, "labels")))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens at most."""
+    ready(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_chunks),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_windows),
+]
+# SQL has neither the trained classifier nor the tokenizer; tests hold every stage against a plain version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = shared_path(spark, f"stage{i + 1}")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+        docs = out
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, minhash, packing, quality, sharding, topk, url_rules
+from . import language, line_dedup, minhash, mixing, packing, quality, sharding, topk, url_rules
 from .common import ready, table
 
 QUERIES: dict = {}
@@ -135,3 +135,11 @@ def q_minhash(spark, d):
 @register("op2_packing")
 def q_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
+
+
+@register("op5_mixing")
+def q_mixing(spark, d):
+    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"))
+    return mixed.select("doc_id", F.col("__tokens").alias("n_words"),
+                        *[F.col("__p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)],
+                        F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))

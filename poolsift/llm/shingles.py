@@ -21,42 +21,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> K(32))
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of concatenated texts (A-Z lower-cased), and words per text.
-
-    A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; its hash mixes
-    a polynomial of its bytes with its length.
-    """
-    n_docs = len(off) - 1
-    low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of concatenated texts: maximal runs of bytes other than 0x20 and 0x09-0x0D."""
     inside = ~whitespace_table()[data]
     edge = np.zeros(len(data) + 1, bool)        # a text's end parts words too
     edge[off] = True
     start = np.nonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))[0]
     end = np.nonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]])))[0] + 1
+    return start, end
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes, eight bytes a step, and its length."""
     h = np.zeros(len(start), np.uint64)
-    if len(start):
-        # sum of byte values times odd multipliers by place in the word, eight bytes a step
-        length = end - start
-        padded = np.concatenate([low, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(padded, (len(low), 8), (1, 1))
-        live = np.arange(len(start))
-        at = start.copy()
-        left = length.copy()
-        while len(live):
-            eight = words[at[live]].copy().view(np.uint64).ravel()
-            short = left[live] < 8
-            if short.any():
-                keep = (K(1) << (K(8) * np.minimum(left[live], 7).astype(np.uint64))) - K(1)
-                eight = np.where(short, eight & keep, eight)
-            h[live] = mix((h[live] ^ eight) + _M1)
-            at[live] += 8
-            left[live] -= 8
-            live = live[left[live] > 0]
-        h = mix(h + length.astype(np.uint64) * _M1)
+    if not len(start):
+        return h
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    live = np.nonzero(length > 0)[0]
+    at, left = start.copy(), length.copy()
+    while len(live):
+        eight = words[at[live]].copy().view(np.uint64).ravel()
+        short = left[live] < 8
+        keep = (K(1) << (K(8) * np.minimum(left[live], 7).astype(np.uint64))) - K(1)
+        h[live] = mix((h[live] ^ np.where(short, eight & keep, eight)) + _M1)
+        at[live] += 8
+        left[live] -= 8
+        live = live[left[live] > 0]
+    return mix(h + length.astype(np.uint64) * _M1)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of concatenated texts (A-Z lower-cased), and words per text."""
+    start, end = word_spans(data, off)
     counts = np.searchsorted(start, off[1:]) - np.searchsorted(start, off[:-1])
-    assert len(counts) == n_docs
-    return h, counts
+    return span_hashes(lower_ascii(data), start, end), counts
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +80,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 2) -> tuple[np.
     g, d = g[whole], doc[whole]
     short = np.nonzero((counts > 0) & (counts < width))[0]
     if len(short):
-        extra = []
-        for i in short:
-            x = w[first[i]]
-            for k in range(1, counts[i]):
-                x = mix(np.array([x * _M1 + w[first[i] + k]], np.uint64))[0]
-            extra.append(mix(np.array([x + K(int(counts[i]))], np.uint64))[0])
-        g, d = np.concatenate([g, np.array(extra, np.uint64)]), np.concatenate([d, short])
+        x, left = w[first[short]], counts[short]
+        for k in range(1, width - 1):
+            more = left > k
+            x = np.where(more, mix(x * _M1 + w[np.where(more, first[short] + k, 0)]), x)
+        # salted with the number of words: no text of full width shares the hash
+        g, d = np.concatenate([g, mix(x + left.astype(np.uint64))]), np.concatenate([d, short])
     order = np.lexsort((g, d))
     g, d = g[order], d[order]
     new = np.ones(len(g), bool)
