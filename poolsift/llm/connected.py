@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
+EDGES_A_TASK = 200_000
+
+
+def _to_smallest(edges: DataFrame, larger_only: bool, tasks: int) -> DataFrame:
     """Links each node's neighbours to the smallest of them and itself.
 
     ``larger_only`` (large star): all neighbours count, those above the node are
@@ -17,7 +20,7 @@ def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # a written table, so that the join below can split a hub's edges over tasks
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks).checkpoint()
     if larger_only:
         joined = edges.filter("v > u").join(smallest, "u")
         out = joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -35,9 +38,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     with the logarithm of the longest path).
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().checkpoint()
+    # a small graph is worked on by few tasks, however many partitions the session shuffles into
+    tasks = max(1, -(-edges.count() // EDGES_A_TASK))
+    edges = edges.coalesce(tasks)
     before = None
     for _ in range(most_rounds):
-        edges = _to_smallest(_to_smallest(edges, True), False).checkpoint()
+        edges = _to_smallest(_to_smallest(edges, True, tasks), False, tasks).coalesce(tasks).checkpoint()
         # equal counts and sums of two hashes: the edge list no longer changes
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first()
         if now == before:
