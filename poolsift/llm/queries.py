@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, minhash, mixing, packing, quality, sharding, topk, url_rules
+from . import language, line_dedup, minhash, mixing, packing, quality, sharding, suffixes, topk, url_rules
 from .common import ready, table
 
 QUERIES: dict = {}
@@ -143,3 +143,10 @@ def q_mixing(spark, d):
     return mixed.select("doc_id", F.col("__tokens").alias("n_words"),
                         *[F.col("__p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)],
                         F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+
+
+@register("op1_suffix_dedup")
+def q_suffix_dedup(spark, d):
+    found = suffixes.repeated_spans(table(spark, d, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
+    return found.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
