@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """The same table with columns c0, c1, ..., which clash with no working column, and the new name of each."""
+    new = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
+def own_names(df: DataFrame, new: dict, *added: str) -> DataFrame:
+    """Back to the documents' names; an added column replaces one of its name."""
+    return df.select(*[F.col(c).alias(name) for name, c in new.items() if name not in added], *added)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null read as empty), under names that clash with nothing."""
     return docs.select(F.col(id_col).cast("long").alias("__id"),

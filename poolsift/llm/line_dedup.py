@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_names, plain_names
+
 WINDOW = 2            # lines in the rolling hash
 MULTIPLIER = 1_000_003
 DIVISOR = 3           # a chunk ends where the rolling hash is divisible by this: three lines on average
@@ -106,7 +108,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text are one empty line.  Rows that repeat both id and text are one document:
     all of them keep or lose the same chunks.  All other columns pass through.
     """
-    names = docs.columns
+    docs, new = plain_names(docs)
+    id_col, text_col = new[id_col], new[text_col]
     joined = _keyed(docs, id_col, text_col).join(removals(docs, id_col, text_col), KEYS, "left")
 
     def result(lines: Column, chunks: Column) -> Column:
@@ -121,5 +124,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         .alias("counts"))
 
     out = joined.withColumn("__out", _with_chunks(F.col("__text"), result))
-    text = F.when(F.col(f"`{text_col}`").isNull(), F.lit(None)).otherwise(F.col("__out.text")).alias(text_col)
-    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in names], F.col("__out.counts").alias("__lines"))
+    text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("__out.text"))
+    return own_names(out.withColumns({"__lines": F.col("__out.counts"), text_col: text}), new, "__lines")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import ready, shuffle_parts, slices, utf8
+from .common import own_names, plain_names, ready, shuffle_parts, slices, utf8
 from .shingles import K, lower_ascii, mix as mixed_bits, span_hashes, word_spans
 
 DOMAINS = ("clean", "low", "toxic")
@@ -35,6 +35,7 @@ ITERATIONS = 50
 STEPS = 20
 HALVINGS = 6
 TOLERANCE = 1e-3     # distance to the targets, as a share of all tokens, at which the fit ends
+ADDED = ("__tokens", "__p", "__rate", "__copies")
 KEEP = "clean"           # documents whose likeliest domain this is keep a rate of 1 at least
 
 
@@ -168,7 +169,7 @@ def with_posteriors(docs: DataFrame, model: dict, text_col: str, keep: list) ->
     """The kept columns, ``__tokens`` (words) and ``__p`` (posterior per domain, in the order of DOMAINS)."""
     spark = ready(docs.sparkSession)
     bc = spark.sparkContext.broadcast(model)      # domains x FEATURES, whatever the corpus
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *keep)
     schema = rows.drop("__text").schema.add("__tokens", "long").add("__p", ArrayType(DoubleType()))
 
     def run(batches):
@@ -269,17 +270,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict | None = None, keep: s
     so mixing thins out and repeats but never loses a document of that domain.
     """
     model = fit_classifier(docs, labels, id_col, text_col)
-    names = docs.columns
-    table = with_posteriors(docs, model, text_col, names)
+    docs, new = plain_names(docs)
+    id_col, text_col = new[id_col], new[text_col]
+    table = with_posteriors(docs, model, text_col, docs.columns)
     small = table.select("__tokens", "__p").checkpoint()
     steps, _ = fit_rates(small, targets or TARGETS, keep)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = table.withColumn("__rate", rate(F.col("__p"), rate_floor(keep), steps))
-    return out.withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
+    return own_names(out.withColumn("__copies", F.floor(F.col("__rate") + u).cast("int")), new, *ADDED)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row as often as its copies say, with the columns that the documents had."""
-    names = [c for c in mixed.columns if c not in ("__tokens", "__p", "__rate", "__copies")]
-    return (mixed.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*[F.col(f"`{c}`") for c in names]))
+    rows, new = plain_names(mixed)
+    copies = F.explode(F.sequence(F.lit(1), F.col(new["__copies"])))
+    out = rows.filter(F.col(new["__copies"]) > 0).withColumn("__copy", copies)
+    return own_names(out, {name: c for name, c in new.items() if name not in ADDED})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ready, slices, utf8, whitespace_table
+from .common import own_names, plain_names, ready, slices, utf8, whitespace_table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -106,7 +106,7 @@ def _repeat_words(words: list, counts: np.ndarray) -> np.ndarray:
 def _measured(docs: DataFrame, text: Column, keep: list) -> DataFrame:
     """The kept columns and ``__m``, the struct of measurements."""
     ready(docs.sparkSession)
-    rows = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("__text"), *keep)
     schema = rows.drop("__text").schema.add("__m", MEASURES)
 
     def run(batches):
@@ -133,8 +133,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null text counts as empty: no words, so ``few_words`` fails and no other
     rule does.  Null and repeated ids pass through; other columns are not read.
     """
-    book = _with_bits(_measured(docs, F.col(text_col), [id_col]))
-    return book.select(F.col(f"`{id_col}`").alias("doc_id"), "__m.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("c0"))
+    return _with_bits(_measured(rows, F.col("c0"), ["doc_id"])).select("doc_id", "__m.*")
 
 
 def passes(policy: int = CURRENT, bits: str = "failed") -> Column:
@@ -164,5 +164,6 @@ def ablations(book: DataFrame, policy: int = CURRENT) -> DataFrame:
 
 def keep_passing(docs: DataFrame, policy: int = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, with all their columns, without a shuffle."""
-    book = _with_bits(_measured(docs, F.col(text_col), docs.columns))
-    return book.filter(passes(policy, "__m.failed")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, new = plain_names(docs)
+    book = _with_bits(_measured(rows, F.col(new[text_col]), rows.columns))
+    return own_names(book.filter(passes(policy, "__m.failed")), new)

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_names, plain_names
+
 TABLE_SIZE = 65_537    # prime; the broadcast table has this many rows whatever the input
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -60,9 +62,9 @@ def place(df: DataFrame, key_cols, shards=SHARDS, size: int = TABLE_SIZE,
     """
     names = list(shards)
     filled = fill_table(names, size)
-    lookup = df.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(filled.tolist())],
-                                             "__slot int, __shard string")
-    keyed = df.withColumn("__slot", F.pmod(F.xxhash64(*key_cols), F.lit(size)).cast("int"))
+    lookup = df.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(filled.tolist())], "__slot int, __shard string")
+    df, new = plain_names(df)
+    keyed = df.withColumn("__slot", F.pmod(F.xxhash64(*[new[c] for c in key_cols]), F.lit(size)).cast("int"))
     # at most ``size`` rows, a parameter and not the data: broadcast
-    out = keyed.join(F.broadcast(lookup), "__slot")
-    return out.withColumns({slot_col: F.col("__slot"), shard_col: F.col("__shard")}).drop("__slot", "__shard")
+    out = keyed.join(F.broadcast(lookup), "__slot").withColumnsRenamed({"__slot": slot_col, "__shard": shard_col})
+    return own_names(out, new, slot_col, shard_col)

@@ -422,8 +422,6 @@ def _merge_runs(table: pa.Table) -> pa.Table:
     schema = [("chunk", I32), ("bucket", I32), ("body", BIN)]
     if bucket < 0:
         return _table(schema, list(zip(table.column("chunk").to_pylist(), [-1] * table.num_rows, table.column("run").to_pylist())))
-    if table.num_rows < 2:
-        return _table(schema, [])
     table = table.sort_by("chunk")
     unpack = zstandard.ZstdDecompressor()
     sizes = table.column("n").to_pylist()
@@ -476,11 +474,9 @@ def _judge(buckets: int):
             gone = chunk.covered(chunk.smaller(answers))
         out = []
         blob, off = chunk.data.tobytes(), chunk.off.tolist()
-        edge = np.nonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))[0]
         for i, lo, hi in zip(chunk.ids.tolist(), off[:-1], off[1:]):
             spans, kept = [], blob[lo:hi]
-            a, b = np.searchsorted(edge, [lo, hi], side="left") if len(edge) else (0, 0)
-            if a < b or (len(edge) and hi > lo and gone[lo]):
+            if gone[lo:hi].any():
                 runs = np.diff(np.concatenate([[False], gone[lo:hi], [False]]).astype(np.int8))
                 spans = [{"start": x, "end": y} for x, y in zip(np.nonzero(runs == 1)[0].tolist(), np.nonzero(runs == -1)[0].tolist())]
                 kept = chunk.data[lo:hi][~gone[lo:hi]].tobytes()
