@@ -135,7 +135,7 @@ def anchored_subpool(labelled: DataFrame, pool: DataFrame, cfg: TwoStageConfig,
 # ------------------------------------------------------------- registry --
 
 BASE_STRATEGIES = ("random", "entropy", "ftbertkm", "badge", "tyrogue")
-STAGES = ("randomsubset", "seals", "anchoral", "anchoralwithsampling")
+STAGES = ("randomsubset", "seals", "anchored", "anchoredwithsampling")
 STRATEGY_NAMES = tuple([f"{s}_{b}" for s in STAGES for b in BASE_STRATEGIES] + list(BASE_STRATEGIES))
 
 
@@ -163,8 +163,8 @@ def subpool(stage: str, scored_pool: DataFrame, labelled: DataFrame, cfg: TwoSta
     if stage == "seals":
         return seals_subpool(labelled, scored_pool, cfg.num_neighbours, cfg.subpool_size, seed=cfg.seed,
                              uid=uid, max_search_size=cfg.max_search_size)
-    if stage in ("anchoral", "anchoralwithsampling"):
-        return anchored_subpool(labelled, scored_pool, cfg, sampling=stage == "anchoralwithsampling",
+    if stage in ("anchored", "anchoredwithsampling"):
+        return anchored_subpool(labelled, scored_pool, cfg, sampling=stage == "anchoredwithsampling",
                                 label=label, uid=uid, round_=round_)
     raise ValueError(f"unknown stage {stage}")
 

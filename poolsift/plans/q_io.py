@@ -263,5 +263,5 @@ def q_active_rounds(spark, d):
     cfg = ST.TwoStageConfig(subpool_size=120, num_neighbours=20, num_anchors=5,
                             anchor_strategy_minority="random", anchor_strategy_majority="random",
                             minority_classes=list(T.MINORITY), seed=42)
-    return active_rounds(T.embeddings(spark, d), T.labelled(spark, d), "anchoral_entropy", rounds=3,
+    return active_rounds(T.embeddings(spark, d), T.labelled(spark, d), "anchored_entropy", rounds=3,
                          batch=25, cfg=cfg)

@@ -40,7 +40,7 @@ MINORITY_FLAG = "R"
 VARIABLES = ["f1_majority", "f1_minority", "time"]
 # Fixed display names for strategies; one key is deliberately misspelt
 # ("seals-entropy"), so its rows map to NULL and are dropped.
-DISPLAY = {"anchoral_entropy": "Anchored", "seals-entropy": "SEALS",
+DISPLAY = {"anchored_entropy": "Anchored", "seals-entropy": "SEALS",
            "randomsubset_entropy": "RandomSubset", "noop_entropy": "Entropy", "noop_random": "Random"}
 
 
@@ -456,7 +456,7 @@ def q_outer_indicator(spark, d):
 
 # ----------------------------------------------------------- name parts --
 
-SQL_PATHS = f"""(SELECT run, CASE WHEN strategy_name LIKE 'anchoral%'
+SQL_PATHS = f"""(SELECT run, CASE WHEN strategy_name LIKE 'anchored%'
     THEN '../outputs/ablations/num_anchors/' || CAST(run AS VARCHAR)
     ELSE '../outputs/main/' || lower(dataset_name) || '/' || CAST(run AS VARCHAR) END AS path,
   strategy_name FROM ({SQL_RUN_PARAMS}))"""
@@ -464,7 +464,7 @@ SQL_PATHS = f"""(SELECT run, CASE WHEN strategy_name LIKE 'anchoral%'
 
 def _paths(spark, d):
     p = T.run_params(spark, d)
-    path = F.when(F.col("strategy_name").like("anchoral%"),
+    path = F.when(F.col("strategy_name").like("anchored%"),
                   F.concat(F.lit("../outputs/ablations/num_anchors/"), F.col("run").cast("string"))) \
         .otherwise(F.concat(F.lit("../outputs/main/"), F.lower("dataset_name"), F.lit("/"),
                             F.col("run").cast("string")))

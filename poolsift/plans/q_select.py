@@ -59,7 +59,7 @@ cands AS (SELECT search_query_uid, uid, dists FROM (SELECT *, row_number() OVER
 sub AS (SELECT uid, 1.0 - avg(dists) AS scores FROM cands GROUP BY uid ORDER BY scores DESC, uid LIMIT {SUBPOOL})"""
 
 
-def anchoral_entropy_slice(spark, d):
+def anchored_entropy_slice(spark, d):
     """Labelled set -> random anchors per class -> exact kNN -> anchor subpool -> entropy batch."""
     _, pool, cands = _slice_candidates(spark, d)
     sub = ST.anchor_subpool(cands, SUBPOOL)
@@ -68,12 +68,12 @@ def anchoral_entropy_slice(spark, d):
     return picked.select("uid", r6("entropy").alias("entropy"))
 
 
-SQL_ANCHORAL_ENTROPY = f"""WITH {SQL_SLICE_CTES},
+SQL_ANCHORED_ENTROPY = f"""WITH {SQL_SLICE_CTES},
 scored AS (SELECT uid, {sql_logits()} AS logits FROM pool WHERE uid IN (SELECT uid FROM sub))
 SELECT uid, round({sql_entropy()}, 6) AS entropy FROM scored
 ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}"""
 
-register("anchoral_entropy", SQL_ANCHORAL_ENTROPY)(anchoral_entropy_slice)
+register("anchored_entropy", SQL_ANCHORED_ENTROPY)(anchored_entropy_slice)
 
 
 @register("knn_join", f"""WITH {SQL_SLICE_CTES}
@@ -110,11 +110,11 @@ def q_gumbel_subpool(spark, d):
         .select("uid", r6("scores").alias("scores"))
 
 
-@register("anchoralsampling_entropy", f"""WITH {SQL_SLICE_CTES.replace(f"ORDER BY scores DESC, uid LIMIT {SUBPOOL}", "")},
+@register("anchoredsampling_entropy", f"""WITH {SQL_SLICE_CTES.replace(f"ORDER BY scores DESC, uid LIMIT {SUBPOOL}", "")},
 g AS (SELECT uid FROM sub ORDER BY scores + {sql_gumbel(GUMBEL_SEED)} DESC, uid LIMIT {SUBPOOL}),
 scored AS (SELECT uid, {sql_logits()} AS logits FROM pool WHERE uid IN (SELECT uid FROM g))
 SELECT uid, round({sql_entropy()}, 6) AS entropy FROM scored ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}""")
-def q_anchoralsampling_entropy(spark, d):
+def q_anchoredsampling_entropy(spark, d):
     _, pool, cands = _slice_candidates(spark, d)
     sub = ST.anchor_subpool_sampled(cands, SUBPOOL, seed=GUMBEL_SEED)
     scored = T.with_logits(pool.join(sub.select("uid"), "uid", "left_semi"))

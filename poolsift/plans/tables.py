@@ -36,7 +36,7 @@ LOGIT_SCALE = 10.0
 # Fixed stand-in vocabulary: event types as reference-style metric tags and
 # run-level strategy names per region key.
 TIMER_EVENT = "error"
-REGION_STRATEGY = {0: "anchoral_entropy", 1: "seals_entropy", 2: "randomsubset_entropy",
+REGION_STRATEGY = {0: "anchored_entropy", 1: "seals_entropy", 2: "randomsubset_entropy",
                    3: "entropy", 4: "random"}
 DAY_ORIGIN = "2024-01-01"
 

@@ -80,11 +80,11 @@ def test_median_iqr_and_gmean(spark):
 
 
 def test_budget_match_hand_case(spark):
-    rows = [("d", s, m) for s, m in (("anchoral_entropy", 10), ("seals_entropy", 7), ("noop_entropy", 3),
+    rows = [("d", s, m) for s, m in (("anchored_entropy", 10), ("seals_entropy", 7), ("noop_entropy", 3),
                                      ("noop_random", 9))]
     df = spark.createDataFrame(rows, "dataset_name string, strategy_name string, step int")
     got = {r["strategy_name"]: r["min_max_step"] for r in C.budget_match(df, ["dataset_name"]).collect()}
-    assert got == {"anchoral_entropy": 7, "seals_entropy": 7, "noop_entropy": 3, "noop_random": 7}
+    assert got == {"anchored_entropy": 7, "seals_entropy": 7, "noop_entropy": 3, "noop_random": 7}
 
 
 def test_outer_indicator_and_class_stats(spark):

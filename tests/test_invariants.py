@@ -20,7 +20,7 @@ def test_active_rounds_invariants(spark):
     cfg = ST.TwoStageConfig(subpool_size=60, num_neighbours=10, num_anchors=4,
                             anchor_strategy_minority="random", anchor_strategy_majority="entropy",
                             minority_classes=[0], seed=5)
-    log = active_rounds(base, init, "anchoral_entropy", rounds=2, batch=7, cfg=cfg).collect()
+    log = active_rounds(base, init, "anchored_entropy", rounds=2, batch=7, cfg=cfg).collect()
     by_round = {}
     for r in log:
         by_round.setdefault(r["labelling_round"], []).append(r["uid"])

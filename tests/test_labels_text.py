@@ -29,16 +29,16 @@ def test_concat_text_null(spark):
 
 
 def test_path_and_strategy_parts(spark):
-    df = spark.createDataFrame([("../outputs/ablations/num_anchors/r1", "anchoral_entropy"),
+    df = spark.createDataFrame([("../outputs/ablations/num_anchors/r1", "anchored_entropy"),
                                 ("../outputs/main/agnews/r1", "random")], "p string, s string")
     rows = df.select(TX.experiment_group("p").alias("g"), TX.fix_strategy_name("s").alias("f")).collect()
     assert [r["g"] for r in rows] == ["ablations-num_anchors", "main"]
     fixed = [r["f"] for r in rows]
-    assert fixed == ["anchoral_entropy", "noop_random"]
+    assert fixed == ["anchored_entropy", "noop_random"]
     parts = df.withColumn("f", TX.fix_strategy_name("s")).select(
         TX.name_part("f", "_", 1).alias("a"), TX.name_part("f", "_", 2).alias("b"),
         TX.name_part("f", "_", 3).alias("c"), TX.name_part_or_null("s", "_", 1).alias("d")).collect()
-    assert [(r["a"], r["b"], r["c"], r["d"]) for r in parts] == [("anchoral", "entropy", "", "entropy"),
+    assert [(r["a"], r["b"], r["c"], r["d"]) for r in parts] == [("anchored", "entropy", "", "entropy"),
                                                                 ("noop", "random", "", None)]
 
 

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["anchoral_entropy", "random_query", "initial_budget", "stratified_sample", "metrics_perclass",
+KEYS = ["anchored_entropy", "random_query", "initial_budget", "stratified_sample", "metrics_perclass",
         "calibration", "running_auc", "budget_match", "class_stats_total", "label_multiclass_last",
         "kmeanspp_pick", "early_stop_step"]
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "

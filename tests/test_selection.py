@@ -93,7 +93,7 @@ def test_badge_distance_matches_materialised(spark):
 
 
 def test_registry_names():
-    assert len(ST.STRATEGY_NAMES) == 25 and "anchoral_entropy" in ST.STRATEGY_NAMES
+    assert len(ST.STRATEGY_NAMES) == 25 and "anchored_entropy" in ST.STRATEGY_NAMES
 
 
 def test_knn_join_exact_ties_broken_by_uid(spark):
