@@ -27,7 +27,9 @@ def norm(a) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - cosine; 1 if either vector has norm zero, NULL if either is NULL."""
+    n = norm(a) * norm(b)
+    return F.lit(1.0) - F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(n, F.lit(0.0)))
 
 
 def l2_distance(a, b) -> Column:

@@ -95,7 +95,11 @@ def kmeanspp_pick(df: DataFrame, k: int, seed=42, by: Sequence[str] = (), uid: s
 
 def kmeans_rows(df: DataFrame, k: int, seed: int = 42, uid: str = "uid", vec: str = "vec",
                 max_iter: int = 20) -> DataFrame:
-    """MLlib k-means with k clusters, then the row nearest each centre (ties by uid)."""
+    """MLlib k-means with k clusters, then the row nearest each centre (ties by uid).
+
+    Where centres coincide or stay empty, the rows next nearest to any centre fill
+    up, so min(k, rows) distinct rows are returned.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -111,7 +115,10 @@ def kmeans_rows(df: DataFrame, k: int, seed: int = 42, uid: str = "uid", vec: st
     cdf = F.broadcast(cdf) if nbytes <= (64 << 20) else cdf
     assigned = model.transform(base).join(cdf, on="cluster", how="inner")
     assigned = assigned.withColumn("__dist", squared_euclidean([F.col("__v")], [F.col("__c")]))
-    picks = top_n_by(assigned, 1, ["cluster"], [F.col("__dist"), F.col("uid")])
+    # the cluster's best row first, then all rows by distance: k rows in that order
+    ranked = assigned.select("uid", "cluster", "__dist", F.row_number().over(
+        Window.partitionBy("cluster").orderBy("__dist", "uid")).alias("__r"))
+    picks = ranked.orderBy(F.when(F.col("__r") == 1, 0).otherwise(1), "__dist", "uid").limit(k)
     return picks.select(F.col("uid").alias(uid), "cluster")
 
 

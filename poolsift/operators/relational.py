@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..session import cut_lineage
 from pyspark.sql import types as Ty
 
 
@@ -88,29 +90,32 @@ def pool_sizes(base: DataFrame, label_log: DataFrame, on: str = "uid") -> DataFr
                       F.sum(F.when(F.col("__l").isNull(), 1).otherwise(0)).alias("pool_size"))
 
 
-def assign_uid(df: DataFrame, order_col: str, out: str = "uid", start: int = 0,
-               block_size: int = 1 << 20, lead: Sequence[Column] = ()) -> DataFrame:
-    """Contiguous ids ``start .. start + n - 1`` in (lead..., order_col) order.
+def assign_uid(df: DataFrame, order: str | Sequence[str], out: str = "uid", start: int = 0,
+               lead: Sequence[Column] = ()) -> DataFrame:
+    """Contiguous ids ``start .. start + n - 1`` in the order of ``lead`` and ``order``.
 
-    Two passes, no single-partition window: rows are blocked by
-    ``floor(order_col / block_size)``; block counts (one small aggregate)
-    are prefix-summed into offsets, and each row's id is its block offset
-    plus its rank inside the block.  ``order_col`` must be numeric and unique;
-    ``lead`` columns (e.g. split rank, train first) come before it.
+    Rows are range-partitioned and sorted on those columns and checkpointed; a
+    row's id is its partition's offset (one count per partition) plus its place
+    in the partition.  No window, and no task sees more than its range.  The
+    columns together must be unique, else the order of equal rows is open; they
+    may be sparse, NULLs come first.
     """
+    order = [order] if isinstance(order, str) else list(order)
     lead_names = [f"__lead{i}" for i in range(len(lead))]
-    keyed = df
-    for n, c in zip(lead_names, lead):
-        keyed = keyed.withColumn(n, c)
-    keyed = keyed.withColumn("__blk", F.floor(F.col(order_col) / F.lit(block_size)))
-    blocks = [*lead_names, "__blk"]
-    counts = keyed.groupBy(*blocks).agg(F.count(F.lit(1)).alias("__c"))
-    wo = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(wo), F.lit(0))).drop("__c")
-    wi = Window.partitionBy(*blocks).orderBy(order_col)
-    return (keyed.join(offsets, on=blocks, how="inner")
-                 .withColumn(out, (F.lit(start) + F.col("__off") + F.row_number().over(wi) - 1).cast("long"))
-                 .drop(*blocks, "__off"))
+    by = [*lead_names, *order]
+    keyed = df.withColumns(dict(zip(lead_names, lead))) if lead else df
+    placed = cut_lineage(keyed.repartitionByRange(*by).sortWithinPartitions(*by))
+    placed = placed.withColumn("__at", F.monotonically_increasing_id()) \
+        .withColumn("__part", F.shiftrightunsigned("__at", 33).cast("int"))
+    counts = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())
+    offsets, total = [], start
+    for part, n in counts:          # one row per partition
+        offsets.append((part, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, "__part int, __off long")
+    return (placed.join(F.broadcast(table), "__part")
+            .withColumn(out, F.col("__off") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("__part", "__at", "__off", *lead_names))
 
 
 def concat_text(title: str, content: str, sep: str = "\n") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_AXIS_VALUES = 10_000
+from ..session import cut_lineage
 
 
 def class_stats(df: DataFrame, label: str, names: DataFrame | None = None, total: bool = False) -> DataFrame:
@@ -26,25 +26,8 @@ def class_stats(df: DataFrame, label: str, names: DataFrame | None = None, total
     return out.drop("__g")
 
 
-# groups up to this many values use Spark's exact ``percentile`` (its buffer
-# holds a group's distinct values); larger groups use histogram refinement
-PERCENTILE_MAX_GROUP = 1_000_000
-
-
-def group_quartiles(df: DataFrame, keys: Sequence[str], value: str = "value",
-                    max_group: int | None = None) -> DataFrame:
-    """Exact median and IQR (linear interpolation) per group.
-
-    One small aggregate measures the largest group; at or below
-    ``max_group`` values the single-pass ``percentile`` is used, above it
-    ``exact_quantiles`` (no task ever holds a whole group).  Same numbers.
-    """
-    limit = PERCENTILE_MAX_GROUP if max_group is None else max_group
-    biggest = df.groupBy(*keys).agg(F.count(value).alias("__n")).agg(F.max("__n")).first()[0] or 0
-    if biggest <= limit:
-        q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return (df.groupBy(*keys).agg(q.alias("__q"))
-                  .select(*keys, F.col("__q")[1].alias("median"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr")))
+def group_quartiles(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Exact median and IQR (linear interpolation) per group; NULL for a group without values."""
     qs = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
     return qs.select(*keys, F.col("q_1").alias("median"), (F.col("q_2") - F.col("q_0")).alias("iqr"))
 
@@ -108,26 +91,20 @@ def outer_indicator(left: DataFrame, right: DataFrame, keys: Sequence[str], out:
                         .when(F.col("__l"), "left_only").otherwise("right_only")).drop("__l", "__r")
 
 
-def design_grid(df: DataFrame, axes: Sequence[str], large_axis: str | None = None,
-                max_axis_values: int = MAX_AXIS_VALUES) -> DataFrame:
-    """Every combination of the distinct values of ``axes``.
+def design_grid(df: DataFrame, axes: Sequence[str], large_axis: str | None = None) -> DataFrame:
+    """Every combination of the distinct values of ``axes`` (NULL counts as a value).
 
-    The large axis stays a distributed DataFrame; each small axis (checked to
-    hold at most ``max_axis_values`` values) is fetched once and attached with
-    ``explode`` -- a narrow generator, no join and no shuffle of the grid.
+    The large axis stays a distributed DataFrame; the values of each other axis,
+    which every value of the large one meets anyway, enter as one array (a scalar
+    subquery) and are attached with ``explode``: no join and no shuffle of the grid.
     """
     axes = list(axes)
     large = large_axis or axes[0]
     grid = df.select(large).distinct()
     for a in axes:
-        if a == large:
-            continue
-        vals = df.select(a).distinct().limit(max_axis_values + 1).collect()
-        if len(vals) > max_axis_values:
-            raise ValueError(f"axis {a} has more than {max_axis_values} values; grid would not be small")
-        dtype = df.schema[a].dataType.simpleString()
-        arr = F.array(*[F.lit(r[0]).cast(dtype) for r in vals]) if vals else F.array().cast(f"array<{dtype}>")
-        grid = grid.withColumn(a, F.explode(arr))
+        if a != large:
+            values = df.select(F.collect_set(F.struct(F.col(a).alias("v")))).scalar()
+            grid = grid.withColumn(a, F.explode(values)).withColumn(a, F.col(a)["v"])
     return grid.select(*axes)
 
 
@@ -149,62 +126,68 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], lprefix
     return out
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the null-safe equality of the keys."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(renamed[f"__k_{k}"])
+    return renamed, on
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    buckets: int = 4096, levels: int = 3) -> DataFrame:
-    """Exact quantiles (linear interpolation, as ``percentile``) without holding a
-    group's values in one task.
-
-    Each wanted order statistic (ranks floor/ceil of q*(n-1)) is located by
-    histogram refinement: per (group, target) the current value range is cut
-    into ``buckets`` equal-width buckets whose counts are partially aggregated;
-    the bucket holding the target rank becomes the next range.  A range whose
-    min equals its max is resolved at once; after ``levels`` rounds only the
-    rows of the remaining narrow ranges are ranked in a window.  Returns
-    ``keys..., q_<i>`` columns (one per q, in order).
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles (linear interpolation, as ``percentile``), one plan for groups of any size.
+
+    A mergeable sketch brackets each quantile per group; the rows below the
+    bracket are counted, and only the distinct values inside it (about
+    ``4 / accuracy`` of a group) are ranked.  The neighbours just outside are kept
+    too, because both order statistics of a quantile may lie one rank off.
+    Groups with a NULL key and groups without a value stay (NULL quantiles).
+    Returns ``keys..., q_<i>`` columns.
     """
-    keys = list(keys)
-    v = F.col(value).cast("double")
-    rows = df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull())
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
-                                    F.max("__v").alias("__hi"))
-    # target ranks (0-based): lo and hi neighbours of every q
-    tgt_cols = []
+    keys, k = list(keys), len(qs)
+    rows = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("__v")))   # three passes read it
+    marks = [max(0.0, q - 2 / accuracy) for q in qs] + [min(1.0, q + 2 / accuracy) for q in qs]
+    stats = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", marks, accuracy).alias("__m"))
+    right, on = _same_keys(rows, stats, keys)
+    marked = rows.join(right, on).select(*keys, "__n", "__m", "__v")
+    v = F.col("__v")
+
+    def low(i):
+        return F.col("__m")[i]
+
+    def high(i):
+        return F.col("__m")[k + i]
+
+    aggs = []
+    for i in range(k):
+        aggs += [F.count_if(v < low(i)).alias(f"__below{i}"), F.count_if((v >= low(i)) & (v <= high(i))).alias(f"__in{i}"),
+                 F.max(F.when(v < low(i), v)).alias(f"__prev{i}"), F.min(F.when(v > high(i), v)).alias(f"__next{i}")]
+    groups = marked.groupBy(*keys).agg(F.max("__n").alias("__n"), *aggs)
+    target = F.explode(F.array_compact(F.array(*[F.when((v >= low(i)) & (v <= high(i)), F.lit(i)) for i in range(k)])))
+    inside = marked.withColumn("__i", target).groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    w = Window.partitionBy(*keys, "__i").orderBy("__v")
+    ranked = inside.withColumn("__end", F.sum("__c").over(w))
+    right, on = _same_keys(ranked, groups.drop("__n"), keys)
+    ranked = ranked.join(right, on)
+    picks = []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (F.col("__n") - 1)
-        tgt_cols += [F.struct(F.lit(2 * i).alias("t"), F.floor(pos).cast("long").alias("r")),
-                     F.struct(F.lit(2 * i + 1).alias("t"), F.ceil(pos).cast("long").alias("r"))]
-    targets = (stats.select(*keys, "__n", "__lo", "__hi", F.explode(F.array(*tgt_cols)).alias("__t"))
-                    .select(*keys, "__n", F.col("__t.t").alias("t"), F.col("__t.r").alias("r"),
-                            F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.lit(0).cast("long").alias("off")))
-    resolved = targets.filter(F.col("lo") == F.col("hi")).select(*keys, "t", F.col("lo").alias("val"))
-    open_t = targets.filter(F.col("lo") != F.col("hi"))
-    for _ in range(levels):
-        inr = rows.join(open_t, on=keys, how="inner").filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        b = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                    F.lit(buckets - 1)).cast("long")
-        hist = inr.groupBy(*keys, "t", "r", "off", b.alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("__v").alias("bmin"), F.max("__v").alias("bmax"))
-        w = Window.partitionBy(*keys, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hit = (hist.withColumn("cum", F.sum("c").over(w))
-                   .filter((F.col("off") + F.col("cum") - F.col("c") <= F.col("r")) & (F.col("r") < F.col("off") + F.col("cum")))
-                   .select(*keys, "t", "r", (F.col("off") + F.col("cum") - F.col("c")).alias("off"),
-                           F.col("bmin").alias("lo"), F.col("bmax").alias("hi")))
-        resolved = resolved.unionByName(hit.filter(F.col("lo") == F.col("hi")).select(*keys, "t", F.col("lo").alias("val")))
-        open_t = hit.filter(F.col("lo") != F.col("hi"))
-    # what is still open is a narrow value range: rank its rows exactly
-    inr = rows.join(open_t, on=keys, how="inner").filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-    wr = Window.partitionBy(*keys, "t").orderBy("__v")
-    last = (inr.withColumn("__k", F.col("off") + F.row_number().over(wr) - 1)
-               .filter(F.col("__k") == F.col("r")).select(*keys, "t", F.col("__v").alias("val")))
-    vals = resolved.unionByName(last)
-    # interpolate: lo + frac * (hi - lo)
-    wide = vals.groupBy(*keys).pivot("t", list(range(2 * len(qs)))).agg(F.first("val"))
-    n = stats.select(*keys, "__n")
-    out = wide.join(n, on=keys, how="inner")
+        for name, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            at = r - F.col(f"__below{i}")
+            here = (F.col("__i") == i) & (at >= F.col("__end") - F.col("__c")) & (at < F.col("__end"))
+            picks.append(F.max(F.when(here, v)).alias(f"__{name}{i}"))
+    found = ranked.groupBy(*keys).agg(*picks)
+    right, on = _same_keys(groups, found, keys)
     cols = []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (F.col("__n") - 1)
-        frac = pos - F.floor(pos)
-        lo, hi = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
-        cols.append((lo + frac * (hi - lo)).alias(f"q_{i}"))
-    return out.select(*keys, *cols)
+
+        def at_rank(name, r, i=i):
+            return F.when(r < F.col(f"__below{i}"), F.col(f"__prev{i}")) \
+                .when(r >= F.col(f"__below{i}") + F.col(f"__in{i}"), F.col(f"__next{i}")).otherwise(F.col(f"__{name}{i}"))
+
+        a, b = at_rank("lo", F.floor(pos)), at_rank("hi", F.ceil(pos))
+        cols.append((a + (pos - F.floor(pos)) * (b - a)).alias(f"q_{i}"))
+    return groups.join(right, on, "left").select(*keys, *cols)

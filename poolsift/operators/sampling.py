@@ -168,15 +168,21 @@ def stratified_sample(df: DataFrame, label: str, n: int, seed=42, uid: str = "ui
 def initial_budget(df: DataFrame, label: str, positive_budget: int | None, total_budget: int,
                    minority_classes: Sequence | None, seed=42, uid: str = "uid") -> DataFrame:
     """Initial labelled set: ``positive_budget`` rows per minority class, then the
-    rest of ``total_budget`` drawn only from non-minority rows."""
+    rest of ``total_budget`` drawn only from non-minority rows.
+
+    Raises if a class has fewer rows than asked of it, or the others too few for the rest.
+    """
     if minority_classes is None or positive_budget is None:
         return random_query(df, total_budget, seed=seed, uid=uid)
     minority = list(minority_classes)
     is_min = F.col(label).isin(minority)
     pos = hash_top_n(df.filter(is_min), positive_budget, uid=uid, seed=seed, by=[label])
-    # at most positive_budget x |minority| rows: count them eagerly so the rest
-    # of the budget is a plain int (cheap window path when it is small)
-    n_rest = max(0, int(total_budget) - pos.count())
+    counts = {r[label]: r["n"] for r in class_counts(df.filter(is_min), label).collect()}   # minority classes only
+    short = [c for c in minority if counts.get(c, 0) < positive_budget]
+    n_rest = max(0, int(total_budget) - positive_budget * len(set(minority)))
+    others = df.filter(~is_min).count()
+    if short or others < n_rest:
+        raise ValueError(f"too few rows: classes {short}, others {others} of {n_rest}")
     rest = hash_top_n(df.filter(~is_min), n_rest, uid=uid, seed=seed)
     return pos.unionByName(rest)
 

@@ -7,11 +7,14 @@ shuffled.  Each pool partition runs a numpy matmul per Arrow batch
 per-row Python objects) and keeps only its local top-k per query, so the
 only shuffle carries ``partitions x queries x k`` rows.  A final ``row_number() <= k`` per query
 (with a salted intermediate level when there are many partitions) gives the
-global answer.  Query sets over the broadcast budget are processed in
-hash-split chunks, each one exact.
+global answer.  Query sets over the broadcast budget (vectors and the workers'
+top-k state together) are processed in hash-split chunks, each one exact.
 
-Approximate kNN (``build_ivf`` / ``ivf_knn``): MLlib KMeans cells on unit
-vectors, trained on a hash sample; the cell table is written once
+One rule for odd vectors everywhere: a NULL vector never matches and finds
+nothing; a vector of norm zero has cosine distance 1 to every other.
+
+Approximate kNN (``build_ivf`` / ``ivf_knn``): MLlib KMeans cells (on unit
+vectors for cosine), fitted on all rows; the cell table is written once
 partitioned by cell (``write_ivf``) and each query only scores the pool rows
 of its ``n_probe`` nearest cells.
 """
@@ -26,7 +29,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
 from ..functions.vectors import as_doubles
 from ..session import cut_lineage
 from .sampling import hash_top_n
@@ -142,6 +144,13 @@ def _query_block(queries: DataFrame, id_col: str, vec_col: str, metric: str):
     return qids, Q
 
 
+def _within(qids: np.ndarray, Q: np.ndarray, per_query: int, most: int):
+    """The block in parts that keep to the budget, should a chunk have come out larger."""
+    rows = max(1, most // per_query)
+    for lo in range(0, len(qids), rows):
+        yield qids[lo:lo + rows], Q[lo:lo + rows]
+
+
 def _global_topk(cands: DataFrame, k: int, fan_in: int, n_parts: int) -> DataFrame:
     order = [F.col("dists"), F.col("uid")]
     if n_parts > fan_in:
@@ -159,31 +168,30 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = 50, metric: str = "co
              seed=42, max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, fan_in: int = 64) -> DataFrame:
     """Exact k nearest pool rows per query -> (search_query_uid, uid, dists)."""
     spark = pool.sparkSession
-    pool_sel = pool.select(F.col(id_col).cast("long").alias("uid"), F.col(vec_col).alias("vec"))
+    pool_sel = pool.select(F.col(id_col).cast("long").alias("uid"), F.col(vec_col).alias("vec")).filter(F.col("vec").isNotNull())
     if max_search_size is not None:
         pool_sel = hash_top_n(pool_sel, int(max_search_size), uid="uid", seed=seed)
     # the query block is small by contract: materialise it once, size it, then fetch it
-    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).filter(F.col(vec_col).isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
         n_q, dim = int(stats["n"]), int(stats["d"] or 0)
         if n_q == 0:
             return spark.createDataFrame([], CANDIDATE_SCHEMA)
-        n_chunks = max(1, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes))
+        # a query costs its vector and, in every worker, k distances and ids
+        per_query = 8 * max(dim, 1) + 16 * k
+        n_chunks = max(1, math.ceil(n_q * per_query / max_broadcast_bytes))
         # cluster parallelism stands in for the pool's partition count (no extra job)
         n_parts = spark.sparkContext.defaultParallelism
         results = []
         for c in range(n_chunks):
             chunk = qdf if n_chunks == 1 else \
                 qdf.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)) == c)
-            qids, Q = _query_block(chunk, id_col, vec_col, metric)
-            if Q.nbytes > 2 * max_broadcast_bytes:
-                raise ValueError("query chunk exceeds the broadcast budget")
-            if len(qids) == 0:
-                continue
-            bc = spark.sparkContext.broadcast((qids, Q))
-            cands = pool_sel.mapInArrow(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
-            results.append(_global_topk(cands, k, fan_in, n_parts))
+            for qids, Q in _within(*_query_block(chunk, id_col, vec_col, metric), per_query, max_broadcast_bytes):
+                bc = spark.sparkContext.broadcast((qids, Q))
+                cands = pool_sel.mapInArrow(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
+                results.append(_global_topk(cands, k, fan_in, n_parts))
     finally:
         qdf.unpersist()
     out = results[0]
@@ -202,13 +210,10 @@ def search_stats(candidates: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- IVF ----
 
 def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str = "uid",
-              vec_col: str = "embedding", metric: str = "cosine", max_iter: int = 20,
-              train_per_cell: int = 256):
+              vec_col: str = "embedding", metric: str = "cosine", max_iter: int = 20):
     """Coarse quantiser (MLlib KMeans on unit vectors) and the cell-assigned pool.
 
-    As usual for IVF, the quantiser is trained on a sample (about
-    ``train_per_cell`` rows per cell, chosen by the md5 hash of the id, so it
-    is deterministic); every pool row is then assigned in one pass.
+    The quantiser is fitted on all rows with a vector; every one is then assigned in one pass.
 
     Returns ``(cells, centers, meta)``: ``cells`` is ``uid, vec, cell``
     (write it partitioned by ``cell`` to reuse it across runs), ``centers``
@@ -218,14 +223,12 @@ def build_ivf(pool: DataFrame, n_cells: int = 16, seed: int = 42, id_col: str =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = F.transform(as_doubles(vec_col), lambda x: x / F.sqrt(
-        F.aggregate(as_doubles(vec_col), F.lit(0.0), lambda s, y: s + y * y)))
+    length = F.sqrt(F.aggregate(as_doubles(vec_col), F.lit(0.0), lambda s, y: s + y * y))
+    unit = F.transform(as_doubles(vec_col), lambda x: F.when(length > 0, x / length).otherwise(x))
+    pool = pool.filter(F.col(vec_col).isNotNull())
     base = pool.select(F.col(id_col).cast("long").alias("uid"), as_doubles(vec_col).alias("vec"),
                        array_to_vector(unit if metric == "cosine" else as_doubles(vec_col)).alias("features"))
-    n_rows = pool.count()
-    frac = min(1.0, train_per_cell * n_cells / max(n_rows, 1))
-    train = base.filter(uniform(f"{seed}:ivf", "uid") < F.lit(frac)) if frac < 1.0 else base
-    train = cut_lineage(train)   # the iterations re-read the sample, not the pool scan
+    train = cut_lineage(base.select("features"))   # the iterations re-read it, not the plan of the pool
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(train)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
@@ -276,40 +279,41 @@ def load_ivf(spark, path: str):
 
 
 def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int = 50, n_probe: int = 4,
-            metric: str = "cosine", id_col: str = "uid", vec_col: str = "embedding",
-            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+            metric: str | None = None, id_col: str = "uid", vec_col: str = "embedding",
+            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, meta: DataFrame | None = None) -> DataFrame:
     """Approximate kNN: each query scores only rows of its ``n_probe`` nearest cells.
 
+    Cells are ranked with the metric of the search, which is the one in the
+    index's ``meta`` row unless given (cosine without either).
+
     The query block is measured and broadcast in hash-split chunks under the
     byte budget (as in ``knn_join``); the probe table is queries x cells booleans.
     """
     spark = cells.sparkSession
     sc = spark.sparkContext
-    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    if metric is None:
+        metric = meta.first()["metric"] if meta is not None else "cosine"
+    qdf = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)).filter(F.col(vec_col).isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
         n_q, dim = int(stats["n"]), int(stats["d"] or 0)
         if n_q == 0:
             return spark.createDataFrame([], CANDIDATE_SCHEMA)
-        per_query = 8 * max(dim, 1) + len(centers)
+        per_query = 8 * max(dim, 1) + len(centers) + 16 * k
         n_chunks = max(1, math.ceil(n_q * per_query / max_broadcast_bytes))
-        cn = centers / np.maximum(np.linalg.norm(centers, axis=1), 1e-300)[:, None]
         results = []
         for c in range(n_chunks):
             chunk = qdf if n_chunks == 1 else qdf.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)) == c)
-            qids, Q = _query_block(chunk, id_col, vec_col, metric)
-            if len(qids) == 0:
-                continue
-            near = np.argsort(1.0 - Q @ cn.T, axis=1)[:, :min(n_probe, len(centers))]
-            probes = np.zeros((len(qids), len(centers)), dtype=bool)
-            np.put_along_axis(probes, near, True, axis=1)
-            if Q.nbytes + probes.nbytes > 2 * max_broadcast_bytes:
-                raise ValueError("query chunk exceeds the broadcast budget")
-            bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
-            wanted = sorted({int(x) for x in near.ravel()})
-            pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
-            cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
-            results.append(_global_topk(cands, k, 64, sc.defaultParallelism))
+            for qids, Q in _within(*_query_block(chunk, id_col, vec_col, metric), per_query, max_broadcast_bytes):
+                near = np.argsort(_distances(Q, centers, metric), axis=1, kind="stable")[:, :min(n_probe, len(centers))]
+                probes = np.zeros((len(qids), len(centers)), dtype=bool)
+                np.put_along_axis(probes, near, True, axis=1)
+                bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
+                wanted = sorted({int(x) for x in near.ravel()})
+                pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
+                cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
+                results.append(_global_topk(cands, k, 64, sc.defaultParallelism))
     finally:
         qdf.unpersist()
     out = results[0]

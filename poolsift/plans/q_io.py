@@ -108,46 +108,47 @@ def q_jsonl_corpus(spark, d):
     return out.select("uid", F.concat("title", F.lit("\n"), "content").alias("text"), "split")
 
 
-@register("latin1_lines")
+@register("latin1_lines", """SELECT unnest(string_split(regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g'), chr(10))) AS labels
+FROM documents WHERE text IS NOT NULL""")
 def q_latin1_lines(spark, d):
-    """Every line of every document written as a Latin-1 file and read back
-    (characters outside Latin-1 become '?', so rows only)."""
-    lines = T.read(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("labels")) \
-        .filter(F.col("labels") != "")
-    path = shared_path(spark, "latin1")
-    (lines.write.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "\u0000")
-     .option("escape", "\u0000").option("header", "false").csv(path))
-    return RD.read_latin1_lines(spark, path)
+    """Every line of every document, blank ones too, written as a Latin-1 file and read
+    back (characters outside Latin-1 become '?')."""
+    lines = T.read(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("labels"))
+    return RD.read_latin1_lines(spark, SK.write_latin1_lines(lines, shared_path(spark, "latin1")))
 
 
-ARTIFACT_CUTOFF = "2024-01-04"
-
-
-def _write_run_artifacts(spark, d):
-    ev = T.read(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("ts") < F.lit(ARTIFACT_CUTOFF)))
+def _write_run_artifacts(spark, d, run):
+    """All events under one directory per run."""
+    ev = T.read(spark, d, "events")
     path = shared_path(spark, "artifacts")
-    ev.select(F.col("user_id").alias("run"), "event_id", "value").write.partitionBy("run").parquet(path)
+    ev.select(run.alias("run"), "event_id", "value").write.partitionBy("run").parquet(path)
     return path
 
 
-@register("missing_artifacts", """SELECT DISTINCT user_id AS run FROM events
-EXCEPT SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-04'""")
+LACKING = "error"
+
+
+@register("missing_artifacts", f"""SELECT event_type || '-' || CAST(user_id % 16 AS VARCHAR) AS run FROM events
+EXCEPT SELECT event_type || '-' || CAST(user_id % 16 AS VARCHAR) FROM events WHERE event_type <> '{LACKING}'""")
 def q_missing_artifacts(spark, d):
-    """Runs whose directory lacks the artefact file (listing reads paths, never contents)."""
-    root = _write_run_artifacts(spark, d)
-    runs = T.read(spark, d, "events").select(F.col("user_id").alias("run")).distinct()
+    """Runs whose directory lacks the artefact file (listing reads paths, never contents).
+
+    A run is an event type and a sixteenth of the users; runs of one type write nothing.
+    """
+    run = F.concat_ws("-", "event_type", (F.col("user_id") % 16).cast("string"))
+    ev = T.read(spark, d, "events").select(run.alias("run"), "event_type", "event_id", "value")
+    root = shared_path(spark, "artifacts")
+    ev.filter(F.col("event_type") != LACKING).write.partitionBy("run").parquet(root)
     listing = RD.list_files(spark, root, "*.parquet")
-    return RD.missing_artifacts(runs, listing, "run",
-                                F.regexp_extract("path", r"/run=(\d+)/", 1).cast("long"))
+    return RD.missing_artifacts(ev.select("run").distinct(), listing, "run", F.regexp_extract("path", r"/run=([^/]+)/", 1))
 
 
-@register("scan_with_filename", """SELECT user_id AS run, count(*) AS n FROM events
-WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-04' GROUP BY user_id""")
+@register("scan_with_filename", """SELECT event_type AS run, count(*) AS n FROM events GROUP BY event_type""")
 def q_scan_with_filename(spark, d):
     """Recursive scan of per-run files with the file path as a column; run from the path."""
-    root = _write_run_artifacts(spark, d)
+    root = _write_run_artifacts(spark, d, F.col("event_type"))
     df = RD.scan_with_filename(spark, root, "*.parquet")
-    run = F.regexp_extract(RD.run_dir("filename"), r"run=(\d+)$", 1).cast("long")
+    run = F.regexp_extract(RD.run_dir("filename"), r"run=([^/]+)$", 1)
     return df.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -243,9 +244,9 @@ def q_ivf_knn(spark, d):
     lab = T.labelled(spark, d)
     pool = T.pool(spark, d, lab)
     path = write_ivf(*build_ivf(pool, n_cells=8, seed=42), shared_path(spark, "ivf"))
-    cells, centers, _meta = load_ivf(spark, path)
+    cells, centers, meta = load_ivf(spark, path)
     anchors = anchors_random(lab, 5, seed=43)
-    cands = ivf_knn(anchors, cells, centers, k=20, n_probe=3)
+    cands = ivf_knn(anchors, cells, centers, k=20, n_probe=3, meta=meta)
     return cands.select("search_query_uid", "uid", r6("dists").alias("dists"))
 
 

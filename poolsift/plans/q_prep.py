@@ -246,10 +246,7 @@ SELECT doc_id, CAST(row_number() OVER (ORDER BY n, doc_id) AS BIGINT) AS positio
 def q_sort_by_length(spark, d):
     """Documents sorted by token count (ties by id); the position is the output order."""
     docs = T.read(spark, d, "documents").select("doc_id", F.size(TX.tokens("text")).alias("n"))
-    # blocks of 2^20 consecutive ids within a length: a common length never lands in one task
-    ranked = R.assign_uid(docs.withColumn("__key", F.col("n") * F.lit(1 << 40) + F.col("doc_id")),
-                          "__key", out="position", start=1, block_size=1 << 20)
-    return ranked.select("doc_id", "position")
+    return R.assign_uid(docs, ["n", "doc_id"], out="position", start=1).select("doc_id", "position")
 
 
 # ----------------------------------------------------------- statistics --

@@ -53,13 +53,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: Ty.StructType | str, file
 
 
 def read_latin1_lines(spark: SparkSession, path: str, col: str = "labels") -> DataFrame:
-    """One row per line of a Latin-1 text file.
+    """One row per line of a Latin-1 text file, blank lines included.
 
-    The ``text`` reader ignores ``encoding``; the CSV reader honours it, so the
-    file is read as one-column CSV with a separator and quote that never occur.
+    The ``text`` reader hands on a line's bytes as they are; they are decoded here.
     """
-    return (spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "\u0000")
-            .option("escape", "\u0000").option("header", "false").schema(f"`{col}` string").csv(path))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias(col))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: Ty.StructType | str | None = None) -> DataFrame:

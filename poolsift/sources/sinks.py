@@ -77,3 +77,10 @@ def write_snapshot(base: DataFrame, label_log: DataFrame, path: str, uid: str =
     """Overwrite the snapshot each round; rerunning a round rewrites the same content."""
     labelled_snapshot(base, label_log, uid).write.mode("overwrite").parquet(path)
     return path
+
+
+def write_latin1_lines(lines: DataFrame, path: str, col: str = "labels") -> str:
+    """One line per row, encoded as Latin-1; characters outside it become '?'."""
+    plain = F.regexp_replace(F.col(col), r"[^\x00-\xFF]", "?")
+    lines.select(F.encode(plain, "ISO-8859-1").cast("string").alias("value")).write.text(path)
+    return path

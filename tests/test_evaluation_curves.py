@@ -102,6 +102,8 @@ def test_design_grid_and_missing(spark):
     grid = RP.design_grid(df, ["u", "t", "d"], large_axis="u")
     assert grid.count() == 8
     assert RP.missing_combinations(grid, df, ["u", "t", "d"]).count() == 6
+    holed = df.unionByName(spark.createDataFrame([(3, None, "d1")], df.schema))
+    assert RP.design_grid(holed, ["u", "t", "d"], large_axis="u").count() == 18
 
 
 def test_exact_quantiles_match_percentile(spark):
@@ -111,13 +113,21 @@ def test_exact_quantiles_match_percentile(spark):
             for g, n in ((0, 1), (1, 2), (2, 9), (3, 3000)) for i in range(n)]
     df = spark.createDataFrame(rows, "g int, v double").repartition(5)
     qs = [0.25, 0.5, 0.75]
-    mine = {r["g"]: (r["q_0"], r["q_1"], r["q_2"]) for r in RP.exact_quantiles(df, ["g"], "v", qs, buckets=8).collect()}
+    mine = {r["g"]: (r["q_0"], r["q_1"], r["q_2"]) for r in RP.exact_quantiles(df, ["g"], "v", qs).collect()}
     ref = {r["g"]: tuple(r["p"]) for r in
            df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
+    coarse = {r["g"]: (r["q_0"], r["q_1"], r["q_2"]) for r in RP.exact_quantiles(df, ["g"], "v", qs, accuracy=100).collect()}
     for g in ref:
-        assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine[g], ref[g]))
-    forced = {r["g"]: (r["median"], r["iqr"]) for r in RP.group_quartiles(df, ["g"], "v", max_group=0).collect()}
-    assert abs(forced[3][0] - ref[3][1]) < 1e-9 and abs(forced[3][1] - (ref[3][2] - ref[3][0])) < 1e-9
+        for got in (mine, coarse):
+            assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], ref[g]))
+
+
+def test_quartiles_keep_null_keys_and_empty_groups(spark):
+    rows = [(None, float(v)) for v in range(5)] + [("empty", None), ("empty", None), ("one", 3.0)]
+    rows += [("hot", float(v % 1000)) for v in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(3)
+    got = {r["g"]: (r["median"], r["iqr"]) for r in RP.group_quartiles(df, ["g"]).collect()}
+    assert got == {None: (2.0, 2.0), "empty": (None, None), "one": (3.0, 0.0), "hot": (499.5, 499.5)}
 
 
 def test_running_auc_blocked_equals_window(spark):

@@ -50,7 +50,7 @@ def test_map_lookup_misspelt_key(spark):
 
 def test_assign_uid_contiguous(spark):
     df = spark.range(0, 5000, 3).select(F.col("id").alias("doc_id")).repartition(7)
-    got = sorted((r["doc_id"], r["uid"]) for r in R.assign_uid(df, "doc_id", block_size=100).collect())
+    got = sorted((r["doc_id"], r["uid"]) for r in R.assign_uid(df, "doc_id").collect())
     assert [u for _, u in got] == list(range(len(got)))
 
 
@@ -59,3 +59,11 @@ def test_format_cells(spark):
     rows = df.select(TX.format_median_iqr("m", "i").alias("c"), TX.format_thousands("b").alias("t")).collect()
     assert rows[0]["c"] == "0.73 ± 0.13" and rows[1]["c"] == ""
     assert rows[0]["t"] == "999" and rows[1]["t"] == "1.3k"
+
+
+def test_ids_and_length_order_with_sparse_large_ids(spark):
+    rows = [(5, 1 << 61), (1, 1 << 62), (5, -7), (2, (1 << 41) + 3), (1, 12), (None, 3)]
+    df = spark.createDataFrame(rows, "n int, doc_id long").repartition(3)
+    got = {(r.n, r.doc_id): r.position for r in R.assign_uid(df, ["n", "doc_id"], out="position", start=1).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {r: i + 1 for i, r in enumerate(want)}

@@ -67,3 +67,12 @@ def test_gumbel_top_k_deterministic(spark):
     a = [r["uid"] for r in S.gumbel_top_k(df, "s", 20, seed=3).collect()]
     b = [r["uid"] for r in S.gumbel_top_k(df.repartition(5), "s", 20, seed=3).collect()]
     assert a == b and len(set(a)) == 20
+
+
+def test_initial_budget_raises_where_rows_are_missing(spark):
+    import pytest
+    df = spark.createDataFrame([(i, 1 if i < 3 else 0) for i in range(50)], "uid long, labels int")
+    for positive, total in ((5, 20), (2, 100)):
+        with pytest.raises(ValueError):
+            S.initial_budget(df, "labels", positive, total, [1])
+    assert S.initial_budget(df, "labels", 2, 20, [1]).count() == 20

@@ -140,3 +140,35 @@ def test_knn_max_search_size(spark):
     direct = sorted((r[0], r[1]) for r in knn_join(q, pool.join(hash_top_n(pool, 50, seed=5).select("uid"), "uid",
                                                                       "left_semi"), k=4).collect())
     assert sorted((r[0], r[1]) for r in capped) == direct
+
+
+def test_odd_vectors_follow_one_rule(spark):
+    from poolsift.functions.vectors import cosine_distance
+    pool = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0])], "uid long, embedding array<double>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [0.0, 0.0])], "uid long, embedding array<double>")
+    got = {(r.search_query_uid, r.uid): r.dists for r in knn_join(q, pool, k=5).collect()}
+    assert got == {(10, 1): 0.0, (10, 2): 1.0, (10, 4): 1.0, (12, 1): 1.0, (12, 2): 1.0, (12, 4): 1.0}
+    pairs = pool.alias("a").join(q.alias("b")).select("a.uid", F.col("b.uid").alias("q"), cosine_distance("a.embedding", "b.embedding").alias("d"))
+    assert all(r.d == got.get((r.q, r.uid)) for r in pairs.collect())
+    cells, centers, meta = build_ivf(pool, n_cells=2, seed=1)
+    assert ivf_knn(q, cells, centers, k=5, n_probe=2, meta=meta).count() == 6
+
+
+def test_ivf_probes_with_the_metric_of_the_search(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    at = np.array([[1.0, 1.0], [10.0, 10.0], [1.0, -1.0], [10.0, -10.0]])
+    x = np.repeat(at, 60, axis=0) + rng.normal(0, 0.2, (240, 2))
+    pool = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "uid long, embedding array<double>")
+    q = pool.filter("uid % 10 = 0")
+    for metric in ("l2", "cosine", "ip"):
+        cells, centers, meta = build_ivf(pool, n_cells=4, seed=3, metric=metric)
+        approx = ivf_knn(q, cells, centers, k=10, n_probe=1 if metric == "l2" else 2, meta=meta)
+        assert recall_at_k(approx, knn_join(q, pool, k=10, metric=metric)).first()["recall"] > 0.9
+
+
+def test_kmeans_rows_always_returns_k_rows(spark):
+    from poolsift.operators.anchors import kmeans_rows
+    df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(30)], "uid long, vec array<double>")
+    assert len({r.uid for r in kmeans_rows(df, 5, seed=1).collect()}) == 5
+    assert kmeans_rows(df.limit(3), 5, seed=1).count() == 3
