@@ -185,5 +185,5 @@ def _labelled(sets: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFra
     rep = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("__c"))
     out = sets.join(rep, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("__c", F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
