@@ -32,11 +32,6 @@ def cosine_distance(a, b) -> Column:
     return F.lit(1.0) - F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(n, F.lit(0.0)))
 
 
-def l2_distance(a, b) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y)),
-                              F.lit(0.0), lambda s, v: s + v))
-
-
 def _exp_sum(logits: Column, m: Column) -> Column:
     return F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - m))
 

@@ -3,8 +3,8 @@
 The running area under a curve is rewritten from "collect the running list,
 call a Python trapezoid per row" (quadratic, row-at-a-time) into two window
 aggregates over a ``ROWS`` frame: trapz with unit spacing of v_1..v_n is
-``sum(v) - (v_1 + v_n) / 2``.  Every curve here is one row per
-``(run, tag, step)``, so window partitions are as long as a run has steps.
+``sum(v) - (v_1 + v_n) / 2``.  Running sums are built from blocks of steps, so a
+long curve is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,37 +15,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _running(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+BLOCK_STEPS = 4096
+
+
+def _joined_back(df: DataFrame, agg: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Group values back on the rows; NULL keys are keys too."""
+    renamed = agg.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(renamed[f"__k_{k}"])
+    return df.join(renamed, on).drop(*[f"__k_{k}" for k in keys])
+
+
+def _running_sums(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Adds ``__sum``, the running sum, and ``__first``, the curve's first value.
+
+    A curve is cut into blocks of ``BLOCK_STEPS`` steps, ``floor(step / block)``.
+    Windows run inside (curve, block); a block's offset is a prefix sum over the
+    table of per-block totals, joined back.  No task holds more than a block of a
+    curve, however long it is, and the plan is the same for every length.
+    """
+    keys = list(keys)
+    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(BLOCK_STEPS)))
+    inside = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = d.groupBy(*keys, "__blk").agg(F.sum(value).alias("__bs"), F.min_by(value, order).alias("__bf"))
+    blocks = Window.partitionBy(*keys).orderBy("__blk")
+    offsets = (totals.withColumn("__off", F.coalesce(F.sum("__bs").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+               .withColumn("__first", F.first("__bf").over(blocks)).drop("__bs", "__bf"))
+    d = d.withColumn("__cs", F.sum(value).over(inside))
+    return _joined_back(d, offsets, [*keys, "__blk"]).withColumn("__sum", F.col("__off") + F.col("__cs")).drop("__blk", "__cs", "__off")
+
+
+def _trapezoid(value: str) -> Column:
+    return F.col("__sum") - (F.col("__first") + F.col(value)) / F.lit(2.0)
 
 
 def running_auc(df: DataFrame, keys: Sequence[str], order: str = "step", value: str = "value",
                 out: str = "auc") -> DataFrame:
-    w = _running(keys, [order])
-    return df.withColumn(out, F.sum(value).over(w) - (F.first(value).over(w) + F.col(value)) / F.lit(2.0))
+    return _running_sums(df, keys, order, value).withColumn(out, _trapezoid(value)).drop("__sum", "__first")
 
 
 def running_minutes(df: DataFrame, keys: Sequence[str], order: str = "step", value: str = "value",
                     out: str = "minutes") -> DataFrame:
-    return df.withColumn(out, F.sum(value).over(_running(keys, [order])) / F.lit(60.0))
+    return _running_sums(df, keys, order, value).withColumn(out, F.col("__sum") / F.lit(60.0)).drop("__sum", "__first")
 
 
 def curve_metrics(df: DataFrame, keys: Sequence[str] = ("run", "tag"), order: str = "step",
                   value: str = "value", timer_marker: str = "timer/") -> DataFrame:
     """Final curve value: running minutes for timer tags, running AUC otherwise."""
-    w = _running(keys, [order])
-    run_sum = F.sum(value).over(w)
-    auc = run_sum - (F.first(value).over(w) + F.col(value)) / F.lit(2.0)
-    return df.withColumn(value, F.when(F.col("tag").contains(timer_marker), run_sum / F.lit(60.0))
-                         .otherwise(auc))
-
-
-def trapz_expr(values: Column | str) -> Column:
-    """Trapezoid rule with unit spacing over an array column (0 for one point)."""
-    v = F.col(values) if isinstance(values, str) else values
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(v) <= 1, F.lit(0.0)).otherwise(
-        total - (F.element_at(v, 1) + F.element_at(v, -1)) / F.lit(2.0))
+    final = F.when(F.col("tag").contains(timer_marker), F.col("__sum") / F.lit(60.0)).otherwise(_trapezoid(value))
+    return _running_sums(df, keys, order, value).withColumn(value, final).drop("__sum", "__first")
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], order: str, value: str = "n",
@@ -73,7 +92,8 @@ def carry_forward_grid(df: DataFrame, run: str, rnd: str, cls: str, value: str =
 
 
 def group_max(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.max(col).over(Window.partitionBy(*keys)))
+    """Group maximum on every row: one partial aggregate, joined back."""
+    return _joined_back(df, df.groupBy(*keys).agg(F.max(col).alias(out)), list(keys))
 
 
 def last_step_rows(df: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
@@ -99,28 +119,3 @@ def budget_match(cells: DataFrame, group_keys: Sequence[str], strategy: str = "s
 def common_last_step(df: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
     """Minimum over groups of each group's maximum step (one row)."""
     return df.groupBy(*keys).agg(F.max(step).alias("__m")).agg(F.min("__m").alias("max_step"))
-
-
-def running_auc_blocked(df: DataFrame, keys: Sequence[str], order: str = "step", value: str = "value",
-                        out: str = "auc", block_size: int = 4096) -> DataFrame:
-    """``running_auc`` for curves too long for one task (same numbers).
-
-    A curve is cut into blocks of consecutive steps, ``floor(step / block_size)``.
-    Running sums inside a block are windows over (curve, block); block offsets
-    are prefix sums over the small table of per-block totals, joined back on
-    (curve, block).  A curve with a third of all rows is spread over its blocks.
-    """
-    keys = list(keys)
-    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block_size)))
-    w_in = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.currentRow)
-    d = d.withColumn("__cs", F.sum(value).over(w_in))
-    totals = d.groupBy(*keys, "__blk").agg(F.sum(value).alias("__bs"), F.min_by(value, order).alias("__bf"))
-    wb = Window.partitionBy(*keys).orderBy("__blk")
-    offs = (totals.withColumn("__off", F.coalesce(
-                F.sum("__bs").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-                  .withColumn("__first", F.first("__bf").over(wb))
-                  .select(*keys, "__blk", "__off", "__first"))
-    j = d.join(offs, on=[*keys, "__blk"], how="inner")
-    return (j.withColumn(out, F.col("__off") + F.col("__cs") - (F.col("__first") + F.col(value)) / F.lit(2.0))
-             .drop("__blk", "__cs", "__off", "__first"))

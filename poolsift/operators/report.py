@@ -77,11 +77,6 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], varia
     return df.unpivot(list(ids), list(values), variable, value)
 
 
-def logits_wide(df: DataFrame, logits: str, num_classes: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Array -> ``logit_i`` columns."""
-    return df.select(*[F.get(F.col(logits), i).alias(f"logit_{i}") for i in range(num_classes)], *keep)
-
-
 def outer_indicator(left: DataFrame, right: DataFrame, keys: Sequence[str], out: str = "_merge") -> DataFrame:
     """Full outer join on ``keys`` with a side indicator: both / left_only / right_only."""
     lm = left.select(*keys).distinct().withColumn("__l", F.lit(True))

@@ -57,16 +57,19 @@ def active_rounds(base: DataFrame, initial: DataFrame, strategy: str, rounds: in
 def hash_embed(docs: DataFrame, text: str, dim: int = 64, id_col: str = "uid") -> DataFrame:
     """Hashed bag of words of the whole text, L2-normalised, as ``ARRAY<DOUBLE>``.
 
-    A native (JVM) stand-in for a sentence encoder; a real encoder would be a
-    ``mapInPandas`` over length-sorted partitions.
+    A word's coordinate is the first 32 bits of its md5 modulo ``dim``; a text
+    without words is the zero vector.  A native (JVM) stand-in for a sentence
+    encoder; a real encoder would be ``embed_batches``.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    toks = docs.select(id_col, tokens(text).alias("__tok"))
-    tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim).transform(toks)
-    nv = Normalizer(inputCol="__tf", outputCol="__nv", p=2.0).transform(tf)
-    return nv.select(id_col, vector_to_array("__nv").alias("embedding"))
+    words = docs.select(id_col, F.explode_outer(tokens(text)).alias("__tok"))
+    bucket = F.conv(F.substring(F.md5("__tok"), 1, 8), 16, 10).cast("long") % F.lit(dim)
+    counts = words.groupBy(id_col, bucket.alias("__b")).agg(F.count("__tok").alias("__n"))
+    # at most ``dim`` entries per document
+    entries = F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n")))
+    bags = counts.groupBy(id_col).agg(F.map_from_entries(entries).alias("__m"), F.sqrt(F.sum(F.col("__n") * F.col("__n"))).alias("__l"))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
+                     lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0)) / F.greatest("__l", F.lit(1.0)))
+    return bags.select(id_col, at.alias("embedding"))
 
 
 def length_sorted(df: DataFrame, length: str, uid: str = "uid", partitions: int | None = None) -> DataFrame:

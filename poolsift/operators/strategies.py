@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, as_doubles, dot, entropy, softmax
+from ..session import cut_lineage
 from .anchors import kmeans_rows, kmeanspp_pick, select_anchors
 from .sampling import gumbel_top_k, hash_top_n, random_query, random_subset
 from .similarity import knn_join
@@ -171,13 +172,22 @@ def subpool(stage: str, scored_pool: DataFrame, labelled: DataFrame, cfg: TwoSta
 
 def run_strategy(name: str, scored_pool: DataFrame, labelled: DataFrame, q: int,
                  cfg: TwoStageConfig | None = None, round_: int | None = None,
-                 label: str = "label", uid: str = "uid") -> DataFrame:
-    """Run a registered strategy by name: ``<stage>_<base>`` or a bare base name."""
+                 label: str = "label", uid: str = "uid", subpools: dict | None = None) -> DataFrame:
+    """Run a registered strategy by name: ``<stage>_<base>`` or a bare base name.
+
+    ``subpools`` keeps each stage's scored subpool (checkpointed) for further calls
+    with the same pool, labelled rows, configuration and round.
+    """
     cfg = cfg or TwoStageConfig()
     if name in BASE_STRATEGIES:
         return run_base(name, scored_pool, q, cfg.seed, round_, uid)
     stage, base = name.split("_", 1)
     if stage not in STAGES or base not in BASE_STRATEGIES:
         raise ValueError(f"unknown strategy {name}")
-    sub = subpool(stage, scored_pool, labelled, cfg, round_, label, uid)
-    return run_base(base, scored_pool.join(sub.select(uid), on=uid, how="left_semi"), q, cfg.seed, round_, uid)
+    kept = subpools.get(stage) if subpools is not None else None
+    if kept is None:
+        sub = subpool(stage, scored_pool, labelled, cfg, round_, label, uid)
+        kept = scored_pool.join(sub.select(uid), on=uid, how="left_semi")
+        if subpools is not None:
+            kept = subpools[stage] = cut_lineage(kept)
+    return run_base(base, kept, q, cfg.seed, round_, uid)

@@ -250,11 +250,18 @@ def q_ivf_knn(spark, d):
     return cands.select("search_query_uid", "uid", r6("dists").alias("dists"))
 
 
-@register("hash_embed")
+@register("hash_embed", """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text),
+    '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM b GROUP BY doc_id),
+g AS (SELECT d.doc_id, k FROM documents d, range(64) r(k))
+SELECT g.doc_id, list(round(coalesce(b.n / l.len, 0.0), 6) ORDER BY g.k) AS embedding
+FROM g LEFT JOIN b USING (doc_id, k) LEFT JOIN l USING (doc_id) GROUP BY g.doc_id""")
 def q_hash_embed(spark, d):
-    """Stand-in encoder: hashed word counts of the whole text, L2-normalised (MLlib)."""
-    docs = T.read(spark, d, "documents")
-    return hash_embed(docs, "text", dim=64, id_col="doc_id")
+    """Hashed bag-of-words vectors of the whole texts."""
+    docs = T.read(spark, d, "documents").select("doc_id", "text")
+    vectors = hash_embed(docs, "text", dim=64, id_col="doc_id")
+    return vectors.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @register("active_rounds")

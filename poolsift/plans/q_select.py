@@ -364,19 +364,14 @@ def q_cosine_distance(spark, d):
 
 @register("registry_smoke")
 def q_registry_smoke(spark, d):
-    """Every registered strategy name run once on the stand-in pool: name and batch size."""
+    """Every registered strategy name run through the registry: the rows that each picks."""
     lab = T.with_logits(T.labelled(spark, d))
     pool = T.with_logits(T.pool(spark, d, lab))
     cfg = ST.TwoStageConfig(subpool_size=SUBPOOL, num_neighbours=K, num_anchors=NUM_ANCHORS,
                             anchor_strategy_minority="random", anchor_strategy_majority="random",
                             minority_classes=list(T.MINORITY), seed=42)
-    from ..session import cut_lineage
-    rows = []
-    for stage in (None,) + ST.STAGES:
-        sub = pool if stage is None else \
-            cut_lineage(pool.join(ST.subpool(stage, pool, lab, cfg, round_=0).select("uid"), "uid", "left_semi"))
-        for base in ST.BASE_STRATEGIES:
-            name = base if stage is None else f"{stage}_{base}"
-            n = ST.run_base(base, sub, 5, cfg.seed, 0).count()
-            rows.append((name, int(n)))
-    return spark.createDataFrame(rows, "strategy string, batch_size int")
+    from functools import reduce
+    subpools: dict = {}
+    picks = [ST.run_strategy(name, pool, lab, 5, cfg, round_=0, subpools=subpools).select(F.lit(name).alias("strategy"), F.col("uid").cast("long").alias("uid"))
+             for name in ST.STRATEGY_NAMES]
+    return reduce(lambda a, b: a.unionByName(b), picks)

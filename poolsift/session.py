@@ -122,7 +122,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that needs a plain local path (tests)."""
     return path[5:] if path.startswith("file:") else path
-
-
-def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")

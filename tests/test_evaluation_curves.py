@@ -130,11 +130,21 @@ def test_quartiles_keep_null_keys_and_empty_groups(spark):
     assert got == {None: (2.0, 2.0), "empty": (None, None), "one": (3.0, 0.0), "hot": (499.5, 499.5)}
 
 
-def test_running_auc_blocked_equals_window(spark):
+def test_running_sums_equal_running_lists_over_many_blocks(spark, monkeypatch):
     import random
-    random.seed(5)
-    rows = [(r, "t", s, random.random() * 10) for r, n in (("a", 1), ("b", 3), ("c", 5000)) for s in range(n)]
+
+    import numpy as np
+    monkeypatch.setattr(C, "BLOCK_STEPS", 7)
+    rng = random.Random(5)
+    rows = [(r, t, s * 3, rng.random()) for r in ("a", None) for t in ("test/x", "timer/y") for s in range(40)]
     df = spark.createDataFrame(rows, "run string, tag string, step int, value double").repartition(4)
-    a = {(r["run"], r["step"]): r["auc"] for r in C.running_auc(df, ["run", "tag"]).collect()}
-    b = {(r["run"], r["step"]): r["auc"] for r in C.running_auc_blocked(df, ["run", "tag"], block_size=64).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    want = {}
+    for r, t, s, _ in rows:
+        v = [x[3] for x in rows if x[0] == r and x[1] == t and x[2] <= s]
+        want[r, t, s] = sum(v) / 60 if "timer" in t else float(np.trapezoid(v)) if len(v) > 1 else 0.0
+    got = {(x.run, x.tag, x.step): x.value for x in C.curve_metrics(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    auc = {(x.run, x.step): x.auc for x in C.running_auc(df.filter("tag = 'test/x'"), ["run", "tag"]).collect()}
+    assert all(abs(auc[r, s] - want[r, "test/x", s]) < 1e-9 for r, s in auc) and len(auc) == 80
+    top = C.group_max(df, ["run"], "step", "m").collect()
+    assert len(top) == len(rows) and {x.m for x in top} == {117}
