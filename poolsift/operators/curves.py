@@ -76,8 +76,8 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], order: str, value: str
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str = "cum_n", total: str = "total",
                    out: str = "p") -> DataFrame:
     """Group total written back to each row and the row's share of it."""
-    return (df.withColumn(total, F.sum(value).over(Window.partitionBy(*keys)))
-              .withColumn(out, F.try_divide(F.col(value), F.col(total))))
+    totals = df.groupBy(*keys).agg(F.sum(value).alias(total))
+    return _joined_back(df, totals, list(keys)).withColumn(out, F.try_divide(F.col(value), F.col(total)))
 
 
 def carry_forward_grid(df: DataFrame, run: str, rnd: str, cls: str, value: str = "cum_n") -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import argmax, logsumexp, max_prob
 
@@ -136,25 +138,42 @@ def early_stop_step(curves: DataFrame, keys: Sequence[str], step: str = "step",
     """Early stopping in mode max: a value improves iff it exceeds best + min_delta;
     stop at the first index with ``patience`` non-improvements in a row.
 
-    The fold runs over each curve's ordered values (curves are per run and
-    step-indexed, so their length is bounded by the number of steps).
-    Returns the stop index (NULL if never triggered), the best value and
-    the curve length.
+    Curves are sorted by step inside their partition and folded as they stream
+    by, so a task holds one curve's running state and never its values.
+    Returns the stop index (NULL if never triggered), the best value up to the
+    stop and the curve length.
     """
-    ordered = curves.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("pts"))
-    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("wait"),
-                    F.lit(None).cast("int").alias("stop"), F.lit(0).alias("i"))
-
-    def fold(acc, p):
-        improved = acc["best"].isNull() | (p["v"] > acc["best"] + F.lit(min_delta))
-        stopped = acc["stop"].isNotNull()
-        wait = F.when(improved, F.lit(0)).otherwise(acc["wait"] + 1)
-        return F.struct(
-            F.when(stopped, acc["best"]).when(improved, p["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(stopped, acc["wait"]).otherwise(wait).alias("wait"),
-            F.when(stopped, acc["stop"]).when(wait >= patience, acc["i"]).otherwise(F.lit(None)).alias("stop"),
-            (acc["i"] + 1).alias("i"))
-
-    res = ordered.select(*keys, F.aggregate("pts", init, fold).alias("r"), F.size("pts").alias("n_steps"))
-    return res.select(*keys, F.col("r.stop").alias("stop_index"), F.col("r.best").alias("best_value"), "n_steps")
+    keys = list(keys)
+    rows = curves.select(*keys, F.col(step).alias("__s"), F.col(value).cast("double").alias("__v"))
+    schema = rows.drop("__s", "__v").schema.add("stop_index", "integer").add("best_value", "double").add("n_steps", "integer")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, state, out = None, None, []
+
+        def close():
+            if state is not None:
+                out.append((*key, state[2], state[0], state[3]))
+
+        for b in batches:
+            for *k, v in zip(*(b.column(c).to_pylist() for c in [*keys, "__v"])):
+                if state is None or k != key:
+                    close()
+                    key, state = k, [None, 0, None, 0]      # best, wait, stop, length
+                best, wait, stop, n = state
+                if stop is None:
+                    if best is None or (v is not None and v > best + min_delta):
+                        best, wait = v, 0
+                    else:
+                        wait += 1
+                        stop = n if wait >= patience else None
+                state = [best, wait, stop, n + 1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__s", "__v").mapInArrow(run, schema)
+
