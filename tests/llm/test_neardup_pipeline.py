@@ -171,7 +171,7 @@ def test_every_stage_against_a_plain_version(spark, tmp_path):
 
 def test_pipeline_runs_whole_and_stages_take_odd_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == packing.NAMES
-    text = "\n".join(f"a plain line number {k} with several different words in it" for k in range(8))
+    text = "\n".join(" ".join(f"word{k}x{m}" for m in range(9)) for k in range(8))
     rows = [(1, text, "en", "s", len(text)), (1, text, "en", "s", len(text)), (None, text, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, text, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.quality_rules(spark, docs, SMALL).count() == 4
