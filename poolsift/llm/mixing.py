@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import own_names, plain_names, ready, shuffle_parts, slices, utf8
-from .shingles import K, lower_ascii, mix as mixed_bits, span_hashes, word_spans
+from .shingles import K, first_bytes, lower_ascii, mix as mixed_bits, span_hashes, word_spans
 
 DOMAINS = ("clean", "low", "toxic")
 #: token totals to reach, as multiples of what the corpus holds of each domain
@@ -64,14 +64,16 @@ def _features(batch: pa.RecordBatch):
     bare = last <= first                       # nothing but punctuation: the word shows itself
     first, last = np.where(bare, start, first), np.where(bare, end, last)
     word = span_hashes(data, first, last)
-    shows = [word] + [span_hashes(data, first, np.minimum(last, first + n)) + K(n) for n in (4, 5)]
-    shows.append(span_hashes(data, last, end) + K(9))
+    head, length = first_bytes(data, first), (last - first).astype(np.uint64)
+    shows = [word] + [mixed_bits((head & ((K(1) << (K(8) * np.minimum(length, K(n)))) - K(1))) + K(n)) for n in (4, 5)]
+    tail = np.nonzero(last < end)[0]
+    shows.append(span_hashes(data, last[tail], end[tail]) + K(9))
     key = np.sort((doc.astype(np.uint64) << K(40)) | (word >> K(24)))
     new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
     kinds = np.bincount((key[new] >> K(40)).astype(np.int64), minlength=len(counts))
     tenth = mixed_bits((10 * kinds // np.maximum(counts, 1)).astype(np.uint64) + K(77))
     feature = np.concatenate([*shows, tenth]) & K(FEATURES - 1)
-    return np.concatenate([np.tile(doc, len(shows)), np.arange(len(counts))]), feature.astype(np.int64), counts
+    return np.concatenate([doc, doc, doc, doc[tail], np.arange(len(counts))]), feature.astype(np.int64), counts
 
 
 def _punctuation() -> np.ndarray:
@@ -120,9 +122,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if not isinstance(total, int):
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    some = rows.mapInArrow(run, "counts binary").repartition(min(16, shuffle_parts(spark)))
-    got = [np.frombuffer(r["counts"], np.int64) for r in some.mapInArrow(add, "counts binary").collect()]   # 16 rows at most
-    counts = sum(got, np.zeros(len(names) * (FEATURES + 1), np.int64)).reshape(len(names), FEATURES + 1)
+    # fixed-size sums: sixteen tasks, then one, add up what the scan's tasks send
+    some = rows.mapInArrow(run, "counts binary").repartition(min(16, shuffle_parts(spark))).mapInArrow(add, "counts binary")
+    got = some.repartition(1).mapInArrow(add, "counts binary").first()
+    counts = np.frombuffer(got["counts"], np.int64) if got else np.zeros(len(names) * (FEATURES + 1), np.int64)
+    counts = counts.reshape(len(names), FEATURES + 1)
     used = _telling(counts)
     where = np.nonzero(used)[0]
 
@@ -136,7 +140,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.searchsorted(where, feature).astype(np.int32)))], names=["label", "at"])
 
-    weight, base = np.zeros((len(names), FEATURES)), _prior(counts)
+    weight, base = np.zeros((len(names), len(where))), _prior(counts)
     if len(where) and (counts[:, -1] > 0).sum() > 1:
         # at most ``most`` rows: one small table for the iterations
         train = rows.mapInArrow(shown, "label double, at array<int>").repartition(min(8, shuffle_parts(spark))).checkpoint()
@@ -144,10 +148,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=ITERATIONS, standardization=False).fit(
             train.select("label", vector("at").alias("features")))
         some = model.coefficientMatrix.toArray()
-        weight[:len(some), where] = some
+        weight[:len(some)] = some
         base = np.full(len(names), -1e3)
         base[:len(some)] = np.maximum(model.interceptVector.toArray(), -1e3)
-    return {"yes": weight, "base": base, "used": used}
+    at = np.full(FEATURES, -1, np.int32)
+    at[where] = np.arange(len(where))
+    return {"yes": weight, "base": base, "at": at}
 
 
 def _prior(counts: np.ndarray) -> np.ndarray:
@@ -157,12 +163,13 @@ def _prior(counts: np.ndarray) -> np.ndarray:
 
 def _telling(counts: np.ndarray) -> np.ndarray:
     """Which features are spread unevenly over the domains beyond chance; the rest are not learned from."""
-    docs = counts[:, -1].astype(float)[:, None]
-    seen = counts[:, :-1].astype(float)
-    total, n = seen.sum(0), max(docs.sum(), 1.0)
-    variance = docs * (1 - docs / n) * (total / n) * (1 - total / n)
-    score = ((seen - docs * total / n) ** 2 / np.maximum(variance, 1e-9)).max(0)
-    return (score >= CHI2) & (total >= MIN_DOCS)
+    docs = counts[:, -1].astype(float)
+    total, n = counts[:, :-1].sum(0), max(docs.sum(), 1.0)
+    telling = np.zeros(FEATURES, bool)
+    for seen, of in zip(counts[:, :-1], docs):
+        variance = of * (1 - of / n) * (total / n) * (1 - total / n)
+        telling |= (seen - of * total / n) ** 2 >= CHI2 * np.maximum(variance, 1e-9)
+    return telling & (total >= MIN_DOCS)
 
 
 def with_posteriors(docs: DataFrame, model: dict, text_col: str, keep: list) -> DataFrame:
@@ -178,8 +185,8 @@ def with_posteriors(docs: DataFrame, model: dict, text_col: str, keep: list) ->
         for b in batches:
             for part in slices(b):
                 doc, feature, counts = _features(part)
-                telling = m["used"][feature]
-                doc, feature = _once(doc[telling], feature[telling])
+                feature = m["at"][feature]
+                doc, feature = _once(doc[feature >= 0], feature[feature >= 0])
                 logp = np.stack([np.bincount(doc, m["yes"][d][feature], minlength=part.num_rows) for d in range(k)], 1) + m["base"]
                 p = np.exp(logp - logp.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
@@ -259,25 +266,43 @@ def rate_floor(keep: str | None = KEEP) -> Column:
     return F.when(F.col("__p")[at] >= F.array_max("__p"), 1.0).otherwise(0.0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict | None = None, keep: str | None = KEEP, id_col: str = "doc_id",
-        text_col: str = "text", seed: int = 17) -> DataFrame:
-    """``docs`` with ``__tokens``, ``__p``, ``__rate`` and ``__copies`` (rate, rounded up
-    with the probability of its fraction by a hash of id and text).
+def _copies(table: DataFrame, rate_: Column, seed: int, *key) -> DataFrame:
+    """Adds the rate and the copies: the rate, rounded up with the probability of its fraction by a hash of the key."""
+    u = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return table.withColumn("__rate", rate_).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
 
-    Nothing is dropped here; ``repeated`` carries the copies out.  A null or empty
-    text has no tokens and the classifier's prior.  Without labels all domains are
-    alike.  Documents whose likeliest domain is ``keep`` have a rate of 1 at least,
-    so mixing thins out and repeats but never loses a document of that domain.
+
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict | None = None, keep: str | None = KEEP,
+                   id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """``__id, __hash`` (of the text), ``__tokens, __p, __rate, __copies`` per row of ``docs``, read once.
+
+    A null or empty text has no tokens and the classifier's prior.  Without labels
+    all domains are alike.  Documents whose likeliest domain is ``keep`` have a rate
+    of 1 at least, so mixing thins out and repeats but never loses such a document.
     """
+    rows, _, steps = _fitted(docs, labels, targets, keep, id_col, text_col)
+    return _copies(rows, rate(F.col("__p"), rate_floor(keep), steps), seed, "__id", "__hash")
+
+
+def _fitted(docs, labels, targets, keep, id_col, text_col):
     model = fit_classifier(docs, labels, id_col, text_col)
+    text = F.col(text_col)
+    small = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__t"))
+    rows = with_posteriors(small, model, "__t", ["__id", "__hash"]).checkpoint()
+    return rows, model, fit_rates(rows, targets or TARGETS, keep)[0]
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict | None = None, keep: str | None = KEEP, id_col: str = "doc_id",
+        text_col: str = "text", seed: int = 17) -> DataFrame:
+    """``docs`` with ``__tokens``, ``__p``, ``__rate`` and ``__copies``, as ``document_rates``
+    has them.  Nothing is dropped here; ``repeated`` carries the copies out."""
+    _, model, steps = _fitted(docs, labels, targets, keep, id_col, text_col)
     docs, new = plain_names(docs)
-    id_col, text_col = new[id_col], new[text_col]
-    table = with_posteriors(docs, model, text_col, docs.columns)
-    small = table.select("__tokens", "__p").checkpoint()
-    steps, _ = fit_rates(small, targets or TARGETS, keep)
-    u = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = table.withColumn("__rate", rate(F.col("__p"), rate_floor(keep), steps))
-    return own_names(out.withColumn("__copies", F.floor(F.col("__rate") + u).cast("int")), new, *ADDED)
+    text = new[text_col]
+    # the posteriors are predicted again, which is cheaper than to shuffle the texts to them
+    table = with_posteriors(docs, model, text, docs.columns)
+    out = _copies(table, rate(F.col("__p"), rate_floor(keep), steps), seed, new[id_col], F.xxhash64(text))
+    return own_names(out, new, *ADDED)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

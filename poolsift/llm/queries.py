@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import language, line_dedup, minhash, mixing, packing, quality, sharding, suffixes, topk, url_rules
-from .common import ready, table
+from .common import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -139,8 +139,8 @@ def q_packing(spark, d):
 
 @register("op5_mixing")
 def q_mixing(spark, d):
-    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"))
-    return mixed.select("doc_id", F.col("__tokens").alias("n_words"),
+    found = mixing.document_rates(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select(F.col("__id").alias("doc_id"), F.col("__tokens").alias("n_words"),
                         *[F.col("__p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)],
                         F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 

@@ -35,6 +35,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def first_bytes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))[start].copy().view("<u8").ravel()
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each span's bytes, eight bytes a step, and its length."""
     h = np.zeros(len(start), np.uint64)
