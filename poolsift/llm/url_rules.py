@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+BROADCAST_BYTES = 32 << 20
+RULE_BYTES = 200     # of a rule beside its host and path: digest, key, verdict
 PREFIX_HEX = 8   # 32 bits of the digest are joined on
 RULE_SCHEMA = "host string, path string, verdict string"
 
@@ -59,11 +61,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     known = (rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull())
              .select(hosts.alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")))
     # the shapes that occur: at most one entry per label count and per path length
-    shape = known.agg(F.collect_set(_labels(F.col("r_host"))).alias("l"),
-                      F.collect_set(F.length("r_path")).alias("p")).first()
+    shape = known.agg(F.collect_set(_labels(F.col("r_host"))).alias("l"), F.collect_set(F.length("r_path")).alias("p"),
+                      F.sum(F.octet_length("r_host") + F.octet_length("r_path") + F.lit(RULE_BYTES)).alias("size")).first()
     labels, lengths = sorted(shape["l"]), sorted(shape["p"])
     digest = F.sha2(F.concat("r_host", "r_path"), 256)
     known = known.withColumn("r_digest", digest).withColumn("r_key", F.substring("r_digest", 1, PREFIX_HEX))
+    if (shape["size"] or 0) <= BROADCAST_BYTES:
+        known = F.broadcast(known)      # measured above; larger rule tables are shuffled by the join key
 
     base = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"),
                         url_path(F.col(url_col)).alias("path"))
