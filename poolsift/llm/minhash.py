@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, ready, shuffle_parts, slices, utf8
 from .connected import components
-from .shingles import COORDS, band_keys, digests, shingle_sets, sketches
+from .shingles import band_keys, digests, shingle_sets, sketches
 
 BAND_ROWS = 5
 PICK = 0.65            # share of equal coordinates from which a pair is verified
@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     families = _families(reps.select("doc_id", "bands")).checkpoint()
 
     # a family's size decides into how many blocks its members are dealt
-    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY_BLOCK)).cast("int").alias("blocks"))
+    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY_BLOCK)).cast("int").alias("blocks")).checkpoint()
+    # (written, so that the join below can split a large family over tasks)
     members = families.join(sizes, "component").select(
         F.col("component").alias("family"), F.col("node").alias("__id"), "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
