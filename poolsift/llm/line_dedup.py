@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, plain_names
+from .common import own_names, plain_names, ready
 
 WINDOW = 2            # lines in the rolling hash
 MULTIPLIER = 1_000_003
@@ -78,12 +78,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses chunks: its keys and ``__removed``, the chunk numbers."""
+    ready(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col).select(*KEYS, "__text")
     found = _with_chunks(F.col("__text"), lambda lines, chunks: F.transform(
         F.filter(chunks, lambda c: c["n"] >= MIN_LINES),
         lambda c: F.struct(c["j"].alias("j"), F.xxhash64(_chunk_text(lines, c)).alias("h"))))
     rows = keyed.select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.j", "c.h")
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # a written table of hashes, so that the join with it can split a hot hash over tasks
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h").checkpoint()
     candidates = rows.join(repeated, "h", "left_semi")
 
     # bytes of the candidates, and of nothing else, are grouped by hash
@@ -93,9 +95,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             j.alias("j"), _chunk_text(lines, c).alias("t")))))
     held = (keyed.join(lists, KEYS).select(*KEYS, F.explode(texts).alias("c"))
             .select(*KEYS, "c.j", "c.t", F.xxhash64("c.t").alias("h")))
-    first = (held.groupBy("h").agg(F.min(F.struct(*KEYS, "j")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"))
-             .filter(F.col("a") == F.col("b")).select("h", "first"))
-    return (candidates.join(first, "h").filter(F.struct(*KEYS, "j") > F.col("first"))
+    groups = held.groupBy("h").agg(F.min(F.struct(*KEYS, "j")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"))
+    # every occurrence goes but the first; a hash whose texts differ (a collision) removes nothing
+    odd = groups.filter(F.col("a") != F.col("b")).select("h")
+    first = groups.filter(F.col("a") == F.col("b")).select("first.*")
+    return (candidates.join(odd, "h", "left_anti").join(first, [*KEYS, "j"], "left_anti")
             .groupBy(*KEYS).agg(F.collect_set("j").alias("__removed")))
 
 
@@ -110,7 +114,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs, new = plain_names(docs)
     id_col, text_col = new[id_col], new[text_col]
-    joined = _keyed(docs, id_col, text_col).join(removals(docs, id_col, text_col), KEYS, "left")
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the text crosses the network once per row here: what the keys were made of stays behind
+    joined = _keyed(docs, id_col, text_col).drop("__text").join(removals(docs, id_col, text_col), KEYS, "left")
 
     def result(lines: Column, chunks: Column) -> Column:
         gone = F.coalesce("__removed", F.array().cast("array<int>"))
@@ -118,11 +124,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         kept = F.array_sort(F.array_except(every, gone))
         rest = F.array_join(F.transform(kept, lambda j: _let(F.get(chunks, j), lambda c: _chunk_text(lines, c))), "\n")
         lost = F.aggregate(gone, F.lit(0).cast("long"), lambda s, j: s + F.get(chunks, j)["n"])
-        return F.struct(F.when(F.col("__removed").isNull(), F.col("__text")).otherwise(rest).alias("text"),
+        return F.struct(F.when(F.col("__removed").isNull(), whole).otherwise(rest).alias("text"),
                         F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
                                  lost.alias("n_removed_lines"), F.size(gone).cast("long").alias("n_removed_chunks"))
                         .alias("counts"))
 
-    out = joined.withColumn("__out", _with_chunks(F.col("__text"), result))
+    out = joined.withColumn("__out", _with_chunks(whole, result))
     text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("__out.text"))
     return own_names(out.withColumns({"__lines": F.col("__out.counts"), text_col: text}), new, "__lines")
