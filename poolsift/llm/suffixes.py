@@ -178,8 +178,14 @@ class Chunk:
 
     def grams(self, buckets: int):
         """The distinct (document, gram) pairs by bucket: bucket and 32 hash bits of each, and each anchor's number among them."""
-        pair = (self.doc.astype(np.uint64) << K(32)) | (self.hash >> K(32))
-        _, first, number = np.unique(pair, return_index=True, return_inverse=True)
+        # by the full hash: the bucket comes from bits that are not among those sent
+        by = np.lexsort([self.hash, self.doc])
+        d, h = self.doc[by], self.hash[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+        first = by[new]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(new) - 1
         bucket = self.bucket(buckets)[first]
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)

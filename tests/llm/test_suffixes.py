@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -113,3 +114,19 @@ def test_every_window_has_one_anchor_and_equal_windows_agree():
     starts = [s for lo, hi in zip(off[:-1], off[1:]) for s in range(lo, hi - S.LENGTH + 1)]
     assert sorted(seen) == starts
     assert all(seen[100 + i] == seen[3000 + i] for i in range(300))
+
+
+def test_grams_of_a_document_with_equal_upper_bits_reach_their_own_buckets():
+    def sent(*hashes):
+        chunk = S.Chunk(pa.table({"__id": pa.array([1], pa.int64()), "__text": ["x"]}))
+        chunk.hash, chunk.doc = np.array(hashes, np.uint64), np.zeros(len(hashes), np.int64)
+        return chunk.grams(4)
+
+    first, second = (7 << 32) | 1, (7 << 32) | 2
+    bucket, upper, number = sent(first, second, first)
+    assert bucket.tolist() == [1, 2] and upper.tolist() == [7, 7] and number.tolist() == [0, 1, 0]
+    # another document has the second gram only: it is repeated, for both
+    other, same, _ = sent(second)
+    met = pa.table({"bucket": pa.array([2, 2], pa.int32()), "chunk": pa.array([0, 1], pa.int32()), "n": pa.array([1, 1], pa.int32()),
+                    "hashes": [upper[bucket == 2].tobytes(), same[other == 2].tobytes()]})
+    assert S._find_repeated(met).num_rows == 2
