@@ -16,7 +16,9 @@ writing out a suffix for each of them:
     smallest id that has it.
 4.  Each chunk of documents gets back what is smaller than its own ids.
 
-Documents are shuffled once into chunks, by id; the three passes read the same shuffle.
+Documents are shuffled once into chunks, by id and text; the three passes read the same
+shuffle.  Rows of one id never take from each other, so they need not meet in a chunk.
+Rows with a null id match nothing and are not shuffled.
 Each task sends a string once, however often it occurs there: a string that a third of
 all documents share is one entry of each run.
 """
@@ -28,7 +30,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,14 +163,12 @@ def decode(blob: bytes, n: int):
 
 
 class Chunk:
-    """The documents of one chunk, in the order of id and text; null ids stand apart and match nothing."""
+    """The documents of one chunk, in the order of id and text."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("__id", "ascending"), ("__text", "ascending")])
-        named = table.filter(pa.compute.is_valid(table.column("__id")))
-        self.apart = table.filter(pa.compute.is_null(table.column("__id")))
-        self.ids = named.column("__id").to_numpy().astype(np.int64)
-        self.data, self.off = utf8(named.column("__text").cast(pa.string()))
+        self.ids = table.column("__id").to_numpy().astype(np.int64)
+        self.data, self.off = utf8(table.column("__text").cast(pa.string()))
         self.place, self.least, self.most, self.hash = anchors(self.data, self.off)
         self.doc = np.searchsorted(self.off, self.place, side="right") - 1
 
@@ -487,9 +486,6 @@ def _judge(buckets: int):
                 spans = [{"start": x, "end": y} for x, y in zip(np.nonzero(runs == 1)[0].tolist(), np.nonzero(runs == -1)[0].tolist())]
                 kept = chunk.data[lo:hi][~gone[lo:hi]].tobytes()
             out.append((i, hi - lo, spans, hashlib.sha256(kept).hexdigest()))
-        for text in chunk.apart.column("__text").to_pylist():
-            raw = text.encode()
-            out.append((None, len(raw), [], hashlib.sha256(raw).hexdigest()))
         return _table([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())], out)
     return run
@@ -510,10 +506,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = shuffle_parts(spark)
     chunks = max(1, min(CHUNKS_A_TASK * parts, math.ceil(total / LEAST_BYTES)), math.ceil(total / CHUNK_BYTES))
     buckets = max(1, min(parts, math.ceil(total / (1 << 20))), math.ceil(total / BUCKET_BYTES))
-    chunked = rows.select(F.pmod(F.xxhash64("__id"), F.lit(chunks)).cast("int").alias("chunk"), "__id", "__text")
+    chunked = rows.filter(F.col("__id").isNotNull()).select(
+        F.pmod(F.xxhash64("__id", "__text"), F.lit(chunks)).cast("int").alias("chunk"), "__id", "__text")
     by_chunk = chunked.groupBy("chunk")
     grams = by_chunk.applyInArrow(_send_grams(buckets), ANCHOR_SCHEMA)
     repeated = grams.groupBy("bucket").applyInArrow(_find_repeated, REPLY_SCHEMA)
     runs = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(_send_runs(buckets), RUN_SCHEMA)
     replies = runs.groupBy("bucket").applyInArrow(_merge_runs, REPLY_SCHEMA)
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_judge(buckets), RESULT_SCHEMA)
+    judged = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_judge(buckets), RESULT_SCHEMA)
+    apart = rows.filter(F.col("__id").isNull()).select(
+        F.col("__id").alias("doc_id"), F.octet_length("__text").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.sha2("__text", 256).alias("kept_sha256"))
+    return judged.unionByName(apart)

@@ -130,3 +130,23 @@ def test_grams_of_a_document_with_equal_upper_bits_reach_their_own_buckets():
     met = pa.table({"bucket": pa.array([2, 2], pa.int32()), "chunk": pa.array([0, 1], pa.int32()), "n": pa.array([1, 1], pa.int32()),
                     "hashes": [upper[bucket == 2].tobytes(), same[other == 2].tobytes()]})
     assert S._find_repeated(met).num_rows == 2
+
+
+def test_rows_of_one_id_and_of_none_are_dealt_over_chunks(spark, monkeypatch):
+    rows = [(5, f"a text of its own, number {i}") for i in range(300)] + [(None, "the same text")] * 200 + [(None, None)]
+
+    def group_sizes(buckets):
+        def run(docs, replies):
+            n = docs.num_rows
+            return pa.table({"doc_id": pa.array([None] * n, pa.int64()), "n_bytes": pa.array([n] * n, pa.int64()),
+                             "spans": pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                             "kept_sha256": ["dealt"] * n})
+        return run
+
+    assert found(spark, rows[-3:]) == plain(rows[-3:])
+    monkeypatch.setattr(S, "LEAST_BYTES", 1000)
+    monkeypatch.setattr(S, "_judge", group_sizes)
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 501
+    dealt = [r.n_bytes for r in got if r.kept_sha256 == "dealt"]
+    assert len(dealt) == 300 and max(dealt) < 150
