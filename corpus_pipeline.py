@@ -38,14 +38,23 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Of rows that repeat an id one stays.  Null ids are in no group and stay.
+    A document is an id with its text: of rows that repeat both one stays, unlike texts
+    under one id are judged apart.  Null ids are in no group and stay.
     """
     ready(spark)
-    found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    ids = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.join(ids, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    names = docs.columns
+    own = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    units = docs.withColumn("__unit", F.when(F.col("doc_id").isNotNull(), own))
+    found = minhash.near_duplicates(units, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="__unit")
+    groups = found.select(F.col("doc_id").alias("__unit"), "component_id").distinct()
+    ids = units.select("doc_id", "__unit").distinct()
+    # the smallest id of a group, not the smallest hash
+    stay = (ids.join(groups, "__unit").groupBy("component_id").agg(F.min(F.struct("doc_id", "__unit")).alias("first"))
+            .select("first.__unit"))
+    # id and text tell rows apart whose hashes are equal
+    first = Window.partitionBy("__unit", "doc_id", "text").orderBy("__unit")
+    named = units.join(stay, "__unit", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    return named.select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

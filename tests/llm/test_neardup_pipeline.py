@@ -183,6 +183,16 @@ def test_pipeline_runs_whole_and_stages_take_odd_rows(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_near_duplicates_judge_texts_not_ids(spark):
+    copied, clean, other = (" ".join(f"{name}{m}" for m in range(60)) for name in ("copied", "clean", "other"))
+    rows = [(1, copied), (5, clean), (5, copied + " more"), (5, clean), (7, ""), (7, other), (8, other + " more"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == \
+        sorted([(1, copied), (5, clean), (7, ""), (7, other), (9, None), (9, "")], key=str)
+
+
 # ------------------------------------------------------------------- SQL
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
