@@ -46,11 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = F.xxhash64("doc_id", F.col("text").isNull(), "text")
     units = docs.withColumn("__unit", F.when(F.col("doc_id").isNotNull(), own))
     found = minhash.near_duplicates(units, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="__unit")
-    groups = found.select(F.col("doc_id").alias("__unit"), "component_id").distinct()
+    # small tables are written, which cuts the plan that the driver holds
+    groups = found.select(F.col("doc_id").alias("__unit"), "component_id").distinct().checkpoint()
     ids = units.select("doc_id", "__unit").distinct()
     # the smallest id of a group, not the smallest hash
     stay = (ids.join(groups, "__unit").groupBy("component_id").agg(F.min(F.struct("doc_id", "__unit")).alias("first"))
-            .select("first.__unit"))
+            .select("first.__unit").checkpoint())
     # id and text tell rows apart whose hashes are equal
     first = Window.partitionBy("__unit", "doc_id", "text").orderBy("__unit")
     named = units.join(stay, "__unit", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
