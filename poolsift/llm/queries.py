@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, minhash, mixing, packing, quality, sharding, suffixes, topk, url_rules
+from ..session import shared_path
+from . import (language, line_dedup, minhash, mixing, negatives, packing, quality, repair, sharding, suffixes, topk, url_rules,
+               whitening)
 from .common import table
 
 QUERIES: dict = {}
@@ -150,3 +152,31 @@ def q_suffix_dedup(spark, d):
     found = suffixes.repeated_spans(table(spark, d, "documents"))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
     return found.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@register("op11_hard_negatives", """WITH v AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * c::DOUBLE) FOR c IN embedding] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+s AS (SELECT a.rn AS a, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.rn <> c.rn AND len(a.x) = len(c.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score) WHERE rank <= 10""")
+def q_hard_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, d, "embeddings"), F.col("__id") % 100 == 0, label_col=label)
+
+
+@register("op12_whitening")
+def q_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@register("op13_repair")
+def q_repair(spark, d):
+    path = shared_path(spark, "repair")
+    repair.write_shards(table(spark, d, "documents"), path)
+    return repair.read_documents(spark, path)
