@@ -1,12 +1,42 @@
-"""Connected components of a distributed edge list by alternating star contraction."""
+"""Connected components of a distributed edge list: contraction inside tasks, alternating stars between them."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 EDGES_A_TASK = 200_000
+HELD_NODES = 1_000_000       # of one task's forest; beyond, it is passed on and a new one begun
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: each task links the nodes of its edges to the smallest in reach."""
+    def run(batches):
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def forest():
+            pairs = [(x, root(x)) for x in list(up) if up[x] != x]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                x, y = root(u), root(v)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > HELD_NODES:
+                yield forest()
+        yield forest()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
 def _to_smallest(edges: DataFrame, larger_only: bool, tasks: int) -> DataFrame:
@@ -34,20 +64,30 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``u``, ``v``); the component is its smallest node.
 
     Loops and nulls in edges are ignored, repeated edges count once; a node that
-    only has a loop gets no row.  Raises if the rounds do not suffice (they grow
-    with the logarithm of the longest path).
+    only has a loop gets no row.  Every round first contracts the edges inside the
+    tasks that hold them.  When one task holds all that is left, that is the result;
+    until then star steps follow.  Raises if the rounds do not suffice (they grow with
+    the logarithm of the longest path).
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().checkpoint()
-    # a small graph is worked on by few tasks, however many partitions the session shuffles into
-    tasks = max(1, -(-edges.count() // EDGES_A_TASK))
-    edges = edges.coalesce(tasks)
-    before = None
+    edges = _contracted(edges.filter("u <> v")).checkpoint()
     for _ in range(most_rounds):
-        edges = _to_smallest(_to_smallest(edges, True, tasks), False, tasks).coalesce(tasks).checkpoint()
+        # a small graph is worked on by few tasks, however many partitions the session shuffles into
+        tasks = max(1, -(-edges.count() // EDGES_A_TASK))
+        edges = _contracted(edges.coalesce(tasks))
+        if tasks == 1:
+            found = edges.checkpoint()
+            break
+        edges = edges.checkpoint()
         # equal counts and sums of two hashes: the edge list no longer changes
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if now == before:
-            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
-        before = now
-    raise RuntimeError("components: the graph did not settle")
+        before = _print_of(edges)
+        found = edges = _to_smallest(_to_smallest(edges, True, tasks), False, tasks).coalesce(tasks).checkpoint()
+        if _print_of(edges) == before:
+            break
+    else:
+        raise RuntimeError("components: the graph did not settle")
+    nodes = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _print_of(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first()

@@ -1,22 +1,24 @@
 """Near-duplicate components by fast similarity sketching, banding and exact verification.
 
 Sketch: rounds of hashed bin placement fill every coordinate (``shingles.sketches``).
-Bands of ``BAND_ROWS`` coordinates make buckets; each bucket ties its members to its
-smallest member, which gives families: no pair with a common band lies in two
-families.  Inside a family the sketches pick the pairs worth a look and full
-shingle sets decide.  Pairs are never written out: a family yields a spanning
-forest of its links.  Families above ``FAMILY_BLOCK`` members are dealt out as pairs
-of blocks, so no task ever holds more than two blocks.
+Texts with equal shingle sets are one class.  Bands of ``BAND_ROWS`` coordinates make
+buckets of classes; inside a bucket, classes whose sketches agree in a share of
+``PICK`` or more are tied, which gives families: no pair worth a look lies in two
+families, and texts that only share boilerplate make none.  Inside a family full shingle
+sets decide.  Pairs are never written out: buckets and families yield spanning
+forests.  Buckets and families above a block's size are dealt out as pairs of blocks,
+so no task ever holds more than two blocks.
 
 Chance of missing one pair of similarity 0.8: (1 - 0.8^5)^40 = 1e-7 for the bands,
 5e-6 for the pick by sketch (Chernoff bound at 0.65); both fall fast above 0.8.
+Classes and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, ready, shuffle_parts, slices, utf8
@@ -25,14 +27,19 @@ from .shingles import band_keys, digests, shingle_sets, sketches
 
 BAND_ROWS = 5
 PICK = 0.65            # share of equal coordinates from which a pair is verified
+BUCKET_BLOCK = 2048
 FAMILY_BLOCK = 512
-FEW = 8                # up to so many texts all pairs are verified
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.isNull(), text)
 
 
 def shingle_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands`` per input row; digest and bands are null for an empty set."""
+    """``doc_id, text_hash, n_shingles, digest, bands, sketch`` per input row; the last three are null for an empty set."""
     ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_hash(text).alias("__hash"), F.coalesce(text, F.lit("")).alias("__text"))
 
     def run(batches):
         for b in batches:
@@ -40,23 +47,77 @@ def shingle_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> Da
                 g, bounds = shingle_sets(*utf8(part.column("__text")), width)
                 size = np.diff(bounds)
                 empty = size == 0
-                keys = band_keys(sketches(g, bounds), BAND_ROWS)
+                sketch = sketches(g, bounds)
+                keys = band_keys(sketch, BAND_ROWS)
+                short = (sketch & np.uint64(0xFFFF)).astype(np.uint16)
                 offsets = np.arange(len(size) + 1, dtype=np.int32) * keys.shape[1]
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__id"), pa.array(size.astype(np.int64)),
-                     pa.array([None if e else d for d, e in zip(digests(g, bounds), empty)], pa.binary()), bands],
-                    names=["doc_id", "n_shingles", "digest", "bands"])
+                    [part.column("__id"), part.column("__hash"), pa.array(size.astype(np.int64)),
+                     pa.array([None if e else d for d, e in zip(digests(g, bounds), empty)], pa.binary()), bands,
+                     pa.array([None if e else s.tobytes() for s, e in zip(short, empty)], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
+
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary")
+
+
+def _dealt(rows: DataFrame, member: str, block_rows: int) -> DataFrame:
+    """Adds ``i, j, side``: a group of n members (``n`` on every row) goes to all pairs of its blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    placed = rows.withColumn("mine", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"),
+                               "side": F.when(F.col("mine") == F.greatest("mine", "other"), 1).otherwise(0)}).drop("mine", "other", "n")
+
+
+def tied(nodes: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> list:
+    """A spanning forest, as pairs of nodes, of the sketches that agree in a share of ``PICK``.
+
+    ``side``: as in ``links_among``.  Every member is compared with those not yet reached, so
+    a bucket of near copies takes little more than one pass.
+    """
+    two = len(np.unique(side)) > 1
+    left, out = np.arange(len(nodes)), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            may = left[side[left] != side[x]] if two else left
+            hit = may[(sketch[may] == sketch[x]).mean(1) >= PICK] if len(may) else may
+            if len(hit):
+                out += [(int(nodes[x]), v) for v in nodes[hit].tolist()]
+                left = np.setdiff1d(left, hit, assume_unique=True)
+                queue += hit.tolist()
+    return out
+
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+def _families(classes: DataFrame, parts: int) -> DataFrame:
+    """``node, component``: classes tied in some bucket."""
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    # a written table, so that the join below can split a large bucket over tasks
+    busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+    met = _dealt(rows.join(busy, "key"), "node", BUCKET_BLOCK).join(classes.select("node", "sketch"), "node")
 
+    def run(batches):
+        key, held = None, []
+
+        def out():
+            found = tied(np.array([h[0] for h in held], np.int64),
+                         np.frombuffer(b"".join(h[1] for h in held), np.uint16).reshape(len(held), -1), np.array([h[2] for h in held]))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for k, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "node", "sketch", "side"))):
+                if (k, i, j) != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = (k, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield out()
 
-def _families(sets: DataFrame) -> DataFrame:
-    """``node, component``: representatives that are tied through common bands."""
-    rows = sets.select("doc_id", F.explode("bands").alias("key"))
-    hubs = (rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"))
-            .filter("hub < top").select("key", "hub").checkpoint())
-    return components(rows.join(hubs, "key").filter("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
+    ties = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "u long, v long")
+    return components(ties)
 
 
 class _Forest:
@@ -77,8 +138,7 @@ def links_among(ids: np.ndarray, g: np.ndarray, bounds: np.ndarray, side: np.nda
     to another call if both sides are present.
     """
     n = len(ids)
-    few = n <= FEW
-    sketch = None if few else (sketches(g, bounds) & np.uint64(0xFFFF)).astype(np.uint16)
+    sketch = (sketches(g, bounds) & np.uint64(0xFFFF)).astype(np.uint16)
     size = np.diff(bounds)
     forest, out = _Forest(n), []
     two = len(np.unique(side)) > 1
@@ -92,7 +152,7 @@ def links_among(ids: np.ndarray, g: np.ndarray, bounds: np.ndarray, side: np.nda
         who = np.nonzero(might & (size[:x] > 0))[0]
         if not len(who):
             continue
-        alike = np.ones(len(who)) if few else (sketch[who] == sketch[x]).mean(1)
+        alike = (sketch[who] == sketch[x]).mean(1)
         picked = who[alike >= PICK]
         mine = g[bounds[x]:bounds[x + 1]]
         for y in picked[np.argsort(-alike[alike >= PICK], kind="stable")].tolist():
@@ -144,6 +204,48 @@ def _family_links(rows: DataFrame, width: int, percent: int, parts: int) -> Data
             .mapInArrow(run, "u long, v long"))
 
 
+def row_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+               one_per_id: bool = True) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, first`` per input row.
+
+    ``first`` is the smallest (doc_id, text_hash) that the row's text reaches over links, itself
+    included; null for a null id and for a text without words.  With ``one_per_id``
+    the texts of one id are tied to each other, otherwise each is judged on its own.
+    """
+    spark = ready(docs.sparkSession)
+    parts = shuffle_parts(spark)
+    sets = shingle_table(docs, width, id_col, text_col).checkpoint()
+    node = F.xxhash64("digest").alias("node")
+    named = sets.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"),
+                                          F.first("sketch").alias("sketch")).withColumn("node", node).checkpoint()
+    families = _families(classes, parts).checkpoint()
+
+    # one text of each class; a family's size decides into how many blocks its members are dealt
+    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    members = (families.join(sizes, "component").join(classes.select("node", "first"), "node").select(
+        F.col("component").alias("family"), "n", F.col("node").alias("__id"), F.col("first.doc_id").alias("__doc"),
+        F.col("first.text_hash").alias("__hash")).checkpoint())
+    # (written, so that the join below can split a row that is repeated very often)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), text_hash(text).alias("__hash"), text.alias("__text")) \
+        .filter(F.col("__text").isNotNull())
+    one = texts.join(members, ["__doc", "__hash"]).groupBy("family", "n", "__id").agg(F.first("__text").alias("__text"))
+    found = _family_links(_dealt(one, "__id", FAMILY_BLOCK), width, percent, parts)
+    if one_per_id:
+        # an id with several texts ties their classes
+        several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id", "a")
+        found = found.unionByName(named.join(several, "doc_id").select(node.alias("u"), F.xxhash64("a").alias("v")))
+    joined = components(found).checkpoint()
+    # classes in reach of others get the smallest first of their component
+    linked = joined.join(classes.select("node", "first"), "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    reach = linked.join(least, "component").select("node", "least")
+    labels = classes.select("digest", "node", "first").join(reach, "node", "left").select("digest", F.coalesce("least", "first").alias("first"))
+    return sets.select("doc_id", "text_hash", "n_shingles", "digest").join(labels, "digest", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per input row.
 
@@ -153,38 +255,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     have no shingles and are linked with nothing.  Rows that share an id are one
     document: they are linked with each other and with whatever either links to,
     except that empty rows add nothing.  A null id has no component and is kept.
+    An empty table gives no rows; other columns are not read.
     """
-    spark = ready(docs.sparkSession)
-    parts = shuffle_parts(spark)
-    sets = shingle_table(docs, width, id_col, text_col).checkpoint()
-    named = sets.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep")).checkpoint()
-    reps = named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    families = _families(reps.select("doc_id", "bands")).checkpoint()
-
-    # a family's size decides into how many blocks its members are dealt
-    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY_BLOCK)).cast("int").alias("blocks")).checkpoint()
-    # (written, so that the join below can split a large family over tasks)
-    members = families.join(sizes, "component").select(
-        F.col("component").alias("family"), F.col("node").alias("__id"), "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")) \
-        .filter(F.col("__text").isNotNull())
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = (texts.join(members, "__id").withColumn("other", F.explode(other))
-             .select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                     F.when(F.col("mine") == F.greatest("mine", "other"), 1).otherwise(0).alias("side"), "__id", "__text"))
-    found = _family_links(dealt, width, percent, parts)
-    # an id with several texts ties their classes
-    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
-    ties = named.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    joined = components(found.unionByName(ties)).checkpoint()
-    return _labelled(sets, classes, joined)
-
-
-def _labelled(sets: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    rep = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("__c"))
-    out = sets.join(rep, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
+    rows = row_groups(docs, width, percent, id_col, text_col)
+    out = rows.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
