@@ -104,7 +104,7 @@ def reference_directions(rows: DataFrame, scale: float) -> dict:
     return out
 
 
-def _references(of: dict, dim: int) -> np.ndarray:
+def references(of: dict, dim: int) -> np.ndarray:
     """Those of the sample, filled up with the axes (a length that the sample lacks has only these)."""
     refs = of.get(dim, np.zeros((0, dim)))
     more = np.zeros((REFERENCES - len(refs), dim))
@@ -143,13 +143,13 @@ def _pack(rows: DataFrame, of: dict, scale: float, parts: int, spread: int, most
             for dim in np.unique(dims).tolist():
                 at = np.nonzero(dims == dim)[0]
                 x = whole(np.array([vecs[i] for i in at], float).reshape(len(at), dim), scale)
-                cell[at] = angles_to(x, np.linalg.norm(x, axis=1), _references(of, dim)).argmin(1)
+                cell[at] = angles_to(x, np.linalg.norm(x, axis=1), references(of, dim)).argmin(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims), pa.array(cell)], names=[*b.schema.names, "dim", "cell"])
 
     def emit(pack, dim, cell, held):
         x = whole(np.array([r[3] for r in held], float).reshape(len(held), dim), scale)
         norm = np.linalg.norm(x, axis=1)
-        angle = angles_to(x, norm, _references(of, dim))
+        angle = angles_to(x, norm, references(of, dim))
         ids = np.array([0 if r[1] is None else r[1] for r in held], np.int64)
         no_id = np.array([r[1] is None for r in held], np.int64)
         wanted = np.array([r[4] for r in held], np.int64).reshape(len(held), -1) if extra else np.zeros((len(held), 0), np.int64)

@@ -73,14 +73,12 @@ def q_quality_rules(spark, d):
 
 
 @register("op3_exact_topk", """WITH v AS (
-  SELECT vec_id, min(list_transform_floor) AS x FROM (
-    SELECT vec_id, [floor(256 * c::DOUBLE) FOR c IN embedding] AS list_transform_floor, embedding FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0) GROUP BY vec_id)
+  SELECT row_number() OVER () AS rn, vec_id, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id) AS rank
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+    row_number() OVER (PARTITION BY q.rn ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id NULLS LAST) AS rank
+  FROM v q JOIN v c ON q.rn <> c.rn AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def q_exact_topk(spark, d):
     return topk.search(table(spark, d, "embeddings"), F.col("__id") % 50 == 0, k=5)
 

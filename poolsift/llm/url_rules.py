@@ -38,6 +38,9 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+COPY_BLOCK = 4096
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, RULE_SCHEMA)
 
@@ -87,6 +90,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     return (rows.withColumn("r_key", F.substring("digest", 1, PREFIX_HEX)).join(known, "r_key", "left")
             .groupBy("page_id", "host", "path")
             .agg(F.max(rank).alias("best"), F.count_if(F.col("digest") == "").alias("copies"))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            # equal rows come back in blocks: no array holds more than a block's worth, however often a row occurs
+            .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPY_BLOCK}"))))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"least({COPY_BLOCK}, copies - {COPY_BLOCK} * __block)"))))
             .select("page_id", "host", "path", F.col("best.rule").alias("rule"),
                     F.coalesce("best.verdict", F.lit(default)).alias("verdict")))

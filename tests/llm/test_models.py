@@ -192,19 +192,19 @@ def test_ids_equal_the_tokenizer(text):
 
 def plain_topk(rows, k, queries):
     import math
-    own = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        if i not in own or v < own[i]:
-            own[i] = v
-    x = {i: [math.floor(256 * float(a)) for a in v] for i, v in own.items()}
+    x = [(i, [math.floor(256 * float(a)) for a in v]) for i, v in rows
+         if v is not None and all(a is not None and math.isfinite(a) for a in v)]
     out = []
-    for q in x:
-        if queries(q):
-            best = sorted((-sum(a * b for a, b in zip(x[q], x[c])), c) for c in x if c != q and len(x[c]) == len(x[q]))[:k]
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
-    return sorted(out)
+    for at, (q, v) in enumerate(x):
+        if q is not None and queries(q):
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), c is None, c or 0) for other, (c, w) in enumerate(x)
+                           if other != at and len(w) == len(v)))[:k]
+            out += [(q, r + 1, None if null else c, -s) for r, (s, null, c) in enumerate(best)]
+    return out
+
+
+def by_rank(rows):
+    return sorted(rows, key=lambda x: (x[0], x[1], -x[3], x[2] is None, x[2] or 0))
 
 
 def test_topk_equals_brute_force(spark, monkeypatch):
@@ -217,9 +217,11 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] + [0.0] * 7),
              (None, hot), (2005, [0.5, 0.25]), (2010, [0.5, -0.25]), (2015, []), (2020, []), (7, [9.0] * 8), (2025, [1e12, -1e12] + [1.0] * 6), (2030, [3e9] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = sorted(tuple(r) for r in topk.search(df, F.col("__id") % 5 == 0, 5).collect())
+    rows += [(5, hot), (5, hot), (5, rows[7][1]), (None, hot)]           # repeated and null ids are rows of their own
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = by_rank(tuple(r) for r in topk.search(df, F.col("__id") % 5 == 0, 5).collect())
     low, high = -(1 << 63), (1 << 63) - 1
-    want = [(q, r, c, min(max(s, low), high)) for q, r, c, s in plain_topk(rows, 5, lambda i: i % 5 == 0)]
+    want = by_rank((q, r, c, min(max(s, low), high)) for q, r, c, s in plain_topk(rows, 5, lambda i: i % 5 == 0))
     assert [x for x in got if x[0] < 2025] == [x for x in want if x[0] < 2025]
     assert [(x[0], x[1], x[3]) for x in got] == [(x[0], x[1], x[3]) for x in want]
 
@@ -228,12 +230,28 @@ def test_topk_empty_and_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, F.col("__id") % 50 == 0, 5).collect()] == [(0, 1, 1, 3 * 65536)]
     assert topk.search(df.limit(0), F.col("__id") % 50 == 0, 5).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [r.score for r in topk.search(twice, F.col("__id") % 50 == 0, 5).orderBy("rank").collect()] == [196608, 131072, 65536]
+
+
+def test_blocks_skip_shards_of_far_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in 3.0 * np.eye(8)[i % 8] + rng.normal(0, 0.02, 8)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+    plain = topk.visits
+    monkeypatch.setattr(topk, "visits", lambda r, b: met.append((r.count(), b.count(), plain(r, b).count())) or plain(r, b))
+    got = by_rank(tuple(r) for r in topk.search(df, F.col("__id") % 10 == 0, 5).collect())
+    assert got == by_rank(plain_topk(rows, 5, lambda i: i % 10 == 0))
+    (shards, blocks, pairs), = met
+    assert pairs < shards * blocks / 3
 
 
 def test_ball_tree_bounds_hold():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(0, 0.2, (700, 16)))
-    tree = topk.BallTree(np.arange(700), x)
+    tree = topk.BallTree(np.arange(700), x, np.arange(700))
     q = np.floor(256 * rng.normal(0, 0.2, (50, 16)))
     for c, r, _, rows, _ in tree.nodes:
         if rows is not None:
