@@ -69,7 +69,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     until then star steps follow.  Raises if the rounds do not suffice (they grow with
     the logarithm of the longest path).
     """
-    edges = _contracted(edges.filter("u <> v")).checkpoint()
+    # (written first: a task that made the edges in Python and contracted them too would take two workers)
+    edges = edges.filter("u <> v").select("u", "v").checkpoint()
     for _ in range(most_rounds):
         # a small graph is worked on by few tasks, however many partitions the session shuffles into
         tasks = max(1, -(-edges.count() // EDGES_A_TASK))

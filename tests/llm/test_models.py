@@ -60,8 +60,78 @@ def test_codewords_correct_errors(n):
     assert ((code.sum(0) > 0) & (code.sum(0) < n)).all()
 
 
+def plain_ngrams(text):
+    """Hashed one- to three-letter n-grams, letter by letter; text ends and other characters count as 0."""
+    p = [0, *(ord(c) if c.isalpha() else 0 for c in (text or "").lower()), 0]
+    full, shift = (1 << 32) - 1, 32 - (language.FEATURES.bit_length() - 1)
+    out = defaultdict(int)
+    for a, b, c in zip(p, p[1:], p[2:]):
+        if b:
+            out[(b * 2654435761 & full) >> shift] += 1
+            out[((((a * 2246822519 + b) & full) * 3266489917 + 1) & full) >> shift] += 1
+            out[((((((a * 668265263 + b) & full) * 374761393 + c) & full) * 2654435761 + 2) & full) >> shift] += 1
+    return out
+
+
+def test_language_equals_a_plain_training_and_decoding(spark):
+    import math
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            for f, n in plain_ngrams(text).items():
+                counts.setdefault(lang, defaultdict(int))[f] += n
+    langs = sorted(counts)
+    # every way to split the languages into two sides, the first one always on side 0... of a binary number
+    code = [[(m >> i) & 1 for m in range(1, 1 << (len(langs) - 1))] for i in range(len(langs))]
+    bits = range(len(code[0]))
+    share = [[(counts[x].get(f, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * language.FEATURES) for f in range(language.FEATURES)] for x in langs]
+    side = [[[i for i in range(len(langs)) if code[i][b] == v] for v in (0, 1)] for b in bits]
+    odds = [[math.log(sum(share[i][f] for i in side[b][1]) / len(side[b][1])) - math.log(sum(share[i][f] for i in side[b][0]) / len(side[b][0]))
+             for f in range(language.FEATURES)] for b in bits]
+    weight = [[max((1 if code[i][b] else -1) * sum(x * y for x, y in zip(share[i], odds[b])), 1e-6) for b in bits] for i in range(len(langs))]
+    weight = [[w / sum(ws) for w in ws] for ws in weight]
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for i, text, _ in rows:
+        seen = plain_ngrams(text)
+        if not seen:
+            assert got[i].lang_pred == "und"
+            continue
+        margin = [language.SHARPNESS * sum(n * odds[b][f] for f, n in seen.items()) / sum(seen.values()) for b in bits]
+        loss = [sum(weight[x][b] * (math.log1p(math.exp(-abs(m))) + max(m, 0.0)) for b in bits
+                    for m in [-(1 if code[x][b] else -1) * margin[b]]) for x in range(len(langs))]
+        like = [math.exp(min(loss) - v) for v in loss]
+        assert got[i].lang_pred == langs[loss.index(min(loss))] and abs(got[i].score - max(like) / sum(like)) < 1e-6
+
+
 # ---------------------------------------------------------------- mixing
 
+def test_registered_targets_with_the_floor_reach_the_least_loss(spark):
+    """The floor of clean documents bounds what any rates reach; the steps come as near as a plain projection."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    found = mixing.document_rates(docs, labels).collect()
+    p, t = np.array([r["__p"] for r in found]), np.array([r["__tokens"] for r in found], float)
+    floor = (p[:, 0] >= p.max(1)).astype(float)
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * (t @ p)
+
+    def loss(w):
+        return float((((t * w) @ p - want) ** 2).sum())
+
+    got = np.array([r["__rate"] for r in found])
+    assert (got >= floor - 1e-12).all()
+    v, h = np.ones(len(t)), np.linalg.eigvalsh((p * t[:, None]).T @ p).max()
+    for _ in range(20_000):
+        v = np.maximum(floor, v - p @ ((t * v) @ p - want) / h)
+    near = (mixing.TOLERANCE * t.sum()) ** 2
+    assert loss(got) <= 1.05 * loss(v) + near
+    # what stays open: toxic tokens inside documents that must stay, at most a tenth of what the corpus holds
+    reached = (t * got) @ p / (t @ p)
+    assert abs(reached[0] - 1.25) < 0.03 and abs(reached[1] - 0.5) < 0.05 and reached[2] < 0.1
+    copies = np.array([r["__copies"] for r in found])
+    assert (np.abs(copies - got) < 1).all()
+
+
 def test_rates_reach_targets_and_equal_a_plain_projection(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
