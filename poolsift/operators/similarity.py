@@ -163,6 +163,14 @@ def _global_topk(cands: DataFrame, k: int, fan_in: int, n_parts: int) -> DataFra
     return cands.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
+def _released(found: DataFrame, *sent) -> DataFrame:
+    """The answer of one chunk of queries, written before the next chunk is fetched; what was broadcast for it goes."""
+    found = cut_lineage(found)
+    for bc in sent:
+        bc.unpersist()
+    return found
+
+
 def knn_join(queries: DataFrame, pool: DataFrame, k: int = 50, metric: str = "cosine",
              id_col: str = "uid", vec_col: str = "embedding", max_search_size: int | None = None,
              seed=42, max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, fan_in: int = 64) -> DataFrame:
@@ -190,8 +198,8 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = 50, metric: str = "co
                 qdf.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)) == c)
             for qids, Q in _within(*_query_block(chunk, id_col, vec_col, metric), per_query, max_broadcast_bytes):
                 bc = spark.sparkContext.broadcast((qids, Q))
-                cands = pool_sel.mapInArrow(_local_topk(bc, k, metric), CANDIDATE_SCHEMA)
-                results.append(_global_topk(cands, k, fan_in, n_parts))
+                found = _global_topk(pool_sel.mapInArrow(_local_topk(bc, k, metric), CANDIDATE_SCHEMA), k, fan_in, n_parts)
+                results.append(_released(found, bc) if n_chunks > 1 else found)
     finally:
         qdf.unpersist()
     out = results[0]
@@ -312,8 +320,8 @@ def ivf_knn(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int =
                 bc, pb = sc.broadcast((qids, Q)), sc.broadcast(probes)
                 wanted = sorted({int(x) for x in near.ravel()})
                 pool_sel = cells.filter(F.col("cell").isin(wanted)).select("uid", "vec", "cell")
-                cands = pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA)
-                results.append(_global_topk(cands, k, 64, sc.defaultParallelism))
+                found = _global_topk(pool_sel.mapInArrow(_local_topk(bc, k, metric, probe=pb), CANDIDATE_SCHEMA), k, 64, sc.defaultParallelism)
+                results.append(_released(found, bc, pb) if n_chunks > 1 else found)
     finally:
         qdf.unpersist()
     out = results[0]

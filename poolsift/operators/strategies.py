@@ -34,9 +34,9 @@ def entropy_query(scored: DataFrame, q: int, uid: str = "uid", logits: str = "lo
 
 
 def kmeans_query(scored: DataFrame, q: int, seed: int = 42, uid: str = "uid",
-                 vec: str = "embedding") -> DataFrame:
+                 vec: str = "embedding", max_iter: int = 20) -> DataFrame:
     """Row nearest each of q k-means centres."""
-    rows = kmeans_rows(scored, q, seed=seed, uid=uid, vec=vec)
+    rows = kmeans_rows(scored, q, seed=seed, uid=uid, vec=vec, max_iter=max_iter)
     return scored.join(rows.select(uid), on=uid, how="left_semi")
 
 
@@ -69,14 +69,14 @@ def badge_gradient_norm(scored: DataFrame, logits: str = "logits", vec: str = "e
 def badge_query(scored: DataFrame, q: int, seed=42, uid: str = "uid", logits: str = "logits",
                 vec: str = "embedding") -> DataFrame:
     f = badge_factors(scored, logits, vec).select(uid, "g", "h")
-    picks = kmeanspp_pick(f, q, seed=seed, uid=uid, vec_cols=["g", "h"], sqdist=badge_sqdist)
+    picks = kmeanspp_pick(f, q, seed=seed, uid=uid, vec_cols=["g", "h"], metric="outer")
     return scored.join(picks.select(uid), on=uid, how="left_semi")
 
 
 def tyrogue_query(scored: DataFrame, q: int, r_factor: int = 3, seed: int = 42, uid: str = "uid",
-                  logits: str = "logits", vec: str = "embedding") -> DataFrame:
+                  logits: str = "logits", vec: str = "embedding", max_iter: int = 20) -> DataFrame:
     """Diversity pick of r*q rows by k-means, then the q most uncertain of them."""
-    diverse = kmeans_query(scored, r_factor * q, seed=seed, uid=uid, vec=vec)
+    diverse = kmeans_query(scored, r_factor * q, seed=seed, uid=uid, vec=vec, max_iter=max_iter)
     return entropy_query(diverse, q, uid=uid, logits=logits)
 
 

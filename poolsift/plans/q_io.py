@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import strategies as ST
 from ..operators.anchors import anchors_random
-from ..operators.rounds import active_rounds, hash_embed
-from ..operators.similarity import build_ivf, ivf_knn, load_ivf, write_ivf
+from ..operators.cell_index import CellIndex
+from ..operators.rounds import hash_embed, round_log, run_rounds
+from ..operators.scorers import mean_scorer
+from ..operators.similarity import build_ivf, ivf_knn, knn_join, load_ivf, recall_at_k, write_ivf
 from ..session import shared_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -158,6 +160,12 @@ def q_flatten_nested(spark, d):
     return RD.parse_nested(ev, "props", "k int", keep=["event_id"])
 
 
+@register("flatten_variant", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events""")
+def q_flatten_variant(spark, d):
+    """The dotted columns of a JSON column, found from its rows."""
+    return RD.flatten_variant(T.read(spark, d, "events"), "props", keep=["event_id"], prefix="props.")
+
+
 @register("logits_wide", f"""SELECT {", ".join(f"round(logits[{i + 1}], 6) AS logit_{i}" for i in range(T.NUM_LOGITS))},
   uid, 0 AS round FROM (SELECT vec_id AS uid, {sql_logits("CAST(embedding AS DOUBLE[])")} AS logits FROM embeddings)""")
 def q_logits_wide(spark, d):
@@ -178,7 +186,7 @@ def q_labelled_snapshot(spark, d):
     the base table, overwritten as a snapshot and read back."""
     base = T.embeddings(spark, d)
     lab = T.labelled(spark, d)
-    picks = ST.entropy_query(T.with_logits(T.pool(spark, d, lab)), 25)
+    picks = ST.entropy_query(T.with_logits(spark, d, T.pool(spark, d, lab)), 25)
     log = lab.select("uid", F.lit(-1).alias("labelling_round")).unionByName(
         picks.select("uid", F.lit(0).alias("labelling_round")))
     path = SK.write_snapshot(base.select("uid", "label"), log, shared_path(spark, "snapshot"))
@@ -250,6 +258,58 @@ def q_ivf_knn(spark, d):
     return cands.select("search_query_uid", "uid", r6("dists").alias("dists"))
 
 
+SQL_ANCHOR_KNN = f"""WITH {SQL_LABELLED_CTES},
+anchors AS ({T.sql_top_n("labelled", "5", 43, by="label")}),
+pairs AS (SELECT a.uid AS search_query_uid, p.uid AS uid, {T.sql_cos_dist("a.embedding", "p.embedding")} AS dists
+          FROM anchors a CROSS JOIN pool p)
+SELECT search_query_uid, uid, round(dists, 6) AS dists FROM (SELECT *, row_number() OVER (
+  PARTITION BY search_query_uid ORDER BY dists, uid) AS rn FROM pairs) WHERE rn <= 20"""
+
+
+def _anchors_and_labelled(spark, d):
+    lab = T.labelled(spark, d)
+    return anchors_random(lab, 5, seed=43), lab
+
+
+@register("ivf_filtered", SQL_ANCHOR_KNN)
+def q_ivf_filtered(spark, d):
+    """Cells of all rows, labelled rows masked; every anchor probes cells in bound order until its 20
+    nearest allowed rows are certain."""
+    anchors, lab = _anchors_and_labelled(spark, d)
+    index = CellIndex.create(T.embeddings(spark, d), shared_path(spark, "cells"), n_cells=16)
+    found = index.search(anchors, 20, mask=lab)
+    return found.select("search_query_uid", "uid", r6("dists").alias("dists"))
+
+
+@register("ivf_recall", f"""WITH {SQL_LABELLED_CTES},
+n AS (SELECT least(20, (SELECT count(*) FROM pool)) AS k, (SELECT count(*) FROM ({T.sql_top_n("labelled", "5", 43, by="label")})) AS q)
+SELECT q AS n_queries, CAST(q * k AS BIGINT) AS n_rows, TRUE AS recall_reached FROM n""")
+def q_ivf_recall(spark, d):
+    """Approximate search with as many probes as a sample of rows needs for a recall of 0.9: rows found, and
+    whether their share of the exact neighbours of all anchors is 0.9 or more."""
+    anchors, lab = _anchors_and_labelled(spark, d)
+    index = CellIndex.create(T.embeddings(spark, d), shared_path(spark, "cells"), n_cells=16)
+    found = index.search(anchors, 20, mask=lab, n_probe=index.probes_for(0.93, 20))
+    recall = recall_at_k(found, knn_join(anchors, T.pool(spark, d, lab), 20))
+    size = found.agg(F.count_distinct("search_query_uid").alias("n_queries"), F.count(F.lit(1)).alias("n_rows"))
+    # one row on either side
+    both = size.withColumn("one", F.lit(1)).join(recall.withColumn("one", F.lit(1)), "one")
+    return both.select("n_queries", "n_rows", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@register("ivf_upkeep", SQL_ANCHOR_KNN)
+def q_ivf_upkeep(spark, d):
+    """Cells of the first classes, the other classes appended, large cells split, labelled rows deleted: the
+    anchors' nearest rows are those of the pool."""
+    anchors, lab = _anchors_and_labelled(spark, d)
+    rows = T.embeddings(spark, d)
+    index = CellIndex.create(rows.filter("label < 5"), shared_path(spark, "cells"), n_cells=8)
+    index = index.append(rows.filter("label >= 5"))
+    mean = sum(r["n"] for r in index.cells.values()) // max(1, len(index.cells))
+    found = index.split(mean).delete(lab).search(anchors, 20)
+    return found.select("search_query_uid", "uid", r6("dists").alias("dists"))
+
+
 @register("hash_embed", """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text),
     '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents),
 b AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM w GROUP BY ALL),
@@ -264,12 +324,56 @@ def q_hash_embed(spark, d):
     return vectors.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@register("active_rounds")
+ROUND_BATCH = 50
+ROUND_BUDGET = 400
+ROUND_CONFIG = dict(subpool_size=120, num_neighbours=20, num_anchors=5, anchor_strategy_minority="random",
+                    anchor_strategy_majority="random", minority_classes=list(T.MINORITY), seed=42)
+
+
+def _sql_rounds() -> str:
+    """CTE chain of the loop: per round the model of the labelled rows, anchors, neighbours, subpool and batch."""
+    c = ROUND_CONFIG
+    ctes = ["l0 AS MATERIALIZED (SELECT uid, label, embedding, -1 AS labelling_round FROM labelled)"]
+    for r in range(-(-(ROUND_BUDGET - T.TOTAL_BUDGET) // ROUND_BATCH)):
+        lab = f"l{r}"
+        ctes += [
+            f"q{r} AS MATERIALIZED (SELECT * FROM emb WHERE uid NOT IN (SELECT uid FROM {lab}))",
+            f"an{r} AS ({T.sql_top_n(lab, str(c['num_anchors']), c['seed'], by='label')})",
+            f"pa{r} AS (SELECT a.uid AS a, p.uid, {T.sql_cos_dist('a.embedding', 'p.embedding')} AS dists FROM an{r} a CROSS JOIN q{r} p)",
+            f"ca{r} AS (SELECT uid, dists FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dists, uid) AS rn FROM pa{r}) "
+            f"WHERE rn <= {c['num_neighbours']})",
+            f"su{r} AS MATERIALIZED (SELECT uid FROM ca{r} GROUP BY uid ORDER BY 1.0 - avg(dists) DESC, uid LIMIT {c['subpool_size']})",
+            f"sc{r} AS MATERIALIZED (SELECT uid, label, embedding, {sql_logits('embedding', lab)} AS logits FROM q{r} WHERE uid IN (SELECT uid FROM su{r}))",
+            f"l{r + 1} AS MATERIALIZED (SELECT * FROM {lab} UNION ALL (SELECT uid, label, embedding, {r} FROM sc{r} "
+            f"ORDER BY {sql_entropy()} DESC, uid LIMIT {ROUND_BATCH}))"]
+    return ",\n".join(ctes) + f",\nlog AS MATERIALIZED (SELECT * FROM l{r + 1})"
+
+
+def _rounds(spark, d):
+    base = T.embeddings(spark, d)
+    return run_rounds(base, T.labelled(spark, d), "anchored_entropy", ROUND_BUDGET, ROUND_BATCH, shared_path(spark, "rounds"),
+                      ST.TwoStageConfig(**ROUND_CONFIG), mean_scorer(T.NUM_CLASSES, T.LOGIT_SCALE))
+
+
+@register("active_rounds", f"""WITH {SQL_LABELLED_CTES},
+{_sql_rounds()}
+SELECT uid, CAST(labelling_round AS INTEGER) AS labelling_round FROM log""")
 def q_active_rounds(spark, d):
-    """Three rounds of anchored entropy selection with an MLlib logistic-regression
-    model refitted each round; returns the label log."""
-    cfg = ST.TwoStageConfig(subpool_size=120, num_neighbours=20, num_anchors=5,
-                            anchor_strategy_minority="random", anchor_strategy_majority="random",
-                            minority_classes=list(T.MINORITY), seed=42)
-    return active_rounds(T.embeddings(spark, d), T.labelled(spark, d), "anchored_entropy", rounds=3,
-                         batch=25, cfg=cfg)
+    """Rounds of anchored entropy selection up to a budget, the model refitted each round, every round
+    committed to the shared folder; the label log."""
+    return _rounds(spark, d).select("uid", "labelling_round")
+
+
+@register("active_rounds_log", f"""WITH {SQL_LABELLED_CTES},
+{_sql_rounds()},
+g AS (SELECT r.labelling_round, c.class_id FROM (SELECT DISTINCT labelling_round FROM log) r,
+  (SELECT CAST(range AS INTEGER) AS class_id FROM range({T.NUM_CLASSES})) c),
+n AS (SELECT labelling_round, label AS class_id, count(*) AS n FROM log GROUP BY ALL),
+f AS (SELECT labelling_round, class_id, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (labelling_round, class_id)),
+u AS (SELECT *, sum(n) OVER (PARTITION BY class_id ORDER BY labelling_round) AS up FROM f)
+SELECT CAST(labelling_round AS INTEGER) AS labelling_round, class_id, CAST(n AS BIGINT) AS count, CAST(up AS BIGINT) AS cumulative_count,
+  CAST(sum(up) OVER (PARTITION BY labelling_round) AS BIGINT) AS labelled_size,
+  CAST((SELECT count(*) FROM emb) - sum(up) OVER (PARTITION BY labelling_round) AS BIGINT) AS pool_size FROM u""")
+def q_active_rounds_log(spark, d):
+    """The loop's log: per round the labels of each class (zero for absent ones), labelled and pool size."""
+    return round_log(_rounds(spark, d), T.embeddings(spark, d).count(), T.NUM_CLASSES)

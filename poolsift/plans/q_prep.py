@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import labels as L
+from ..operators import preparation as PR
 from ..operators import relational as R
 from ..operators import report as RP
 from ..operators import sampling as S
+from ..session import shared_path
 from . import tables as T
 from .tables import SQL_CORPUS, SQL_LABELLED_CTES, sql_top_n
 
@@ -280,3 +282,65 @@ def q_unpivot_stats(spark, d):
     s = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"),
                                  F.count("labels").alias("n_labelled"))
     return RP.unpivot_long(s, ["lang"], ["n_docs", "n_chars", "n_labelled"])
+
+
+# ------------------------------------------- preparation by tables of rules --
+
+# the stand-in datasets' rule tables: (dataset, class, codes), later classes win
+SET_RULES = [("parts", name, codes) for name, codes in PART_RULES.items()] + [
+    ("documents", "english", ["en"]), ("documents", "french", ["fr"]), ("orders", "urgent", ["1-URGENT", "2-HIGH"])]
+SET_TARGETS = [("parts", PR.ALL), ("documents", "french"), ("orders", "urgent")]
+SET_RENAMES = [("parts", "p_partkey", "uid"), ("parts", "p_name", "text"), ("documents", "doc_id", "uid"), ("documents", "lang", "codes"),
+               ("orders", "o_orderkey", "uid"), ("orders", "o_orderstatus", "text"), ("orders", "o_orderpriority", "codes")]
+
+
+def _prepared(spark, d):
+    rules = spark.createDataFrame([(s, c, i, x) for i, (s, c, codes) in enumerate(SET_RULES) for x in codes],
+                                  "dataset string, class_name string, priority int, code string")
+    targets = spark.createDataFrame(SET_TARGETS, "dataset string, target string")
+    renames = spark.createDataFrame(SET_RENAMES, "dataset string, old string, new string")
+    part = T.read(spark, d, "part").withColumn("codes", F.split("p_name", " "))
+    sets = {"parts": part, "documents": T.read(spark, d, "documents"), "orders": T.read(spark, d, "orders")}
+    split = F.when(F.conv(F.substring(F.md5(F.col("uid").cast("string")), 1, 1), 16, 10).cast("int") < 4, "test").otherwise("train")
+    renamed = {name: PR.rename_by_table(df, renames, name).withColumn("split", split) for name, df in sets.items()}
+    rows = PR.combined(renamed, renames.limit(0))
+    return PR.label_rows(rows, rules, targets), PR.class_names(rules, targets)
+
+
+def _sql_prepared() -> str:
+    split = "CASE WHEN ('0x' || substr(md5(CAST(uid AS VARCHAR)), 1, 1))::INT < 4 THEN 'test' ELSE 'train' END AS split"
+    return f"""prep AS (SELECT dataset, uid, {split}, labels FROM (
+  SELECT 'parts' AS dataset, uid, CAST({_sql_multiclass()} AS INTEGER) AS labels FROM ({SQL_PART_WORDS})
+  UNION ALL SELECT 'documents', doc_id, CAST(coalesce(lang = 'fr', FALSE) AS INTEGER) FROM documents
+  UNION ALL SELECT 'orders', o_orderkey, CAST(coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH'), FALSE) AS INTEGER) FROM orders))"""
+
+
+@register("prepare_labels", f"WITH {_sql_prepared()} SELECT dataset, uid, split, labels FROM prep")
+def q_prepare_labels(spark, d):
+    """Three datasets in one plan: columns renamed, labels derived, by tables of names and rules."""
+    return _prepared(spark, d)[0].select("dataset", "uid", "split", "labels")
+
+
+@register("prepare_stats", f"""WITH {_sql_prepared()},
+names(dataset, label, name) AS (SELECT 'parts', label, name FROM (VALUES {_sql_names_values()}) t(label, name)
+  UNION ALL SELECT d, i, n FROM (VALUES ('documents'), ('orders')) a(d), (VALUES (0, 'Negative'), (1, 'Positive')) b(i, n)),
+g AS (SELECT s.split, n.* FROM names n, (VALUES ('train'), ('test')) s(split)),
+c AS (SELECT dataset, split, labels, count(*) AS n FROM prep GROUP BY ALL),
+t AS (SELECT dataset, split, count(*) AS t FROM prep GROUP BY ALL)
+SELECT g.dataset, g.split, CAST(g.label AS INTEGER) AS label, g.name, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+  round(coalesce(c.n / t.t, 0.0), 6) AS proportion
+FROM g LEFT JOIN c ON c.dataset = g.dataset AND c.split = g.split AND c.labels = g.label
+  LEFT JOIN t ON t.dataset = g.dataset AND t.split = g.split""")
+def q_prepare_stats(spark, d):
+    """Every dataset written with the class statistics and metadata that its write counts."""
+    rows, names = _prepared(spark, d)
+    by_set: dict = {}
+    for r in names.orderBy("dataset", "label").collect():
+        by_set.setdefault(r["dataset"], []).append(r["name"])
+    out = None
+    for name, classes in by_set.items():
+        path = shared_path(spark, f"prepared-{name}")
+        PR.write_prepared(rows.filter(F.col("dataset") == name), path, classes, metadata={"dataset": name, "binarised": True})
+        stats = PR.read_prepared(spark, path)[1].withColumn("dataset", F.lit(name))
+        out = stats if out is None else out.unionByName(stats)
+    return out.select("dataset", "split", "label", "name", "n", r6("proportion").alias("proportion"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sql_gumbel
+from ..functions.hashing import sql_gumbel, sql_order_key
 from ..functions.vectors import cosine_distance
 from ..operators import anchors as A
 from ..operators import sampling as S
@@ -63,7 +63,7 @@ def anchored_entropy_slice(spark, d):
     """Labelled set -> random anchors per class -> exact kNN -> anchor subpool -> entropy batch."""
     _, pool, cands = _slice_candidates(spark, d)
     sub = ST.anchor_subpool(cands, SUBPOOL)
-    scored = T.with_logits(pool.join(sub.select("uid"), "uid", "left_semi"))
+    scored = T.with_logits(spark, d, pool.join(sub.select("uid"), "uid", "left_semi"))
     picked = ST.entropy_query(scored, BATCH)
     return picked.select("uid", r6("entropy").alias("entropy"))
 
@@ -117,7 +117,7 @@ SELECT uid, round({sql_entropy()}, 6) AS entropy FROM scored ORDER BY {sql_entro
 def q_anchoredsampling_entropy(spark, d):
     _, pool, cands = _slice_candidates(spark, d)
     sub = ST.anchor_subpool_sampled(cands, SUBPOOL, seed=GUMBEL_SEED)
-    scored = T.with_logits(pool.join(sub.select("uid"), "uid", "left_semi"))
+    scored = T.with_logits(spark, d, pool.join(sub.select("uid"), "uid", "left_semi"))
     return ST.entropy_query(scored, BATCH).select("uid", r6("entropy").alias("entropy"))
 
 
@@ -145,13 +145,13 @@ def sql_kmeanspp(base: str, k: int, seed, by: str | None, vec_cols: list[str], s
     """
     cols = ", ".join(vec_cols)
     byc = f"{by}, " if by else ""
-    ctes = [f"kpp_s0 AS (SELECT {byc}uid, {cols}, CAST(NULL AS DOUBLE) AS d2, CAST(NULL AS INTEGER) AS pick_step "
+    ctes = [f"kpp_s0 AS MATERIALIZED (SELECT {byc}uid, {cols}, CAST(NULL AS DOUBLE) AS d2, CAST(NULL AS INTEGER) AS pick_step "
             f"FROM {base})"]
     for s in range(k):
         g = sql_gumbel(f"{seed}:{s}")
         key = f"CASE WHEN d2 IS NULL THEN {g} WHEN d2 > 0 THEN ln(d2) + {g} ELSE {g} - 1e6 END"
         grp = f"GROUP BY {by}" if by else ""
-        ctes.append(f"kpp_p{s} AS (SELECT {byc}arg_max(uid, {key}) AS pu FROM kpp_s{s} "
+        ctes.append(f"kpp_p{s} AS MATERIALIZED (SELECT {byc}arg_max(uid, {key}) AS pu FROM kpp_s{s} "
                     f"WHERE pick_step IS NULL {grp})")
         pv = ", ".join(f"c.{c} AS pc_{c}" for c in vec_cols)
         on = f"p.{by} = c.{by} AND " if by else ""
@@ -160,7 +160,7 @@ def sql_kmeanspp(base: str, k: int, seed, by: str | None, vec_cols: list[str], s
         dn = sqdist_sql({c: f"s.{c}" for c in vec_cols}, {c: f"c.pc_{c}" for c in vec_cols})
         jon = f"ON s.{by} = c.{by}" if by else "ON TRUE"
         ctes.append(
-            f"kpp_s{s + 1} AS (SELECT {'s.' + by + ', ' if by else ''}s.uid, "
+            f"kpp_s{s + 1} AS MATERIALIZED (SELECT {'s.' + by + ', ' if by else ''}s.uid, "
             + ", ".join(f"s.{c}" for c in vec_cols)
             + f", CASE WHEN c.pu IS NULL THEN s.d2 ELSE least(coalesce(s.d2, {dn}), {dn}) END AS d2, "
             f"CASE WHEN s.pick_step IS NULL AND s.uid = c.pu THEN {s} ELSE s.pick_step END AS pick_step "
@@ -174,7 +174,43 @@ def _euclid(row, ctr):
     return _sql_sqdist(row[c], ctr[c])
 
 
+def sql_lloyd(base: str, k: int, seed, iterations: int, by: str | None = None, name: str = "km") -> str:
+    """CTE chain of ``kmeans_rows`` over ``base(uid, embedding[, by])``, ending in ``<name>_rows([by, ]uid)``.
+
+    Iterations beyond the point where no centre moves change nothing.
+    """
+    g, on = (f"{by}, ", f"r.{by} = c.{by}") if by else ("", "TRUE")
+    part, same = (f"PARTITION BY {by} ", f"USING ({by}, cluster)") if by else ("", "USING (cluster)")
+    far = (f"f.{by} = k.{by} AND ") if by else ""
+    kg = f"k.{by}, " if by else ""
+    ctes = [f"{name}_c0 AS MATERIALIZED (SELECT {g}cluster, embedding AS c FROM (SELECT {g}embedding, row_number() OVER ({part}ORDER BY "
+            f"{sql_order_key(seed)}, uid) - 1 AS cluster FROM {base}) WHERE cluster < {k})"]
+    for t in range(iterations + 1):
+        rg = f"r.{by}, " if by else ""
+        ctes.append(f"{name}_a{t} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY d2, cluster) AS rn FROM ("
+                    f"SELECT {rg}r.uid, r.embedding, c.cluster, {_sql_sqdist('r.embedding', 'c.c')} AS d2 "
+                    f"FROM {base} r JOIN {name}_c{t} c ON {on})) WHERE rn = 1)")
+        if t == iterations:
+            break
+        ctes.append(f"{name}_m{t} AS MATERIALIZED (SELECT {g}cluster, list(a ORDER BY pos) AS m FROM (SELECT {g}cluster, pos, avg(v) AS a FROM ("
+                    f"SELECT {g}cluster, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM {name}_a{t}) "
+                    f"GROUP BY {g}cluster, pos) GROUP BY {g}cluster)")
+        ctes.append(f"{name}_e{t} AS MATERIALIZED (SELECT {g}cluster, row_number() OVER ({part}ORDER BY cluster) AS place FROM {name}_c{t} "
+                    f"ANTI JOIN {name}_m{t} {same})")
+        ctes.append(f"{name}_f{t} AS MATERIALIZED (SELECT {g}embedding AS v, row_number() OVER ({part}ORDER BY d2 DESC, uid) AS place "
+                    f"FROM {name}_a{t} WHERE d2 > 0)")
+        ctes.append(f"{name}_c{t + 1} AS MATERIALIZED (SELECT {kg}k.cluster, coalesce(m.m, f.v, k.c) AS c FROM {name}_c{t} k "
+                    f"LEFT JOIN {name}_m{t} m {same} LEFT JOIN {name}_e{t} e {same} LEFT JOIN {name}_f{t} f ON {far}f.place = e.place)")
+    ctes.append(f"{name}_b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {g}cluster ORDER BY d2, uid) = 1 THEN 0 ELSE 1 END AS later "
+                f"FROM {name}_a{iterations})")
+    ctes.append(f"{name}_rows AS (SELECT {g}uid FROM (SELECT {g}uid, row_number() OVER ({part}ORDER BY later, d2, uid) AS place FROM {name}_b) "
+                f"WHERE place <= {k})")
+    return ",\n".join(ctes)
+
+
 KPP_SEED = 46
+KM_SEED = 42
+KM_ITERATIONS = 5
 
 
 @register("anchors_random", f"""WITH {SQL_LABELLED_CTES}
@@ -188,25 +224,26 @@ s AS (SELECT uid, label, {sql_logits()} AS logits FROM labelled),
 r AS (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {sql_entropy()} DESC, uid) AS rn FROM s)
 SELECT uid, label FROM r WHERE rn <= {NUM_ANCHORS}""")
 def q_anchors_entropy(spark, d):
-    lab = T.with_logits(T.labelled(spark, d))
+    lab = T.with_logits(spark, d, T.labelled(spark, d))
     return A.anchors_entropy(lab, NUM_ANCHORS).select("uid", "label")
 
 
-@register("anchors_kmeanspp", f"""WITH {SQL_LABELLED_CTES},
-kbase AS (SELECT uid, label, embedding FROM labelled),
+@register("anchors_kmeanspp", f"""WITH kbase AS MATERIALIZED ({SQL_EMB}),
 {sql_kmeanspp("kbase", NUM_ANCHORS, KPP_SEED, "label", ["embedding"], _euclid)}
 SELECT uid, label FROM kpp_final""")
 def q_anchors_kmeanspp(spark, d):
-    return A.anchors_kmeanspp(T.labelled(spark, d), NUM_ANCHORS, seed=KPP_SEED).select("uid", "label")
+    """k-means++ anchors of every class; the whole table is the labelled set."""
+    return A.anchors_kmeanspp(T.embeddings(spark, d), NUM_ANCHORS, seed=KPP_SEED).select("uid", "label")
 
 
 @register("kmeanspp_pick", f"""WITH {SQL_LABELLED_CTES},
-kbase AS (SELECT uid, embedding FROM labelled),
-{sql_kmeanspp("kbase", 8, KPP_SEED, None, ["embedding"], _euclid)}
+kbase AS MATERIALIZED (SELECT uid, embedding FROM pool),
+{sql_kmeanspp("kbase", 12, KPP_SEED, None, ["embedding"], _euclid)}
 SELECT uid, pick_step FROM kpp_final""")
 def q_kmeanspp_pick(spark, d):
-    base = T.labelled(spark, d).select("uid", F.col("embedding").alias("vec"))
-    return A.kmeanspp_pick(base, 8, seed=KPP_SEED).select("uid", "pick_step")
+    """k-means++ over the whole pool."""
+    base = T.pool(spark, d).select("uid", F.col("embedding").alias("vec"))
+    return A.kmeanspp_pick(base, 12, seed=KPP_SEED).select("uid", "pick_step")
 
 
 @register("anchors_all", f"""WITH {SQL_LABELLED_CTES}
@@ -229,15 +266,17 @@ maj AS (SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION
 SELECT uid, label FROM small UNION ALL SELECT uid, label FROM minr UNION ALL SELECT uid, label FROM maj""")
 def q_anchor_select(spark, d):
     """Whole small classes; random anchors for minority class 0, entropy anchors otherwise."""
-    lab = T.with_logits(T.labelled(spark, d))
+    lab = T.with_logits(spark, d, T.labelled(spark, d))
     return A.select_anchors(lab, SEL_ANCHORS, "random", "entropy", T.MINORITY, seed=ANCHOR_SEED) \
         .select("uid", "label")
 
 
-@register("anchors_kmeans")
+@register("anchors_kmeans", f"""WITH kbase AS MATERIALIZED ({SQL_EMB}),
+{sql_lloyd("kbase", NUM_ANCHORS, KM_SEED, KM_ITERATIONS, "label")}
+SELECT uid, label FROM km_rows""")
 def q_anchors_kmeans(spark, d):
-    """k-means anchors per class (MLlib); rows-only: MLlib initialisation has no SQL twin."""
-    return A.anchors_kmeans(T.labelled(spark, d), NUM_ANCHORS, seed=42).select("uid", "label")
+    """k-means anchors of every class in one run; the whole table is the labelled set."""
+    return A.anchors_kmeans(T.embeddings(spark, d), NUM_ANCHORS, seed=KM_SEED, max_iter=KM_ITERATIONS).select("uid", "label")
 
 
 # ------------------------------------------------------------ strategies --
@@ -246,7 +285,7 @@ def q_anchors_kmeans(spark, d):
 s AS (SELECT uid, {sql_logits()} AS logits FROM pool)
 SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH}""")
 def q_entropy_query(spark, d):
-    return ST.entropy_query(T.with_logits(T.pool(spark, d)), BATCH).select("uid", r6("entropy").alias("entropy"))
+    return ST.entropy_query(T.with_logits(spark, d, T.pool(spark, d)), BATCH).select("uid", r6("entropy").alias("entropy"))
 
 
 def _sql_badge_factors(src: str) -> str:
@@ -271,39 +310,40 @@ def _badge_sql_dist(row, ctr):
 f AS ({_sql_badge_factors("pool")})
 SELECT uid, round(sqrt({_sql_dot("g", "g")} * {_sql_dot("h", "h")}), 6) AS grad_norm FROM f""")
 def q_badge_gradient(spark, d):
-    g = ST.badge_gradient_norm(T.with_logits(T.pool(spark, d)))
+    g = ST.badge_gradient_norm(T.with_logits(spark, d, T.pool(spark, d)))
     return g.select("uid", r6("grad_norm").alias("grad_norm"))
 
 
 BADGE_Q = 10
 
 
-@register("badge_query", f"""WITH {SQL_SLICE_CTES},
-subrows AS (SELECT * FROM pool WHERE uid IN (SELECT uid FROM sub)),
-f AS ({_sql_badge_factors("subrows")}),
+@register("badge_query", f"""WITH {SQL_LABELLED_CTES},
+f AS MATERIALIZED ({_sql_badge_factors("pool")}),
 {sql_kmeanspp("f", BADGE_Q, KPP_SEED, None, ["g", "h"], _badge_sql_dist)}
 SELECT uid FROM kpp_final""")
 def q_badge_query(spark, d):
-    """BADGE on the anchored subpool: k-means++ over gradient embeddings (as factors)."""
-    _, pool, cands = _slice_candidates(spark, d)
-    sub = ST.anchor_subpool(cands, SUBPOOL)
-    scored = T.with_logits(pool.join(sub.select("uid"), "uid", "left_semi"))
-    return ST.badge_query(scored, BADGE_Q, seed=KPP_SEED).select("uid")
+    """BADGE on the whole pool: k-means++ over gradient embeddings (as factors)."""
+    return ST.badge_query(T.with_logits(spark, d, T.pool(spark, d)), BADGE_Q, seed=KPP_SEED).select("uid")
 
 
-@register("kmeans_query")
+@register("kmeans_query", f"""WITH {SQL_LABELLED_CTES},
+kbase AS MATERIALIZED (SELECT uid, embedding FROM pool),
+{sql_lloyd("kbase", BATCH, KM_SEED, KM_ITERATIONS)}
+SELECT uid FROM km_rows""")
 def q_kmeans_query(spark, d):
-    """Fine-tuned-encoder k-means pick (rows nearest q centres) on the anchored subpool."""
-    _, pool, cands = _slice_candidates(spark, d)
-    sub = pool.join(ST.anchor_subpool(cands, SUBPOOL).select("uid"), "uid", "left_semi")
-    return ST.kmeans_query(sub, BATCH).select("uid")
+    """k-means pick (rows nearest q centres) on the whole pool."""
+    return ST.kmeans_query(T.pool(spark, d), BATCH, seed=KM_SEED, max_iter=KM_ITERATIONS).select("uid")
 
 
-@register("tyrogue_query")
+@register("tyrogue_query", f"""WITH {SQL_LABELLED_CTES},
+kbase AS MATERIALIZED (SELECT uid, embedding FROM pool),
+{sql_lloyd("kbase", 3 * (BATCH // 5), KM_SEED, KM_ITERATIONS)},
+s AS (SELECT uid, {sql_logits()} AS logits FROM pool WHERE uid IN (SELECT uid FROM km_rows))
+SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()} DESC, uid LIMIT {BATCH // 5}""")
 def q_tyrogue_query(spark, d):
-    _, pool, cands = _slice_candidates(spark, d)
-    sub = T.with_logits(pool.join(ST.anchor_subpool(cands, SUBPOOL).select("uid"), "uid", "left_semi"))
-    return ST.tyrogue_query(sub, BATCH // 5).select("uid", r6("entropy").alias("entropy"))
+    """Diversity pick by k-means on the whole pool, then the most uncertain of it."""
+    pool = T.with_logits(spark, d, T.pool(spark, d))
+    return ST.tyrogue_query(pool, BATCH // 5, seed=KM_SEED, max_iter=KM_ITERATIONS).select("uid", r6("entropy").alias("entropy"))
 
 
 SEALS_K = 5
@@ -332,7 +372,7 @@ def q_seals_entropy(spark, d):
     lab = T.labelled(spark, d)
     pool = T.pool(spark, d, lab)
     sub = ST.seals_subpool(lab, pool, SEALS_K, SEALS_SIZE, seed=42)
-    scored = T.with_logits(pool.join(sub, "uid", "left_semi"))
+    scored = T.with_logits(spark, d, pool.join(sub, "uid", "left_semi"))
     return ST.entropy_query(scored, BATCH).select("uid", r6("entropy").alias("entropy"))
 
 
@@ -343,7 +383,7 @@ SELECT uid, round({sql_entropy()}, 6) AS entropy FROM s ORDER BY {sql_entropy()}
 def q_randomsubset_entropy(spark, d):
     pool = T.pool(spark, d)
     sub = S.random_subset(pool, SUBPOOL, seed=42, round_=0)
-    return ST.entropy_query(T.with_logits(sub), BATCH).select("uid", r6("entropy").alias("entropy"))
+    return ST.entropy_query(T.with_logits(spark, d, sub), BATCH).select("uid", r6("entropy").alias("entropy"))
 
 
 @register("cosine_distance", f"""WITH e AS ({SQL_EMB}),
@@ -365,8 +405,8 @@ def q_cosine_distance(spark, d):
 @register("registry_smoke")
 def q_registry_smoke(spark, d):
     """Every registered strategy name run through the registry: the rows that each picks."""
-    lab = T.with_logits(T.labelled(spark, d))
-    pool = T.with_logits(T.pool(spark, d, lab))
+    lab = T.with_logits(spark, d, T.labelled(spark, d))
+    pool = T.with_logits(spark, d, T.pool(spark, d, lab))
     cfg = ST.TwoStageConfig(subpool_size=SUBPOOL, num_neighbours=K, num_anchors=NUM_ANCHORS,
                             anchor_strategy_minority="random", anchor_strategy_majority="random",
                             minority_classes=list(T.MINORITY), seed=42)

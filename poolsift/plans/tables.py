@@ -6,7 +6,7 @@ Each Spark builder has a SQL twin (``SQL_*``) used by the DuckDB oracle.
 * embeddings   -> pool rows ``uid, label, embedding ARRAY<DOUBLE>``
 * labelled set -> the reference's initial budget drawn from the embeddings
                   (5 rows of minority class 0, 100 rows in total)
-* scored rows  -> logits = first 10 embedding values x 10 (10 classes)
+* scored rows  -> logits = dot products of the whole vector with the 10 class means x 100
 * scalar log   -> events per (run = user, tag, step = day): one value per step
 * run params   -> customer + nation as the per-run hyper-parameter table
 * label log    -> lineitem: run = supplier, class = return flag, round = month
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_order_key
 from ..functions.vectors import as_doubles
 from ..operators.sampling import initial_budget
+from ..operators.scorers import class_means, with_mean_logits
 from ..session import cut_lineage
 
 NUM_CLASSES = 10
@@ -30,8 +31,8 @@ MINORITY = [0]
 POSITIVE_BUDGET = 5
 TOTAL_BUDGET = 100
 BUDGET_SEED = 42
-NUM_LOGITS = 10
-LOGIT_SCALE = 10.0
+NUM_LOGITS = NUM_CLASSES
+LOGIT_SCALE = 100.0
 
 # Fixed stand-in vocabulary: event types as reference-style metric tags and
 # run-level strategy names per region key.
@@ -63,13 +64,13 @@ def pool(spark: SparkSession, sf_dir: str, lab: DataFrame | None = None) -> Data
     return embeddings(spark, sf_dir).join(lab.select("uid"), "uid", "left_anti")
 
 
-def with_logits(df: DataFrame) -> DataFrame:
-    return df.withColumn("logits", F.transform(F.slice("embedding", 1, NUM_LOGITS),
-                                               lambda x: x * F.lit(LOGIT_SCALE)))
+def with_logits(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Logits of a model in closed form: the class means of all embeddings."""
+    return with_mean_logits(df, class_means(embeddings(spark, sf_dir), NUM_CLASSES), LOGIT_SCALE)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_logits(embeddings(spark, sf_dir))
+    return with_logits(spark, sf_dir, embeddings(spark, sf_dir))
 
 
 def scalar_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +127,17 @@ labelled AS (SELECT * FROM lab_min UNION ALL SELECT * FROM lab_rest),
 pool AS (SELECT * FROM emb WHERE uid NOT IN (SELECT uid FROM labelled))"""
 
 
-def sql_logits(vec: str = "embedding") -> str:
-    return f"list_transform({vec}[1:{NUM_LOGITS}], lambda x: x * {LOGIT_SCALE})"
+def sql_means(rows: str = "emb0") -> str:
+    """Scalar subquery: the list of class means of ``rows(label, embedding)``."""
+    source = f"({SQL_EMB})" if rows == "emb0" else rows
+    return (f"(SELECT list(coalesce(m, list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda z: 0.0)) ORDER BY class_id) "
+            f"FROM (SELECT range AS class_id FROM range({NUM_CLASSES})) LEFT JOIN (SELECT label, list(a ORDER BY pos) AS m FROM ("
+            f"SELECT label, pos, avg(v) AS a FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos "
+            f"FROM {source}) GROUP BY label, pos) GROUP BY label) ON label = class_id)")
+
+
+def sql_logits(vec: str = "embedding", rows: str = "emb0") -> str:
+    return f"list_transform({sql_means(rows)}, lambda c: list_inner_product({vec}, c) * {LOGIT_SCALE})"
 
 
 def sql_entropy(logits: str = "logits") -> str:

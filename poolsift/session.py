@@ -113,6 +113,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/poolsift-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finished writing ``path`` (its ``_SUCCESS`` file is there), in whatever store it lies."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -3,6 +3,7 @@ nested configuration, and artefact presence listings."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,29 +90,43 @@ def parse_nested(df: DataFrame, col: str, schema: Ty.StructType | str, sep: str
     return flatten(parsed, sep)
 
 
-def read_yaml_configs(spark: SparkSession, root: str, schema: Ty.StructType | str, glob: str = "*.yaml",
-                      sep: str = ".") -> DataFrame:
-    """Per-run YAML configuration files -> one flat row each, plus the run directory.
+def _leaves(dtype, path: str = "$", name: str = ""):
+    """(dotted name, JSON path, type) of every leaf of a schema found in variants."""
+    for f in dtype.fields:
+        at, key = f"{path}[{json.dumps(f.name)}]", f"{name}.{f.name}" if name else f.name
+        if isinstance(f.dataType, Ty.StructType) and f.dataType.fields:
+            yield from _leaves(f.dataType, at, key)
+        else:
+            yield key, at, f.dataType
 
-    Files are read whole (``wholetext``); each task converts its files' YAML
-    to JSON text in an Arrow batch and Spark parses it with an explicit schema.
-    """
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(root, wholetext=True)
-           .select(F.col("value").alias("body"), run_dir(F.col("_metadata.file_path")).alias("filename")))
 
-    def to_json(batches):
-        import json
+def flatten_variant(df: DataFrame, col: str, keep: Sequence[str] = (), prefix: str = "") -> DataFrame:
+    """JSON text column -> one column per dotted name that occurs in any row; no schema is given.
+
+    The schema is found by an aggregate over all rows (its size is that of the schema, not of the
+    data).  A name that a row lacks is NULL; a name with values of different kinds, or with
+    arrays, becomes its JSON text.  Text that is no JSON object gives NULLs.
+    """
+    rows = df.select(*keep, F.try_parse_json(F.col(col)).alias("__v"))
+    found = rows.agg(F.schema_of_variant_agg("__v").alias("s")).first()["s"]
+    if found is None or not found.startswith("OBJECT<"):
+        return rows.select(*keep)
+    tree = Ty.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<"))
+    cols = []
+    for name, path, kind in _leaves(tree):
+        if isinstance(kind, (Ty.ArrayType, Ty.VariantType, Ty.StructType, Ty.NullType)):
+            value = F.to_json(F.try_variant_get(F.col("__v"), path, "variant"))
+        else:
+            value = F.try_variant_get(F.col("__v"), path, kind.simpleString())
+        cols.append(value.alias(f"{prefix}{name}"))
+    return rows.select(*keep, *cols)
 
-        import yaml
-        for pdf in batches:
-            pdf["body"] = [json.dumps(yaml.safe_load(b)) for b in pdf["body"]]
-            yield pdf
 
-    js = raw.mapInPandas(to_json, "body string, filename string")
-    flat = parse_nested(js, "body", schema, sep, keep=["filename"])
-    prefix = "body" + sep
-    return flat.withColumnsRenamed({c: c[len(prefix):] for c in flat.columns if c.startswith(prefix)})
+def read_configs(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """Per-run JSON configuration files of any shape -> one flat row each (dotted columns), plus the run directory."""
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+           .select(F.col("value").alias("body"), run_dir(F.col("_metadata.file_path")).alias("filename")))
+    return flatten_variant(raw, "body", keep=["filename"])
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:

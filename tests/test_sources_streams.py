@@ -8,17 +8,23 @@ from poolsift.sources import sinks as SK
 from poolsift.streaming import streams as SM
 
 
-def test_yaml_configs_flatten(spark):
-    root = local_path(shared_path(spark, "yaml"))
-    for run, seed in (("r1", 1), ("r2", 2)):
+def test_ragged_configs_flatten_without_a_schema(spark):
+    root = local_path(shared_path(spark, "configs"))
+    bodies = {"r1": '{"seed": 1, "model": {"name": "bert", "seed": 10}, "args": [1, 2]}',
+              "r2": '{"seed": 2, "model": {"name": "bert", "lr": 0.5}, "strategy": {"args": {"k": "5"}}, "odd key.x": true}',
+              "r3": '{"seed": "three", "empty": {}}', "r4": "not json"}
+    for run, body in bodies.items():
         os.makedirs(f"{root}/main/{run}", exist_ok=True)
-        with open(f"{root}/main/{run}/hparams.yaml", "w") as fh:
-            fh.write(f"seed: {seed}\nmodel:\n  name: bert-base\n  seed: {seed * 10}\ndataset:\n  name: agnews\n")
-    schema = "seed int, model struct<name:string, seed:int>, dataset struct<name:string>"
-    df = RD.read_yaml_configs(spark, root, schema)
-    rows = {r["filename"].rsplit("/", 1)[1]: r for r in df.collect()}
-    assert set(df.columns) == {"filename", "seed", "model.name", "model.seed", "dataset.name"}
-    assert rows["r2"]["model.seed"] == 20 and rows["r1"]["dataset.name"] == "agnews"
+        with open(f"{root}/main/{run}/hparams.json", "w") as fh:
+            fh.write(body)
+    df = RD.read_configs(spark, root)
+    rows = {r["filename"].rsplit("/", 1)[1]: r.asDict() for r in df.collect()}
+    assert set(df.columns) == {"filename", "seed", "model.name", "model.seed", "model.lr", "args", "strategy.args.k", "odd key.x", "empty"}
+    assert rows["r1"]["model.seed"] == 10 and rows["r1"]["args"] == "[1,2]" and rows["r1"]["model.lr"] is None
+    assert float(rows["r2"]["model.lr"]) == 0.5 and rows["r2"]["strategy.args.k"] == "5" and rows["r2"]["odd key.x"] is True
+    assert rows["r1"]["seed"] == "1" and rows["r3"]["seed"] == '"three"'          # values of two kinds: JSON text
+    assert all(v is None for k, v in rows["r4"].items() if k != "filename")
+    assert RD.flatten_variant(df.select(F.lit("[1]").alias("j"), "filename"), "j", ["filename"]).columns == ["filename"]
 
 
 def test_latin1_lines(spark):
@@ -69,6 +75,44 @@ def test_stream_counts_equal_batch(spark):
     assert got == exp
 
 
+def test_compacted_counts_stay_and_old_epochs_go(spark):
+    src = shared_path(spark, "stream-src")
+    schema = "run long, labels string"
+    sink, ckpt = shared_path(spark, "sink"), shared_path(spark, "ckpt")
+    rows = []
+    for turn in range(4):
+        new = [(turn % 2, "A"), (turn, "R")]
+        rows += new
+        spark.createDataFrame(new, schema).write.mode("append").parquet(src)
+        SM.stream_counts(spark, src, spark.createDataFrame([], schema).schema, ["run", "labels"], sink, ckpt)
+        if turn in (1, 2):
+            SM.compact_counts(spark, sink, ["run", "labels"])
+    want = sorted(tuple(r) for r in spark.createDataFrame(rows, schema).groupBy("run", "labels").count().collect())
+    assert sorted(tuple(r) for r in SM.read_counts(spark, sink, ["run", "labels"]).select("run", "labels", "n").collect()) == want
+    assert len([p for p in os.listdir(local_path(sink)) if p.startswith("epoch=")]) == 1
+    # a compaction that died before its commit changes nothing
+    os.makedirs(f"{local_path(sink)}-compact/upto=99")
+    assert sorted(tuple(r) for r in SM.read_counts(spark, sink, ["run", "labels"]).select("run", "labels", "n").collect()) == want
+    SM.compact_counts(spark, sink, ["run", "labels"])
+    assert sorted(tuple(r) for r in SM.read_counts(spark, sink, ["run", "labels"]).select("run", "labels", "n").collect()) == want
+
+
+def test_stream_dedupe_forgets_ids_behind_the_watermark(spark):
+    import time
+    src = local_path(shared_path(spark, "rounds-src"))
+    os.makedirs(src)
+    sink, ckpt = shared_path(spark, "rounds-sink"), shared_path(spark, "rounds-ckpt")
+    held = []
+    for day in range(5):
+        with open(f"{src}/{day}.json", "w") as fh:
+            fh.write('{"run": 1, "labelling_round": %d, "subpool_ids": %s}\n' % (day, list(range(100))) * 2)
+        os.utime(f"{src}/{day}.json", (time.time() - 86400 * (10 - day),) * 2)
+        held.append(SM.stream_round_ids(spark, src, sink, ckpt, delay="1 hour")["state_rows"])
+    got = spark.read.parquet(sink)
+    assert got.count() == 500 and got.distinct().count() == 500
+    assert max(held) <= 200, held            # the ids of earlier days are forgotten
+
+
 def test_registry_contract():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
