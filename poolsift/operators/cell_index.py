@@ -181,8 +181,9 @@ class CellIndex:
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], "uid long, vec array<double>, cell long")
 
-    def _bounds(self, q: np.ndarray) -> tuple[list, np.ndarray]:
-        """Cells and, per query, a lower bound of the distance to all of a cell's rows."""
+    def _bounds(self, q: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """Cells and, per query, a lower bound of the distance to all of a cell's rows, and the cells'
+        order by it (of equal bounds, as where a query lies inside several cells, the nearer centre first)."""
         ids = sorted(self.cells)
         centres = np.array([self.cells[c]["center"] for c in ids])
         radius = np.array([self.cells[c]["radius"] for c in ids])
@@ -190,7 +191,8 @@ class CellIndex:
         away = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (q @ centres.T), 0.0))
         # (a zero vector has cosine distance 1, which lies above every such bound)
         gap = np.maximum(away - radius[None, :] - MARGIN, 0.0)
-        return ids, gap * gap * (0.5 if self.metric == "cosine" else 1.0) - MARGIN
+        bound = gap * gap * (0.5 if self.metric == "cosine" else 1.0) - MARGIN
+        return ids, bound, np.lexsort((away, bound), axis=1)
 
     def _probe(self, q: tuple, ids: list, probes: np.ndarray, k: int, mask: DataFrame | None) -> DataFrame:
         table = np.zeros((len(q[0]), max(ids) + 1), bool)
@@ -237,9 +239,8 @@ class CellIndex:
 
     def _answer(self, block, k, allowed, mask, n_probe, probed) -> DataFrame:
         qids, q = block
-        ids, bound = self._bounds(q)
+        ids, bound, order = self._bounds(q)
         held = np.array([allowed[c] for c in ids])
-        order = np.argsort(bound, axis=1, kind="stable")
         # in bound order: cells before which fewer than k allowed rows lie
         before = np.cumsum(held[order], axis=1) - held[order]
         first = np.zeros(bound.shape, bool)
@@ -269,8 +270,8 @@ class CellIndex:
         cell_of = self.rows().select("uid", "cell")
         where = true.join(cell_of, "uid").groupBy("search_query_uid", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
         qids, q = _query_block(rows, "uid", "embedding", self.metric)
-        ids, bound = self._bounds(q)
-        rank = np.argsort(np.argsort(bound, axis=1, kind="stable"), axis=1, kind="stable")
+        ids, _, order = self._bounds(q)
+        rank = np.argsort(order, axis=1, kind="stable")
         at, col = {int(u): i for i, u in enumerate(qids)}, {c: i for i, c in enumerate(ids)}
         hits = np.zeros(len(ids), np.int64)
         for r in where:
