@@ -70,54 +70,107 @@ def _dealt(rows: DataFrame, member: str, block_rows: int) -> DataFrame:
                                "side": F.when(F.col("mine") == F.greatest("mine", "other"), 1).otherwise(0)}).drop("mine", "other", "n")
 
 
-def tied(nodes: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> list:
-    """A spanning forest, as pairs of nodes, of the sketches that agree in a share of ``PICK``.
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """``u, v`` of the pairs whose sketches (``a``, ``b``) agree in a share of ``PICK``."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("a", "b"))
+                near = pa.array((x == y).mean(1) >= PICK)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("u", "v")], names=["u", "v"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
 
-    ``side``: as in ``links_among``.  Every member is compared with those not yet reached, so
-    a bucket of near copies takes little more than one pass.
+def tied(nodes: np.ndarray, sketch: np.ndarray, side: np.ndarray, group: np.ndarray) -> list:
+    """Pairs of nodes whose sketches agree in a share of ``PICK``; with what ``group`` joins
+    already, they connect all members that any such pair connects.
+
+    ``side``: as in ``links_among``.  Members of one group are not compared, so nothing is left
+    to do for the largest group but to be compared with.
     """
     two = len(np.unique(side)) > 1
-    left, out = np.arange(len(nodes)), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            may = left[side[left] != side[x]] if two else left
-            hit = may[(sketch[may] == sketch[x]).mean(1) >= PICK] if len(may) else may
-            if len(hit):
-                out += [(int(nodes[x]), v) for v in nodes[hit].tolist()]
-                left = np.setdiff1d(left, hit, assume_unique=True)
-                queue += hit.tolist()
+    _, group, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    out = []
+    for x in np.nonzero(group != sizes.argmax())[0].tolist():
+        other = np.nonzero((group != group[x]) & (side != side[x]))[0] if two else np.nonzero(group != group[x])[0]
+        hit = other[(sketch[other] == sketch[x]).mean(1) >= PICK]
+        if len(hit):
+            # one member of each group met is enough
+            met, first = np.unique(group[hit], return_index=True)
+            out += [(int(nodes[x]), v) for v in nodes[hit[first]].tolist()]
+            group[np.isin(group, met)] = group[x]
     return out
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Adds ``kind, i, j, side``: where the members of a bucket are compared across their groups.
+
+    ``top`` is the bucket's largest group.  Its ``n_top`` members meet the ``n_rest`` others (kind 0), which meet
+    each other too (kind 1), in pairs of blocks; members of the largest group never meet
+    each other, so a large group with few others costs about one row per member.
+    """
+    def blocks(n):
+        return F.ceil(F.col(n) / F.lit(BUCKET_BLOCK)).cast("int")
+
+    def place(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    top, rest = blocks("n_top"), blocks("n_rest")
+    own = F.xxhash64("node")
+    in_top, in_rest = F.pmod(own, top), F.pmod(own, rest)
+    of_top = F.transform(F.sequence(F.lit(0), rest - 1), lambda j: place(0, in_top, j, F.lit(0)))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), top - 1), lambda i: place(0, i, in_rest, F.lit(1))),
+        F.transform(F.sequence(F.lit(0), rest - 1), lambda j: place(
+            1, F.least(in_rest, j.cast("long")), F.greatest(in_rest, j.cast("long")), (in_rest >= j).cast("int"))))
+    return rows.withColumn("p", F.explode(F.when(F.col("group") == F.col("top"), of_top).otherwise(of_rest))) \
+        .select("key", "node", "group", "p.*")
+
+
 def _families(classes: DataFrame, parts: int) -> DataFrame:
-    """``node, component``: classes tied in some bucket."""
+    """``node, component``: classes tied in some bucket.
+
+    A class is first compared with the smallest member of each of its buckets, which joins most of a
+    large group of near copies at the cost of one pass.  Only buckets that still hold
+    several components are compared in full, and there only across components.
+    """
     rows = classes.select("node", F.explode("bands").alias("key"))
-    # a written table, so that the join below can split a large bucket over tasks
-    busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
-    met = _dealt(rows.join(busy, "key"), "node", BUCKET_BLOCK).join(classes.select("node", "sketch"), "node")
+    # written tables, so that the joins below can split a large bucket over tasks
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub").checkpoint()
+    members = rows.join(hubs, "key")
+    sketch = classes.select("node", "sketch")
+    pairs = members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    near = agreeing(pairs.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v"))
+    joined = components(near).checkpoint()
+
+    grouped = members.select("node", "key").join(joined, "node", "left").select("node", "key", F.coalesce("component", "node").alias("group"))
+    sizes = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n")) \
+        .select("key", "top.group", F.col("top.n").alias("n_top"), (F.col("n") - F.col("top.n")).alias("n_rest")).filter("n_rest > 0") \
+        .withColumnRenamed("group", "top").checkpoint()
+    met = _across(grouped.join(mixed, "key")).join(sketch, "node")
 
     def run(batches):
         key, held = None, []
 
         def out():
-            found = tied(np.array([h[0] for h in held], np.int64),
-                         np.frombuffer(b"".join(h[1] for h in held), np.uint16).reshape(len(held), -1), np.array([h[2] for h in held]))
+            nodes, side, group = (np.array([h[k] for h in held], np.int64) for k in (0, 2, 3))
+            found = tied(nodes, np.frombuffer(b"".join(h[1] for h in held), np.uint16).reshape(len(held), -1), side, group)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            for k, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "node", "sketch", "side"))):
-                if (k, i, j) != key:
+            for k, kind, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "i", "j", "node", "sketch", "side", "group"))):
+                if (k, kind, i, j) != key:
                     if len(held) > 1:
                         yield out()
-                    key, held = (k, i, j), []
+                    key, held = (k, kind, i, j), []
                 held.append(row)
         if len(held) > 1:
             yield out()
 
-    ties = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "u long, v long")
-    return components(ties)
+    across = met.repartition(parts, "key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "node").mapInArrow(run, "u long, v long")
+    return components(across.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 class _Forest:

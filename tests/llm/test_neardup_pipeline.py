@@ -72,6 +72,7 @@ def near_copies(seed, n=150):
 @pytest.mark.parametrize("width,block", [(2, 512), (5, 7)])
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch, width, block):
     monkeypatch.setattr(minhash, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
     rows = near_copies(width) + [(1000, None), (1003, ""), (1006, " \n"), (1009, "single"), (1012, "SINGLE "), (1015, "one two"),
                                  (1018, "two one"), (0, "another text under the same number"), (1021, "another text under the same number"),
                                  (1024, "long " * 30_000), (1027, "long " * 20_000), (1030, "x y"), (3, near_copies(width)[1][1])]
@@ -148,6 +149,26 @@ def test_boilerplate_makes_no_families(spark, monkeypatch):
     assert dealt[0] <= 30 and dealt[1] <= 60
 
 
+def test_a_large_group_of_near_copies_costs_one_row_per_member(spark, monkeypatch):
+    """The sketches that buckets deal out stay in proportion to the group; all members end in one component."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 16)
+    dealt = []
+    plain = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda rows: dealt.append(plain(rows).count()) or plain(rows))
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(150)]
+    for n in (100, 300):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(3):
+                w[rng.randrange(150)] = f"x{rng.random()}"
+            rows.append((i, " ".join(w)))
+        out = minhash.near_duplicates(spark.createDataFrame(rows + boilerplate(20), "doc_id long, text string")).collect()
+        assert sum(r.component_id == 0 for r in out if r.n_shingles < 180) >= n
+    assert dealt[1] <= 4 * max(dealt[0], 100)
+
+
 def test_one_id_on_a_third_of_all_rows(spark):
     rows = near_copies(3, 60) + [(7, f"unlike text {i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)] + [(9, "the same words again and again")] * 40
     df = spark.createDataFrame(rows, "doc_id long, text string")
