@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_gumbel, sql_order_key
 from ..functions.vectors import cosine_distance
 from ..operators import anchors as A
+from ..operators import neighbours as NB
 from ..operators import sampling as S
 from ..operators import strategies as ST
 from ..operators.similarity import knn_join, search_stats
+from ..session import cut_lineage
 from . import tables as T
 from .tables import SQL_EMB, SQL_LABELLED_CTES, sql_cos_dist, sql_entropy, sql_logits, sql_top_n
 
@@ -386,6 +388,37 @@ def q_randomsubset_entropy(spark, d):
     return ST.entropy_query(T.with_logits(spark, d, sub), BATCH).select("uid", r6("entropy").alias("entropy"))
 
 
+LIST_K = 10
+LIST_ROUNDS = 3
+
+
+def _sql_rounds_of_labels() -> str:
+    ctes = ["g0 AS (SELECT uid, embedding FROM labelled)"]
+    for r in range(LIST_ROUNDS):
+        ctes.append(f"r{r} AS MATERIALIZED (SELECT uid, embedding FROM emb WHERE uid NOT IN (SELECT uid FROM g{r}))")
+        ctes.append(f"g{r + 1} AS MATERIALIZED (SELECT * FROM g{r} UNION ALL SELECT uid, embedding FROM ({sql_top_n(f'r{r}', str(BATCH), f'42:{r}')}))")
+    return ",\n".join(ctes)
+
+
+@register("neighbour_lists", f"""WITH {SQL_LABELLED_CTES},
+{_sql_rounds_of_labels()},
+npairs AS (SELECT a.uid AS search_query_uid, p.uid AS uid, {sql_cos_dist("a.embedding", "p.embedding")} AS dists
+           FROM g{LIST_ROUNDS} a CROSS JOIN (SELECT * FROM emb WHERE uid NOT IN (SELECT uid FROM g{LIST_ROUNDS})) p)
+SELECT search_query_uid, uid, round(dists, 6) AS dists FROM (SELECT *, row_number() OVER (
+  PARTITION BY search_query_uid ORDER BY dists, uid) AS rn FROM npairs) WHERE rn <= {LIST_K}""")
+def q_neighbour_lists(spark, d):
+    """The nearest pool rows of every labelled row after rounds of random labels, kept up round by round."""
+    base, lab = T.embeddings(spark, d), T.labelled(spark, d).select("uid", "embedding")
+    pool = base.select("uid", "embedding").join(lab.select("uid"), "uid", "left_anti")
+    lists = NB.start_lists(lab, pool, LIST_K)
+    for r in range(LIST_ROUNDS):
+        new = cut_lineage(S.random_query(pool, BATCH, seed=f"42:{r}").select("uid", "embedding"))
+        pool = pool.join(new.select("uid"), "uid", "left_anti")
+        lists = NB.advance_lists(lists, lab, new, pool, LIST_K)
+        lab = lab.unionByName(new)
+    return NB.nearest(lists, LIST_K).select("search_query_uid", "uid", r6("dists").alias("dists"))
+
+
 @register("cosine_distance", f"""WITH e AS ({SQL_EMB}),
 x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM e),
 c AS (SELECT label, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(v) AS m FROM x GROUP BY label, pos)

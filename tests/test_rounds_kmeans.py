@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolsift.operators import anchors as A
+from poolsift.operators import neighbours as NB
 from poolsift.operators import strategies as ST
 from poolsift.operators.rounds import RoundStore, round_log, run_rounds
 from poolsift.operators.scorers import class_means, mean_scorer, with_mean_logits
@@ -75,14 +76,14 @@ def test_many_picks_take_few_passes(spark):
 
 
 def test_portions_of_groups_and_odd_rows(spark, monkeypatch):
-    df, v = vectors(spark, 90, 3, 6, labels=9)
+    df, v = vectors(spark, 60, 3, 6, labels=4)
     base = df.withColumnRenamed("embedding", "vec")
-    whole = sorted(tuple(r) for r in A.kmeanspp_pick(base, 4, seed=2, by=["label"]).collect())
-    clusters = sorted(tuple(r) for r in A.kmeans_rows(base, 4, seed=2, by=["label"]).collect())
-    monkeypatch.setattr(A, "STATE_BYTES", 20_000)
-    assert sorted(tuple(r) for r in A.kmeanspp_pick(base, 4, seed=2, by=["label"]).collect()) == whole
-    monkeypatch.setattr(A, "STATE_BYTES", 1_000)
-    assert sorted(tuple(r) for r in A.kmeans_rows(base, 4, seed=2, by=["label"]).collect()) == clusters
+    whole = sorted(tuple(r) for r in A.kmeanspp_pick(base, 3, seed=2, by=["label"]).collect())
+    clusters = sorted(tuple(r) for r in A.kmeans_rows(base, 3, seed=2, by=["label"], max_iter=2).collect())
+    monkeypatch.setattr(A, "STATE_BYTES", 20_000)          # two portions
+    assert sorted(tuple(r) for r in A.kmeanspp_pick(base, 3, seed=2, by=["label"]).collect()) == whole
+    monkeypatch.setattr(A, "STATE_BYTES", 700)
+    assert sorted(tuple(r) for r in A.kmeans_rows(base, 3, seed=2, by=["label"], max_iter=2).collect()) == clusters
     odd = base.unionByName(spark.createDataFrame([(500, 1, None)], "uid long, label int, vec array<double>"))
     assert 500 not in {r.uid for r in A.kmeanspp_pick(odd, 50, seed=2, by=["label"]).collect()}
     assert A.kmeanspp_pick(base.limit(0), 3).count() == 0 and A.kmeans_rows(base.limit(0), 3).count() == 0
@@ -216,3 +217,39 @@ def test_mean_logits_read_whole_vectors(spark):
     assert np.allclose(means[1], v[1::3].mean(0)) and means[3] == [0.0] * 5
     got = {r.uid: r.logits for r in with_mean_logits(df, means, 2.0).collect()}
     assert np.allclose(got[7], 2.0 * np.array(means) @ v[7])
+
+
+# --------------------------------------------------------- neighbour lists
+
+def test_lists_kept_up_equal_a_full_search(spark, monkeypatch):
+    df, v = vectors(spark, 220, 4, 21)
+    rows = df.select("uid", "embedding")
+    asked = []
+    plain = NB.knn_join
+    monkeypatch.setattr(NB, "knn_join", lambda q, *a, **b: asked.append({r.uid for r in q.select("uid").collect()}) or plain(q, *a, **b))
+    lab, pool = rows.filter("uid < 12"), rows.filter("uid >= 12")
+    lists, k, spare = NB.start_lists(lab, pool, 6, 4), 6, 4
+    for r in range(3):
+        before = {x.uid for x in lab.collect()}
+        # rows near labelled row 0 are labelled, so that its list runs short
+        near = [x.uid for x in NB.nearest(lists, 100).filter("search_query_uid = 0").orderBy("dists", "uid").limit(5).collect()]
+        new = rows.filter(F.col("uid").isin(near)).checkpoint()
+        pool = pool.filter(~F.col("uid").isin(near))
+        lists = NB.advance_lists(lists, lab, new, pool, k, spare)
+        assert set(near) <= asked[-1] and len(asked[-1] - set(near)) < len(before) / 2
+        lab = lab.unionByName(new)
+        want = plain(lab, pool, k).collect()
+        got = NB.nearest(lists, k).collect()
+        assert sorted((x.search_query_uid, x.uid) for x in got) == sorted((x.search_query_uid, x.uid) for x in want)
+    assert 0 in set().union(*asked[1:])                        # its list did run short and was searched for again
+    assert not {x.uid for x in lists.collect()} & {x.uid for x in lab.collect()}
+
+
+def test_lists_of_a_pool_that_runs_out(spark):
+    df, _ = vectors(spark, 12, 3, 2)
+    rows = df.select("uid", "embedding")
+    lists = NB.start_lists(rows.filter("uid < 4"), rows.filter("uid >= 4"), 5, 2)
+    lists = NB.advance_lists(lists, rows.filter("uid < 4"), rows.filter("uid between 4 and 8"), rows.filter("uid > 8"), 5, 2)
+    assert lists.count() == 9 * 3
+    lists = NB.advance_lists(lists, rows.filter("uid <= 8"), rows.filter("uid > 8"), rows.filter("uid > 100"), 5, 2)
+    assert lists.count() == 0
