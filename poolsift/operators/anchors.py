@@ -97,7 +97,7 @@ def _groups(batch: pa.RecordBatch, by: Sequence[str]):
 def _portions(base: DataFrame, by: Sequence[str], bytes_a_group: int):
     """The table, or its groups in portions whose state fits ``STATE_BYTES``."""
     groups = base.select(*by).distinct().count() if by else 1
-    n = max(1, -(-groups * bytes_a_group // STATE_BYTES)) if by else 1
+    n = max(1, min(groups, -(-groups * bytes_a_group // STATE_BYTES))) if by else 1
     for i in range(n):
         yield base if n == 1 else base.filter(F.pmod(F.xxhash64(*by), F.lit(n)) == i)
 
