@@ -408,14 +408,14 @@ SELECT search_query_uid, uid, round(dists, 6) AS dists FROM (SELECT *, row_numbe
   PARTITION BY search_query_uid ORDER BY dists, uid) AS rn FROM npairs) WHERE rn <= {LIST_K}""")
 def q_neighbour_lists(spark, d):
     """The nearest pool rows of every labelled row after rounds of random labels, kept up round by round."""
-    base, lab = T.embeddings(spark, d), T.labelled(spark, d).select("uid", "embedding")
-    pool = base.select("uid", "embedding").join(lab.select("uid"), "uid", "left_anti")
+    base, lab = T.embeddings(spark, d).select("uid", "embedding"), T.labelled(spark, d).select("uid", "embedding")
+    pool = base.join(lab.select("uid"), "uid", "left_anti")
     lists = NB.start_lists(lab, pool, LIST_K)
     for r in range(LIST_ROUNDS):
         new = cut_lineage(S.random_query(pool, BATCH, seed=f"42:{r}").select("uid", "embedding"))
-        pool = pool.join(new.select("uid"), "uid", "left_anti")
-        lists = NB.advance_lists(lists, lab, new, pool, LIST_K)
-        lab = lab.unionByName(new)
+        now = cut_lineage(lab.unionByName(new))
+        pool = base.join(now.select("uid"), "uid", "left_anti")        # one join of the base table, whatever the round
+        lists, lab = NB.advance_lists(lists, lab, new, pool, LIST_K), now
     return NB.nearest(lists, LIST_K).select("search_query_uid", "uid", r6("dists").alias("dists"))
 
 
