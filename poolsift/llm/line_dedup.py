@@ -1,10 +1,11 @@
 """Line deduplication over content-defined chunks of lines, in DataFrame functions only.
 
-Lines are hashed; a rolling hash over the last ``WINDOW`` line hashes decides
-where a chunk ends, so that a passage is cut alike wherever it stands in a
-document.  Chunks of two lines or more that occur elsewhere before are removed.
-Hashes only find candidates: nothing is removed unless its bytes equal those of
-the occurrence that stays.
+Lines with a word are hashed.  A chunk starts at every such line and goes on to
+the first boundary that a rolling hash over the last two line hashes chooses, so
+all of a chunk is settled by its own lines: a passage is cut alike wherever it
+stands.  Chunks overlap.  A line goes if a chunk that holds it also stands
+earlier.  Hashes only find candidates: nothing is removed unless its bytes equal
+those of the occurrence that comes first.
 
 Texts cross the network once to meet the candidate lists and once to meet the
 lists of removals; the search itself shuffles (key, chunk number, hash) rows.
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import own_names, plain_names, ready
 
-WINDOW = 2            # lines in the rolling hash
 MULTIPLIER = 1_000_003
-DIVISOR = 3           # a chunk ends where the rolling hash is divisible by this: three lines on average
-MIN_LINES = 2
+DIVISOR = 8           # a chunk goes on past a line only if the rolling hash there is divisible by this
+MIN_LINES = 2         # lines with a word in a chunk, and in the rolling hash
+MAX_LINES = 8         # a chunk ends here at the latest: chunks of a text hold its bytes eight times at most
+WORD = r"[^\x20\x09-\x0D]"
 KEYS = ["__null", "__id", "__text_hash"]
 
 
@@ -33,36 +35,40 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def _cuts(lines: Column) -> Column:
-    """How many lines stand before each chunk end but the last."""
-    n = F.size(lines)
+def _chunks(lines: Column) -> Column:
+    """One chunk (j, start, n) for each line with a word but the last: its number among these, its place and
+    its length in lines; blank lines inside it belong to it.  The work is linear in the lines."""
+    def of_worded(at: Column) -> Column:
+        m = F.size(at)
 
-    def ends(hashes: Column) -> Column:
-        def rolling(i: Column) -> Column:
-            out = F.get(hashes, i - 1)
-            for back in range(1, WINDOW):
-                out = out + F.lit(MULTIPLIER ** back) * F.coalesce(F.get(hashes, i - 1 - back), F.lit(0))
-            return out
+        def of_hashes(hashes: Column) -> Column:
+            def is_end(e: Column) -> Column:
+                return (e == m) | ((F.get(hashes, e - 1) + F.lit(MULTIPLIER) * F.get(hashes, e - 2)) % DIVISOR != 0)
 
-        return F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda i: rolling(i) % DIVISOR == 0)) \
-            .otherwise(F.array().cast("array<int>"))
+            def of_ends(ends: Column) -> Column:
+                # all starts between two boundaries share the second one
+                def up_to(k: Column) -> Column:
+                    end = F.get(ends, k)
 
-    return _let(F.transform(lines, _line_hash), ends)
+                    def one(j: Column) -> Column:
+                        last = F.get(at, j + F.least(end - j, F.lit(MAX_LINES)) - 1)
+                        return F.struct(j.alias("j"), F.get(at, j).alias("start"), (last - F.get(at, j) + 1).alias("n"))
 
+                    return F.transform(F.sequence(F.coalesce(F.get(ends, k - 1), F.lit(1)) - 1, end - MIN_LINES), one)
 
-def _with_chunks(text: Column, body) -> Column:
-    """``body(lines, chunks)``; a chunk is (j, start, n) with 0-based line numbers."""
-    def chunks(lines: Column) -> Column:
-        def number(cuts: Column) -> Column:
-            def one(j: Column) -> Column:
-                start = F.coalesce(F.get(cuts, j - 1), F.lit(0))
-                end = F.coalesce(F.get(cuts, j), F.size(lines))
-                return F.struct(j.alias("j"), start.alias("start"), (end - start).alias("n"))
-            return F.transform(F.sequence(F.lit(0), F.size(cuts)), one)
+                return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), up_to))
+
+            return _let(F.filter(F.sequence(F.lit(MIN_LINES), m), is_end), of_ends)
+
+        found = _let(F.transform(at, lambda i: _line_hash(F.get(lines, i))), of_hashes)
+        return F.when(m >= MIN_LINES, found).otherwise(F.array().cast("array<struct<j:int,start:int,n:int>>"))
 
-        return _let(_let(_cuts(lines), number), lambda c: body(lines, c))
+    return _let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), of_worded)
 
-    return _let(F.split(text, "\n", -1), chunks)
+
+def _with_chunks(text: Column, body) -> Column:
+    """``body(lines, chunks)`` of a text."""
+    return _let(F.split(text, "\n", -1), lambda lines: _let(_chunks(lines), lambda c: body(lines, c)))
 
 
 def _chunk_text(lines: Column, chunk: Column) -> Column:
@@ -81,8 +87,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ready(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col).select(*KEYS, "__text")
     found = _with_chunks(F.col("__text"), lambda lines, chunks: F.transform(
-        F.filter(chunks, lambda c: c["n"] >= MIN_LINES),
-        lambda c: F.struct(c["j"].alias("j"), F.xxhash64(_chunk_text(lines, c)).alias("h"))))
+        chunks, lambda c: F.struct(c["j"].alias("j"), F.xxhash64(_chunk_text(lines, c)).alias("h"))))
     rows = keyed.select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.j", "c.h")
     # a written table of hashes, so that the join with it can split a hot hash over tasks
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h").checkpoint()
@@ -91,8 +96,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # bytes of the candidates, and of nothing else, are grouped by hash
     lists = candidates.groupBy(*KEYS).agg(F.collect_set("j").alias("__maybe"))
     texts = _with_chunks(F.col("__text"), lambda lines, chunks: F.transform(
-        F.array_sort("__maybe"), lambda j: _let(F.get(chunks, j), lambda c: F.struct(
-            j.alias("j"), _chunk_text(lines, c).alias("t")))))
+        F.array_sort("__maybe"), lambda j: F.struct(j.alias("j"), _chunk_text(lines, F.get(chunks, j)).alias("t"))))
     held = (keyed.join(lists, KEYS).select(*KEYS, F.explode(texts).alias("c"))
             .select(*KEYS, "c.j", "c.t", F.xxhash64("c.t").alias("h")))
     groups = held.groupBy("h").agg(F.min(F.struct(*KEYS, "j")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"))
@@ -104,13 +108,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut out of the text, plus the struct ``__lines``
+    """``docs`` without the lines of repeated chunks, plus the struct ``__lines``
     (``n_lines``, ``n_chunks``, ``n_removed_lines``, ``n_removed_chunks``).
 
-    Of equal chunks the one in the smallest document id stays (null ids come
-    last), within a document the first.  A null text stays null; it and an empty
-    text are one empty line.  Rows that repeat both id and text are one document:
-    all of them keep or lose the same chunks.  All other columns pass through.
+    A chunk is repeated if one of equal bytes stands in a document of smaller id (null
+    ids come last) or before it in its own.  Chunks are judged on the input, and overlaps
+    count; the earliest of all equal lines always stays.  Blank lines outside chunks stay.
+    A null text stays null; it and an empty text are one empty line.  Rows that repeat both
+    id and text are one document: all of them keep or lose the same lines.  All other columns
+    pass through; a column called ``__lines`` is replaced.
     """
     docs, new = plain_names(docs)
     id_col, text_col = new[id_col], new[text_col]
@@ -119,15 +125,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = _keyed(docs, id_col, text_col).drop("__text").join(removals(docs, id_col, text_col), KEYS, "left")
 
     def result(lines: Column, chunks: Column) -> Column:
-        gone = F.coalesce("__removed", F.array().cast("array<int>"))
-        every = F.transform(chunks, lambda c: c["j"])
-        kept = F.array_sort(F.array_except(every, gone))
-        rest = F.array_join(F.transform(kept, lambda j: _let(F.get(chunks, j), lambda c: _chunk_text(lines, c))), "\n")
-        lost = F.aggregate(gone, F.lit(0).cast("long"), lambda s, j: s + F.get(chunks, j)["n"])
-        return F.struct(F.when(F.col("__removed").isNull(), whole).otherwise(rest).alias("text"),
-                        F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
-                                 lost.alias("n_removed_lines"), F.size(gone).cast("long").alias("n_removed_chunks"))
-                        .alias("counts"))
+        removed = F.coalesce("__removed", F.array().cast("array<int>"))
+        covered = F.flatten(F.transform(removed, lambda j: _let(
+            F.get(chunks, j), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+        rest = _let(kept, lambda left: F.struct(
+            F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"),
+            (F.size(lines) - F.size(left)).cast("long").alias("n_removed_lines")))
+        return _let(rest, lambda r: F.struct(
+            F.when(F.col("__removed").isNull(), whole).otherwise(r["text"]).alias("text"),
+            F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
+                     r["n_removed_lines"], F.size(removed).cast("long").alias("n_removed_chunks")).alias("counts")))
 
     out = joined.withColumn("__out", _with_chunks(whole, result))
     text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("__out.text"))

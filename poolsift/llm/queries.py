@@ -83,23 +83,26 @@ def q_exact_topk(spark, d):
     return topk.search(table(spark, d, "embeddings"), F.col("__id") % 50 == 0, k=5)
 
 
-_CUT = " + ".join(f"{line_dedup.MULTIPLIER ** b} * coalesce(h[i{f' - {b}' if b else ''}], 0)" for b in range(line_dedup.WINDOW))
+_LAST = f"least(j + {line_dedup.MAX_LINES - 1}, len(w))"  # the farthest end of a chunk
 
 
 @register("op8_line_dedup", f"""WITH t AS (
   SELECT DISTINCT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-hs AS (SELECT *, [('0x' || substr(md5(x), 1, 8))::BIGINT FOR x IN l] AS h FROM t),
-cuts AS (SELECT doc_id, text, l, [i FOR i IN range(1, len(l)) IF ({_CUT}) % {line_dedup.DIVISOR} = 0] AS c FROM hs),
-ch AS (SELECT doc_id, text, j - 1 AS j, l[coalesce(c[j - 1], 0) + 1 : coalesce(c[j], len(l))] AS ls
-  FROM (SELECT *, unnest(range(1, len(c) + 2)) AS j FROM cuts)),
-ct AS (SELECT *, array_to_string(ls, chr(10)) AS s, row_number() OVER (
-  PARTITION BY array_to_string(ls, chr(10)), len(ls) >= {line_dedup.MIN_LINES} ORDER BY doc_id NULLS LAST, j) AS k FROM ch),
-o AS (SELECT doc_id, text, count(*) AS n_chunks, sum(len(ls))::BIGINT AS n_lines,
-  coalesce(sum(len(ls)) FILTER (gone), 0)::BIGINT AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks,
-  sha256(coalesce(string_agg(s, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS text_sha256
-  FROM (SELECT *, k > 1 AND len(ls) >= {line_dedup.MIN_LINES} AS gone FROM ct) GROUP BY doc_id, text)
-SELECT d.doc_id, n_lines, n_chunks, n_removed_lines, n_removed_chunks, text_sha256
-FROM documents d JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND coalesce(d.text, '') = o.text""")
+ws AS (SELECT *, [i FOR i IN range(1, len(l) + 1) IF regexp_matches(l[i], '{line_dedup.WORD}')] AS w FROM t),
+hs AS (SELECT *, [('0x' || substr(md5(l[i]), 1, 8))::BIGINT FOR i IN w] AS h FROM ws),
+st AS (SELECT *, unnest(range(1, len(w))) AS j FROM hs),
+ch AS (SELECT *, list_min([e FOR e IN range(j + 1, {_LAST} + 1)
+  IF e = {_LAST} OR (h[e] + {line_dedup.MULTIPLIER} * h[e - 1]) % {line_dedup.DIVISOR} <> 0]) AS e FROM st),
+ct AS (SELECT doc_id, text, range(w[j], w[e] + 1) AS spot, row_number() OVER (
+  PARTITION BY array_to_string(l[w[j] : w[e]], chr(10)) ORDER BY doc_id NULLS LAST, j) AS k FROM ch),
+o AS (SELECT doc_id, text, count(*) AS n_chunks, count(*) FILTER (k > 1) AS n_removed_chunks,
+  list_distinct(flatten(list(spot) FILTER (k > 1))) AS gone FROM ct GROUP BY doc_id, text),
+r AS (SELECT t.doc_id, t.text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, len(l) AS n_lines,
+  [l[i] FOR i IN range(1, len(l) + 1) IF NOT coalesce(list_contains(gone, i), false)] AS kept
+  FROM t LEFT JOIN o ON t.doc_id IS NOT DISTINCT FROM o.doc_id AND t.text = o.text)
+SELECT d.doc_id, n_lines, n_chunks, n_lines - len(kept) AS n_removed_lines, n_removed_chunks,
+  sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256
+FROM documents d JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND coalesce(d.text, '') = r.text""")
 def q_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "__lines.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -1,6 +1,7 @@
 """URL filters, shard placement, quality rules and line dedup on small hand-made tables."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -144,26 +145,21 @@ def test_policies_ablations_and_empty_table(spark):
 
 def plain_line_dedup(rows):
     """(id, text) -> remaining text, by the stated rule, for distinct rows."""
-    def chunks(text):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        out, start = [], 0
-        for i in range(1, len(lines)):
-            roll = h[i - 1] + sum(line_dedup.MULTIPLIER ** b * (h[i - 1 - b] if i - 1 - b >= 0 else 0) for b in range(1, line_dedup.WINDOW))
-            if roll % line_dedup.DIVISOR == 0:
-                out.append(lines[start:i])
-                start = i
-        return out + [lines[start:]]
-
-    seen, out = {}, {}
+    seen, out = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        keep = []
-        for c in chunks(t or ""):
-            key = "\n".join(c)
-            if len(c) < line_dedup.MIN_LINES or key not in seen:
-                keep.append(key)
-            seen[key] = 1
-        out[i] = "\n".join(keep)
+        lines = (t or "").split("\n")
+        worded = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        h = [int(hashlib.md5(lines[k].encode()).hexdigest()[:8], 16) for k in worded]
+        gone = set()
+        for s in range(len(worded) - 1):
+            e = s + 1
+            while e + 1 < len(worded) and e - s < line_dedup.MAX_LINES - 1 and (h[e] + line_dedup.MULTIPLIER * h[e - 1]) % line_dedup.DIVISOR == 0:
+                e += 1
+            chunk = "\n".join(lines[worded[s]:worded[e] + 1])
+            if chunk in seen:
+                gone.update(range(worded[s], worded[e] + 1))
+            seen.add(chunk)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -183,6 +179,22 @@ def test_line_dedup_equals_the_rule(spark):
     assert got[104].text == got[105].text == "single"
 
 
+def test_line_dedup_keeps_a_copy_of_every_line_and_finds_short_passages(spark):
+    rows, passages = [], {}
+    for i in range(300):
+        shared = [f"shared {i % 100} line {k}" for k in range(2 + i % 4)]
+        passages[i % 100] = shared
+        rows.append((i, "\n".join([f"own {i} a", "", *shared[:1], "  ", *shared[1:], f"own {i} b", "", "seen in many", "", f"own {i} c"])))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    want = plain_line_dedup(rows)
+    assert {i: "\n".join(t) for i, t in got.items()} == want
+    assert {x for _, t in rows for x in t.split("\n")} == {x for t in got.values() for x in t}
+    for i, t in got.items():   # own lines and lines that repeat alone stay
+        assert {f"own {i} a", f"own {i} b", f"own {i} c", "seen in many"} <= set(t)
+    whole = sum(not any(x.startswith("shared") for x in got[i]) for i in range(100, 300))
+    assert whole > 150
+
+
 def test_line_dedup_repeated_rows_and_empty_table(spark):
     text = "\n".join(f"l{k}" for k in range(12))
     out = line_dedup.dedup_lines(docs(spark, [(1, text), (1, text), (2, text)]))
