@@ -7,8 +7,9 @@ stands.  Chunks overlap.  A line goes if a chunk that holds it also stands
 earlier.  Hashes only find candidates: nothing is removed unless its bytes equal
 those of the occurrence that comes first.
 
-Texts cross the network once to meet the candidate lists and once to meet the
-lists of removals; the search itself shuffles (key, chunk number, hash) rows.
+Documents cross the network once: the candidate lists and the lists of removals
+meet the same exchange of whole rows.  The search itself shuffles (key, chunk
+number, hash) rows and the bytes of candidates.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _let_row(body) -> Column:
+    return F.element_at(F.transform("__row", body), 1)
+
+
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
@@ -75,19 +80,26 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n"]), "\n")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _keys(id_col: str, text_col: str) -> list[Column]:
     i = F.col(id_col).cast("long")
-    return docs.select("*", i.isNull().alias("__null"), F.coalesce(i, F.lit(0)).alias("__id"),
-                       F.xxhash64(text).alias("__text_hash"), text.alias("__text"))
+    return [i.isNull().alias("__null"), F.coalesce(i, F.lit(0)).alias("__id"), F.xxhash64(_text(F.col(text_col))).alias("__text_hash")]
+
+
+def _text(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Keys and ``__row``, the whole row as the one item of an array: no join prunes it, so all share one exchange."""
+    return docs.select(*_keys(id_col, text_col), F.array(F.struct(*docs.columns)).alias("__row"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses chunks: its keys and ``__removed``, the chunk numbers."""
     ready(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col).select(*KEYS, "__text")
     found = _with_chunks(F.col("__text"), lambda lines, chunks: F.transform(
         chunks, lambda c: F.struct(c["j"].alias("j"), F.xxhash64(_chunk_text(lines, c)).alias("h"))))
+    keyed = docs.select(*_keys(id_col, text_col), _text(F.col(text_col)).alias("__text"))
     rows = keyed.select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.j", "c.h")
     # a written table of hashes, so that the join with it can split a hot hash over tasks
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h").checkpoint()
@@ -95,9 +107,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # bytes of the candidates, and of nothing else, are grouped by hash
     lists = candidates.groupBy(*KEYS).agg(F.collect_set("j").alias("__maybe"))
-    texts = _with_chunks(F.col("__text"), lambda lines, chunks: F.transform(
-        F.array_sort("__maybe"), lambda j: F.struct(j.alias("j"), _chunk_text(lines, F.get(chunks, j)).alias("t"))))
-    held = (keyed.join(lists, KEYS).select(*KEYS, F.explode(texts).alias("c"))
+    texts = _let_row(lambda row: _with_chunks(_text(row[text_col]), lambda lines, chunks: F.transform(
+        F.array_sort("__maybe"), lambda j: F.struct(j.alias("j"), _chunk_text(lines, F.get(chunks, j)).alias("t")))))
+    held = (_keyed(docs, id_col, text_col).join(lists, KEYS).select(*KEYS, F.explode(texts).alias("c"))
             .select(*KEYS, "c.j", "c.t", F.xxhash64("c.t").alias("h")))
     groups = held.groupBy("h").agg(F.min(F.struct(*KEYS, "j")).alias("first"), F.min("t").alias("a"), F.max("t").alias("b"))
     # every occurrence goes but the first; a hash whose texts differ (a collision) removes nothing
@@ -120,11 +132,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs, new = plain_names(docs)
     id_col, text_col = new[id_col], new[text_col]
-    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the text crosses the network once per row here: what the keys were made of stays behind
-    joined = _keyed(docs, id_col, text_col).drop("__text").join(removals(docs, id_col, text_col), KEYS, "left")
+    joined = _keyed(docs, id_col, text_col).join(removals(docs, id_col, text_col), KEYS, "left")
 
-    def result(lines: Column, chunks: Column) -> Column:
+    def result(whole: Column, lines: Column, chunks: Column) -> Column:
         removed = F.coalesce("__removed", F.array().cast("array<int>"))
         covered = F.flatten(F.transform(removed, lambda j: _let(
             F.get(chunks, j), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
@@ -137,6 +147,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
                      r["n_removed_lines"], F.size(removed).cast("long").alias("n_removed_chunks")).alias("counts")))
 
-    out = joined.withColumn("__out", _with_chunks(whole, result))
+    out = joined.select(F.element_at("__row", 1).alias("__row"), _let_row(
+        lambda row: _let(_text(row[text_col]), lambda t: _with_chunks(t, lambda *found: result(t, *found)))).alias("__out"))
     text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("__out.text"))
-    return own_names(out.withColumns({"__lines": F.col("__out.counts"), text_col: text}), new, "__lines")
+    return own_names(out.select("__row.*", "__out").withColumns({"__lines": F.col("__out.counts"), text_col: text}), new, "__lines")
