@@ -11,6 +11,7 @@ from ..operators import relational as R
 from ..operators import report as RP
 from ..operators import sampling as S
 from ..session import shared_path
+from ..sources import id_tables as IT
 from . import tables as T
 from .tables import SQL_CORPUS, SQL_LABELLED_CTES, sql_top_n
 
@@ -209,6 +210,37 @@ def q_pool_sizes(spark, d):
     return R.pool_sizes(T.embeddings(spark, d), T.labelled(spark, d))
 
 
+def _id_table(spark, d):
+    """All embeddings as a table kept by id, opened anew from its folder."""
+    path = shared_path(spark, "by-id")
+    IT.write_id_table(T.embeddings(spark, d), path)
+    return IT.read_id_table(spark, path)
+
+
+@register("id_table_semi", f"""WITH {SQL_LABELLED_CTES}
+SELECT uid, label, len(embedding) AS dim FROM emb WHERE uid IN (SELECT uid FROM labelled)""")
+def q_id_table_semi(spark, d):
+    """The labelled rows of a table kept by id; only the ids move."""
+    found = IT.rows_by_id(_id_table(spark, d), T.labelled(spark, d))
+    return found.select("uid", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@register("id_table_anti", f"""WITH {SQL_LABELLED_CTES}
+SELECT uid, label, len(embedding) AS dim FROM pool""")
+def q_id_table_anti(spark, d):
+    """The pool rows of a table kept by id; only the ids move."""
+    found = IT.rows_without_id(_id_table(spark, d), T.labelled(spark, d))
+    return found.select("uid", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@register("id_table_sizes", f"""WITH {SQL_LABELLED_CTES}
+SELECT CAST((SELECT count(*) FROM labelled) AS BIGINT) AS labelled_size,
+       CAST((SELECT count(*) FROM pool) AS BIGINT) AS pool_size""")
+def q_id_table_sizes(spark, d):
+    """Sizes of the labelled and the pool part of a table kept by id."""
+    return IT.split_sizes(_id_table(spark, d), T.labelled(spark, d))
+
+
 @register("assert_unique", f"""WITH {SQL_LABELLED_CTES}
 SELECT uid, count(*) AS n FROM labelled GROUP BY uid HAVING count(*) > 1""")
 def q_assert_unique(spark, d):
