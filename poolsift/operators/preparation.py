@@ -77,7 +77,8 @@ def label_rows(rows: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFra
     # only ids and codes travel; most rows have no hit
     hits = rows.select("dataset", "uid", F.explode("codes").alias("code")).join(lookup, ["dataset", "code"]) \
         .groupBy("dataset", "uid").agg(F.max("best").alias("best"))
-    found = rows.join(default, "dataset").join(hits, ["dataset", "uid"], "left")
+    # one row of two small values per dataset, and each dataset is a branch of the plan: rows never move by dataset
+    found = rows.join(F.broadcast(default), "dataset").join(hits, ["dataset", "uid"], "left")
     return found.withColumn("labels", F.coalesce("best.label", "default").cast("int")).drop("codes", "best", "default")
 
 
