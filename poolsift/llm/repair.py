@@ -79,30 +79,63 @@ class Grammar:
             s[at[opened] + 1] = self.right[rule]
         return self.terminals[s]
 
+    def tokens(self) -> np.ndarray:
+        """The token ids behind the whole sequence, by a table of every symbol's expansion.
+
+        Occurrences of one round's rules do not overlap, so its part of the table is
+        shorter than the token ids.
+        """
+        t = len(self.terminals)
+        size = self.lengths()
+        opened, at = self.terminals, np.zeros(len(size), np.int64)
+        at[:t] = np.arange(t)
+
+        def expanded(symbols):
+            n = size[symbols]
+            ends = np.cumsum(n)
+            return opened[np.repeat(at[symbols] - (ends - n), n) + np.arange(n.sum())]
+
+        lo = 0
+        for hi in self.rounds.tolist():
+            n = size[t + lo:t + hi]
+            at[t + lo:t + hi] = len(opened) + np.cumsum(n) - n
+            opened = np.concatenate([opened, expanded(np.column_stack([self.left[lo:hi], self.right[lo:hi]]).ravel())])
+            lo = hi
+        return expanded(self.sequence)
+
 
-def _chosen(pairs: np.ndarray, counts: np.ndarray, symbols: int) -> np.ndarray:
-    """Places of pairs, most frequent first, of which no two can overlap: a symbol is a left or a right one."""
+def _chosen(left: np.ndarray, right: np.ndarray, counts: np.ndarray, symbols: int) -> np.ndarray:
+    """Places of pairs, most frequent first, of which no two can overlap: a symbol is a left or a right one.
+
+    Roles never change, so pairs that earlier ones rule out are dropped together, after
+    1024, 2048, 4096, ... of those left.
+    """
     role = bytearray(symbols)
-    out = []
-    left, right = (pairs // symbols).tolist(), (pairs % symbols).tolist()
-    for i in np.lexsort((pairs, -counts)).tolist():
-        a, b = left[i], right[i]
-        if a == b:
-            if not role[a]:
-                role[a] = 3
+    out: list = []
+    rest, step = np.argsort(-counts, kind="stable"), 1024
+    while len(rest):
+        now, rest = rest[:step], rest[step:]
+        step *= 2
+        for i, a, b in zip(now.tolist(), left[now].tolist(), right[now].tolist()):
+            if a == b:
+                if not role[a]:
+                    role[a] = 3
+                    out.append(i)
+            elif role[a] < 2 and role[b] in (0, 2):
+                role[a], role[b] = 1, 2
                 out.append(i)
-        elif role[a] < 2 and role[b] in (0, 2):
-            role[a], role[b] = 1, 2
-            out.append(i)
+        roles = np.frombuffer(role, np.uint8)
+        a, b = roles[left[rest]], roles[right[rest]]
+        rest = rest[np.where(left[rest] == right[rest], a == 0, (a < 2) & (b % 2 == 0))]
     return np.array(out, np.int64)
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:
-    """Of neighbouring places (pairs of one symbol in a run), the first, third, ..."""
+    """Marks, of neighbouring places (pairs of one symbol in a run), the first, third, ..."""
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1] + 1
     first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - first) % 2 == 0]
+    return (np.arange(len(at)) - first) % 2 == 0
 
 
 def compress(ids: np.ndarray) -> Grammar:
@@ -115,36 +148,46 @@ def compress(ids: np.ndarray) -> Grammar:
     left, right, rounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     made = 0
     multiplier = np.uint64(0x9E3779B97F4A7C15)
+    table = np.zeros(1 << TABLE_BITS, np.int32)
     while len(seq) > 1:
         key = seq[:-1] * symbols + seq[1:]
+        if symbols <= 1 << 16:               # half the bytes to sort
+            key = key.astype(np.uint32)
         order = np.sort(key)
-        edge = np.nonzero(np.concatenate([[True], order[1:] != order[:-1]]))[0]
-        counts = np.diff(np.concatenate([edge, [len(order)]]))
+        edge = np.concatenate([[0], np.nonzero(order[1:] != order[:-1])[0] + 1])
+        counts = np.diff(edge, append=len(order))
         often = counts >= MIN_COUNT
-        pairs, counts = order[edge[often]], counts[often]
+        pairs, counts = order[edge[often]].astype(np.int64), counts[often]
         if not len(pairs):
             break
-        pairs = pairs[_chosen(pairs, counts, symbols)]
+        pairs = pairs[_chosen(pairs // symbols, pairs % symbols, counts, symbols)]
         # a hash table of the chosen pairs; of two in one place the more frequent one stays
         slot = ((pairs.astype(np.uint64) * multiplier) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         place = np.sort(np.unique(slot, return_index=True)[1])
         pairs, slot = pairs[place], slot[place]
-        table = np.full(1 << TABLE_BITS, -1, np.int64)
-        table[slot] = pairs
-        where = ((key.astype(np.uint64) * multiplier) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        at = np.nonzero(table[where] == key)[0]
-        twin = seq[at] == seq[at + 1]
+        a, b = pairs // symbols, pairs % symbols
+        # only places between a left and a right symbol are looked up
+        is_left, is_right = np.zeros(symbols, bool), np.zeros(symbols, bool)
+        is_left[a] = is_right[b] = True
+        at = np.nonzero(is_left[seq[:-1]] & is_right[seq[1:]])[0]
+        found = key[at]
+        table[slot] = np.arange(len(pairs))
+        rule = table[((found.astype(np.uint64) * multiplier) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        table[slot] = 0                      # (places of no pair lead to the first one, which is compared)
+        hit = pairs[rule] == found
+        at, rule = at[hit], rule[hit]
+        twin = a[rule] == b[rule]
         if twin.any():
-            at = np.sort(np.concatenate([at[~twin], _every_second(at[twin])]))
-        number = np.full(1 << TABLE_BITS, -1, np.int64)
-        number[slot] = symbols + np.arange(len(pairs))
+            first = ~twin
+            first[twin] = _every_second(at[twin])
+            at, rule = at[first], rule[first]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = number[where[at]]
+        seq[at] = symbols + rule
         gained = len(at) / len(seq)
         seq = seq[keep]
-        left.append(pairs // symbols)
-        right.append(pairs % symbols)
+        left.append(a)
+        right.append(b)
         made += len(pairs)
         rounds.append(made)
         symbols += len(pairs)
@@ -196,7 +239,7 @@ class Shard:
         self.grammar = Grammar(terms, ends, left, right, take(kind, symbols))
 
     def tokens(self) -> np.ndarray:
-        return self.grammar.expand(self.grammar.sequence)
+        return self.grammar.tokens()
 
     def document(self, i: int) -> np.ndarray:
         """Token ids of one document; only the symbols that cover it are expanded."""

@@ -13,7 +13,8 @@ from array import array
 from functools import lru_cache
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-LONG_RUN = re.compile(r"\S{4096}")
+SPACE = re.compile(r"\s")
+BLOCK = 2048
 
 
 def default_path() -> str:
@@ -30,6 +31,11 @@ def _byte_of_char() -> dict:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_run(text: str) -> bool:
+    """Whether one of the text's blocks has no white space, as one in every run of ``2 * BLOCK`` characters."""
+    return any(not SPACE.search(text, at, at + BLOCK) for at in range(0, len(text) - BLOCK + 1, BLOCK))
+
+
 class Encoder:
     """``ids(text)``: the whole text's ids as little-endian 32-bit integers."""
 
@@ -41,15 +47,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # (it searches for special tokens, so there must be one; texts that hold the file's own do not get here)
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special or {"<|none|>": len(ranks)})
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or LONG_RUN.search(text):
+        if any(s in text for s in self.special) or long_run(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(2)

@@ -1,7 +1,9 @@
 """Hard negatives, whitening and Re-Pair files on small tables, against brute force."""
 
 import math
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,6 +207,77 @@ def test_grammar_shrinks_repeats_and_runs():
     assert np.array_equal(repair.compress(aba).expand(repair.compress(aba).sequence), aba)
 
 
+def plain_rounds(ids):
+    """Rules and sequence of Re-Pair in rounds, symbol by symbol."""
+    terminals = sorted(set(ids.tolist()))
+    seq, rules, rounds = [terminals.index(i) for i in ids.tolist()], [], []
+    while len(seq) > 1:
+        counts = Counter(zip(seq[:-1], seq[1:]))
+        role, slots = {}, {}
+        for a, b in sorted((p for p, n in counts.items() if n >= repair.MIN_COUNT), key=lambda p: (-counts[p], p)):
+            if a in role or b in role and a == b:
+                fits = role.get(a) == 1 and a != b and role.get(b, 2) == 2
+            else:
+                fits = a == b or role.get(b, 2) == 2
+            if fits:
+                role.update({a: 3} if a == b else {a: 1, b: 2})
+                slot = ((a * (len(terminals) + len(rules)) + b) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - repair.TABLE_BITS)
+                slots.setdefault(slot, (a, b))
+        if not role:
+            break
+        made = {p: len(terminals) + len(rules) + k for k, p in enumerate(slots.values())}
+        rules += made
+        rounds.append(len(rules))
+        out, at = [], 0
+        while at < len(seq):
+            new = made.get(tuple(seq[at:at + 2]))
+            out.append(seq[at] if new is None else new)
+            at += 1 if new is None else 2
+        gained = (len(seq) - len(out)) / len(seq)
+        seq = out
+        if gained < repair.LEAST_GAIN:
+            break
+    return rounds, rules, seq
+
+
+@pytest.mark.parametrize("kind", ["few", "runs", "words", "tiled", "many", "one", "none"])
+def test_grammar_equals_plain_rounds(kind):
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 3000, rng.integers(1, 6)) for _ in range(2000)]
+    ids = {"few": rng.integers(0, 5, 3000), "runs": np.repeat(rng.integers(0, 30, 3000), rng.integers(1, 9, 3000)),
+           "words": np.concatenate([words[int(i) % 2000] for i in rng.zipf(1.3, 15_000)]), "tiled": np.tile(rng.integers(0, 900, 700), 20),
+           "many": np.tile(rng.permutation(70_000), 4), "one": np.array([9]), "none": np.zeros(0)}[kind].astype(np.uint32)
+    g = repair.compress(ids)
+    rounds, rules, seq = plain_rounds(ids) if kind != "many" else (g.rounds.tolist(), list(zip(g.left.tolist(), g.right.tolist())), g.sequence.tolist())
+    assert g.rounds.tolist() == rounds and list(zip(g.left.tolist(), g.right.tolist())) == rules and g.sequence.tolist() == seq
+    assert np.array_equal(g.tokens(), ids) and np.array_equal(g.expand(g.sequence), ids)
+
+
+def cpu(run, times=5):
+    """CPU seconds of the fastest of some runs."""
+    out = []
+    for _ in range(times):
+        at = time.process_time()
+        run()
+        out.append(time.process_time() - at)
+    return min(out)
+
+
+def test_whole_shards_decode_by_one_table():
+    # opening round after round over the whole sequence took as long as expand does
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 3000, rng.integers(1, 6)) for _ in range(20_000)]
+    ids = np.concatenate([words[int(i) % 20_000] for i in rng.zipf(1.2, 150_000)]).astype(np.uint32)
+    shard = repair.Shard(repair.to_bytes([1], [len(ids)], ids))
+    assert len(shard.grammar.rounds) > 3 and np.array_equal(shard.tokens(), ids)
+    assert cpu(shard.tokens) < 0.6 * cpu(lambda: shard.grammar.expand(shard.grammar.sequence))
+
+
+def test_long_runs_are_found():
+    for before in (0, 1, 2047, 2048, 3001):
+        assert tokens.long_run("a b" * before + " " + "x" * 4096 + " end") and not tokens.long_run("word " * before + "x" * 2000 + " end")
+
+
 def plain_documents(rows):
     tokenizer = tokens.encoder(tokens.default_path()).tokenizer
     out, at = [], 0
