@@ -129,6 +129,49 @@ def test_components_by_rounds_equal_one_task(spark, monkeypatch):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_take_no_star_step_when_contraction_suffices(spark, monkeypatch):
+    # 400 edges that 30 nodes repeat in ten tasks: what contraction leaves fits one task
+    rng = random.Random(6)
+    edges = [(x, x + rng.choice([0, 10, 20])) for x in (rng.randrange(10) for _ in range(400))]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(10)
+    want = sorted(tuple(r) for r in components(df).collect())
+    monkeypatch.setattr(connected, "EDGES_A_TASK", 40)
+    monkeypatch.setattr(connected, "_to_smallest", None)
+    assert sorted(tuple(r) for r in components(df).collect()) == want
+    assert {c for _, c in want} == {min(u, v) % 10 for u, v in edges if u != v}
+
+
+def test_small_graph_in_many_partitions_is_counted_by_few_tasks(spark):
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    df = spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long").repartition(64)
+    sc.setJobGroup("small graph", "")
+    try:
+        assert components(df).filter("component = 0").count() == 51
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sizes = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("small graph") for s in tracker.getJobInfo(j).stageIds
+             if tracker.getStageInfo(s) is not None]
+    # they are made and written once in their own partitions
+    assert sum(n >= 64 for n in sizes) <= 1, sizes
+
+
+def test_forest_equals_union_find():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (50, 30), (200, 180), (3000, 2600)):
+        u, v = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        up = {x: x for x in [*u.tolist(), *v.tolist()]}
+        for _ in range(m):
+            for a, b in zip(u.tolist(), v.tolist()):
+                up[a] = up[b] = min(up[a], up[b], up[up[a]], up[up[b]])
+            if all(up[a] == up[b] for a, b in zip(u.tolist(), v.tolist())):
+                break
+        assert dict(zip(*(x.tolist() for x in connected.forest(u, v)))) == {x: r for x, r in up.items() if x != r}
+    path = np.random.default_rng(4).permutation(100_000)
+    nodes, roots = connected.forest(path[:-1], path[1:])
+    assert len(nodes) == 99_999 and not roots.any()
+    assert len(connected.forest(path[:0], path[:0])[0]) == 0
+
+
 def boilerplate(n, seed=0):
     """Texts of 200 shingles of which 46 % are common: pairwise similarity 0.3, no link."""
     return [(i, " ".join(f"common{k}" for k in range(93)) + " " + " ".join(f"own{seed}x{i}x{k}" for k in range(108))) for i in range(n)]
